@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
 from .langid import op3_language_id
 from .mixing import op10_mixing
 from .quality import op8_quality_rules
@@ -9,5 +10,5 @@ from .simhash import op5_simhash
 from .toxicity import op7_toxicity
 from .urlfilter import OP2_SQL, op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_language_id, op5_simhash, op7_toxicity, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_language_id, op5_simhash, op7_toxicity, op8_quality_rules, op9_decontamination, op10_mixing)}
 ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL}
