@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .shared import fold, table
 from .tokens import U, chunks, mix64
@@ -144,21 +144,27 @@ def train(docs: DataFrame, min_share: float = 2e-5, hashes: int = 4) -> Filter:
     return Filter.build(np.array(kept.column("lang").to_pylist(), dtype=object), kept.column("gram").to_numpy(), hashes)
 
 
-def predict(docs: DataFrame, model: Filter) -> DataFrame:
-    """doc_id, lang_pred, score for each row."""
+def annotate(docs: DataFrame, model: Filter) -> DataFrame:
+    """All columns of docs, then lang_pred and score; docs has none of these two names."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
             best, score = np.full(len(batch), -1), np.zeros(len(batch))
-            for lo, hi, data, offs in chunks(folded(batch.column(1))):
+            for lo, hi, data, offs in chunks(folded(batch.column("text"))):
                 g, row = grams(data, offs)
                 best[lo:hi], score[lo:hi] = m.decide(g, row, hi - lo)
             names = pa.array([m.languages[i] if i >= 0 else "und" for i in best.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Filter) -> DataFrame:
+    """doc_id, lang_pred, score for each row."""
+    return annotate(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model).drop("text")
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:

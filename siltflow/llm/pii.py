@@ -186,9 +186,10 @@ def classified(spans: DataFrame, model: tuple[float, dict[str, dict[str, float]]
     return 1 / (1 + F.exp(-z))
 
 
-def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
-    """docs: doc_id, text. One row for each row of docs: doc_id, text, each base kind's spans, and spans (kind, start, end), all sorted by kind and start."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def find(docs: DataFrame, accept: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text. One row for each row of docs: doc_id, text, each base kind's spans, spans (rank of kind, start,
+    end) sorted by kind and start, and kept: a struct of the columns named by keep."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
     with_base = base_spans(own)
     rows = with_base.withColumn("uid", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
     spans = settle(candidates(rows).select("uid", "kind", "start", "end", "base", *VOTES, "size", "dense"))
@@ -196,7 +197,7 @@ def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     extra = spans.where("not base").withColumn("p", classified(spans, model)).where(F.col("p") >= accept)
     lists = extra.groupBy("uid").agg(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind")).cast("int").alias("rank"))).alias("more"))
     joined = rows.join(lists.select(F.col("uid").alias("l_uid"), "more"), F.col("uid").eqNullSafe(F.col("l_uid")), "left")
-    return joined.select("doc_id", "text", *KINDS, merged_spans().alias("spans"))
+    return joined.select("doc_id", "text", *KINDS, merged_spans().alias("spans"), "kept")
 
 
 def merged_spans() -> Column:
