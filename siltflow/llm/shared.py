@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -42,10 +43,12 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Parquet tables in the shared folder, deleted by close(); for intermediates too large for settle()."""
+    """Parquet tables in the shared folder, for intermediates too large for settle(): computed once, compressed.
+    Results may read them lazily, so they stay until close() or the driver's end."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -53,6 +56,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
+        atexit.unregister(self.close)
+        if self.spark.sparkContext._jsc is None:  # stopped
+            return
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import settle, table
+from .shared import Scratch, settle, table
 from .tokens import U, chunks, mix64, prefix, spans_hash
 
 K = 16
@@ -308,7 +308,7 @@ def remove(joined: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 100_000) -> DataFrame:
     """docs: id, h, text. Spans (id, h, s, e) of bytes whose union is all bytes of repeated strings."""
-    found = settle(judged(pieces(docs, length), hot))
+    found = Scratch(docs.sparkSession).keep(judged(pieces(docs, length), hot), "found")
     whole = found.where("sure").select("id", "h", F.col("pos").alias("s"), (F.col("pos") + F.col("n") * F.col("reps") - 1 + length).cast("int").alias("e"))
     texts = fetch(docs, found.where("rep and not split").select("mz", "id", "h", "pos", "n", "sure"), length)
     out = whole.union(collection_spans(texts, length))
