@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
@@ -27,7 +27,7 @@ def strip(text: Column) -> Column:
 
 @arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
 
 def normalize(text: Column) -> Column:
