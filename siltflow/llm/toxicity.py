@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import fold, table
+from .shared import Scratch, fold, table
 
 #: Letters of other scripts that look like Latin ones, and full-width letters.
 HOMOGLYPHS = dict(zip("асеоріјѕухԁһкмтнвгαεικνορτυχѵɡıǀ", "aceopijsyxdhkmthbraeiknoptuxvgil")) | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
@@ -179,10 +179,19 @@ def score(docs: DataFrame, lex: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
 
 
-def detect(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def labelled(docs: DataFrame, known: DataFrame, most_broadcast: int) -> DataFrame:
+    """docs with their labels (l_id, toxic). Up to most_broadcast labels, some 24 bytes each, are sent to the texts, which
+    then stay where they are read; beyond that both are shuffled once and kept, since learning reads them three times."""
+    on = F.col("doc_id") == F.col("l_id")
+    if known.count() <= most_broadcast:
+        return docs.join(F.broadcast(known), on)
+    return Scratch(docs.sparkSession).keep(docs.join(known, on), "labelled")
+
+
+def detect(docs: DataFrame, labels: DataFrame, most_broadcast: int = 2_000_000, **options) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from rows outside fold 0; returns doc_id, held_out, score, predicted."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.where(fold("doc_id") != 0).join(known, F.col("doc_id") == F.col("l_id")).where("toxic in (0, 1)").select("text", "toxic")
+    rows = labelled(docs.where(fold("doc_id") != 0), known.where("toxic in (0, 1)"), most_broadcast).select("text", "toxic")
     out = score(docs, learn(rows, **options))
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
