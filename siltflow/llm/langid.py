@@ -57,6 +57,14 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[inside], row[: -N + 1][inside]
 
 
+def batch_grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """First row, n-grams, the row of each from there, and rows, over runs of whole texts of a bounded size."""
+    for lo, hi, _, _ in chunks(texts):
+        data = folded(texts.slice(lo, hi - lo))
+        for _, _, data, offs in chunks(data, 1 << 62):
+            yield lo, *grams(data, offs), hi - lo
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """docs: lang, text. Returns lang, gram, n; sums are partial within each batch and task before they are shuffled."""
 
@@ -65,8 +73,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             names = sorted(set(batch.column(0).to_pylist()))
             of = np.array([names.index(x) for x in batch.column(0).to_pylist()], np.uint64)
             parts = []
-            for lo, _, data, offs in chunks(folded(batch.column(1))):
-                g, row = grams(data, offs)
+            for lo, g, row, _ in batch_grams(batch.column(1)):
                 parts.append(np.unique(of[lo + row] << U(32) | g.astype(np.uint64), return_counts=True))
             if not parts:
                 continue
@@ -144,27 +151,26 @@ def train(docs: DataFrame, min_share: float = 2e-5, hashes: int = 4) -> Filter:
     return Filter.build(np.array(kept.column("lang").to_pylist(), dtype=object), kept.column("gram").to_numpy(), hashes)
 
 
-def annotate(docs: DataFrame, model: Filter) -> DataFrame:
-    """All columns of docs, then lang_pred and score; docs has none of these two names."""
+def annotate(docs: DataFrame, model: Filter, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns of docs that keep names, or all, then lang_pred and score; docs has none of these two names."""
+    names_kept = list(keep or docs.columns)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            best, score = np.full(len(batch), -1), np.zeros(len(batch))
-            for lo, hi, data, offs in chunks(folded(batch.column("text"))):
-                g, row = grams(data, offs)
-                best[lo:hi], score[lo:hi] = m.decide(g, row, hi - lo)
-            names = pa.array([m.languages[i] if i >= 0 else "und" for i in best.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+            for lo, g, row, n in batch_grams(batch.column("text")):
+                best, score = m.decide(g, row, n)
+                names = pa.array([m.languages[i] if i >= 0 else "und" for i in best.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, n) for c in names_kept), names, pa.array(score)], [*names_kept, "lang_pred", "score"])
+
+    schema = T.StructType([*(docs.schema[c] for c in names_kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """doc_id, lang_pred, score for each row."""
-    return annotate(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model).drop("text")
+    return annotate(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model, keep=("doc_id",))
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
