@@ -190,6 +190,7 @@ def labelled(docs: DataFrame, known: DataFrame, most_broadcast: int) -> DataFram
 
 def detect(docs: DataFrame, labels: DataFrame, most_broadcast: int = 2_000_000, **options) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from rows outside fold 0; returns doc_id, held_out, score, predicted."""
+    docs = docs.select("doc_id", "text")
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = labelled(docs.where(fold("doc_id") != 0), known.where("toxic in (0, 1)"), most_broadcast).select("text", "toxic")
     out = score(docs, learn(rows, **options))
