@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5
     k is the level at which sum(min(cap * size, k * weight)) is the whole budget: sources sorted by the level at
     which they are full, the first whose level isn't below the level left for the rest ends the full ones.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.nullif(F.avg("size"), F.lit(0.0)).alias("mean"))
     order = W.orderBy(F.col("source").asc_nulls_last())
     picked = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
     per = per.withColumn("weight", picked).withColumn("full", cap * F.col("source_size") / F.col("weight"))
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, seed: int
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit(seed)), 11) + 0.5) / float(1 << 53)
     rows = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("rate", rate)
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
-    p = u / F.col("part")
+    p = u / F.nullif(F.col("part"), F.lit(0.0))
     rows = rows.withColumn("at", F.when((F.col("part") > 0) & (F.col("size") > 0), p / (1 + p))).withColumn("bucket", F.least(F.floor(F.col("at") * ROUNDING_BUCKETS), F.lit(ROUNDING_BUCKETS - 1)))
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("room"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.first("target").alias("goal"))
     of = W.partitionBy("source")
