@@ -50,7 +50,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, path_depth: int = 3, sa
     active = (c.key == v.pattern) & (c.salt == v.salt) & (c.fetched_at >= v.valid_from) & (v.valid_to.isNull() | (c.fetched_at < v.valid_to))
     j = c.join(v, active, "left").drop(v.salt)
     best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.contains("pattern", F.lit("/")).alias("path"), F.length("pattern").alias("n"), "pattern", "verdict", "valid_from")))
-    out = j.groupBy("page_id", "url", "fetched_at", "host").agg(best.alias("b"), F.count("pattern").alias("n_active"))
+    out = j.groupBy("page_id", "url", "fetched_at", "host").agg(best.alias("b"), F.size(F.collect_set("pattern")).cast("bigint").alias("n_active"))
     return out.select("page_id", "url", "fetched_at", "host", F.coalesce("b.verdict", F.lit("pass")).alias("verdict"), "b.pattern", "b.valid_from", "n_active")
 
 
