@@ -1,6 +1,6 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A fingerprint bit is 1 if it is set in over half of the XXH64 hashes of the text's word shingles, repeats included.
+A fingerprint bit is 1 if it is set in over half of the XXH64 hashes of the text's word shingles, each once or with repeats.
 Distinct fingerprints are compared exactly: numpy exclusive-or and bit counts over tiles sorted by population count;
 tile pairs whose population counts lie further apart than the radius are skipped. A pair within radius r agrees on
 one of r + 1 blocks of bits, so where those blocks are long enough, tiles are formed within one block value only,
@@ -29,13 +29,16 @@ from .shared import settle, table
 TILE = 1024
 
 
-def shingle_hashes(text: str | None, k: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
+def shingle_hashes(text: str | None, k: int, seeds: tuple[int, ...], repeats: bool = True) -> list[np.ndarray]:
     words = (text or "").encode().lower().split()
     if not words:
         return [np.zeros(0, np.uint64) for _ in seeds]
     joined, n = b" ".join(words), max(1, len(words) - k + 1)
     at = list(accumulate(map(len, words), lambda a, x: a + x + 1, initial=0))
     parts = [joined[s : e - 1] for s, e in zip(at, at[k:])] if len(words) > k else [joined]
+    if not repeats:
+        parts = list(set(parts))
+        n = len(parts)
     return [np.fromiter((xxhash.xxh64_intdigest(p, s) for p in parts), np.uint64, n) for s in seeds]
 
 
@@ -51,7 +54,7 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...]) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...], repeats: bool = True) -> DataFrame:
     """doc_id, n (shingles), f0, f1 ... (one word of 64 bits for each seed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +63,7 @@ def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...]) -> DataFrame:
             kept: list[list[np.ndarray]] = []
             n, words, held = [], [[] for _ in seeds], 0
             for i in range(len(texts)):
-                kept.append(shingle_hashes(texts[i].as_py(), k, seeds))
+                kept.append(shingle_hashes(texts[i].as_py(), k, seeds, repeats))
                 n.append(len(kept[-1][0]))
                 held += n[-1]
                 if held > 100_000 or i + 1 == len(texts):
@@ -90,7 +93,7 @@ def tile_roots(f: np.ndarray, n: np.ndarray, radius: int, ratio: float, other: i
                 break
             if far(key[cols[-1]], key[rows[0]]) or abs(count[rows].min() - count[cols].max()) > radius and count[rows].min() > count[cols].max() or abs(count[cols].min() - count[rows].max()) > radius and count[cols].min() > count[rows].max():
                 continue
-            d = np.bitwise_count(f[rows, None, 0] ^ f[None, cols, 0])
+            d = np.bitwise_count(f[rows, None, 0] ^ f[None, cols, 0]).astype(np.uint8 if f.shape[1] < 4 else np.uint16)
             for w in range(1, f.shape[1]):
                 d += np.bitwise_count(f[rows, None, w] ^ f[None, cols, w])
             i, j = np.nonzero(d <= radius)
@@ -178,15 +181,15 @@ def links(nodes: DataFrame, width: int, radius: int, ratio: float = 0.0, most: i
     return found
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43), radius: int = 26, ratio: float = 0.75) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 56, ratio: float = 0.75, repeats: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, f0, f1 ..., component_id (the smallest id of its group).
 
-    The defaults are for five-word shingles: at similarity 0.8, 128 bits differ in 19 on average.
+    The defaults are for five-word shingles: at similarity 0.8, 38 of 256 bits differ on average, with a deviation of 6.
     """
     if ratio and 64 * len(seeds) // (radius + 1) >= 12:
         raise ValueError("a ratio needs the grid")
     width = [f"f{i}" for i in range(len(seeds))]
-    prints = settle(fingerprints(docs, k, seeds))
+    prints = settle(fingerprints(docs, k, seeds, repeats))
     nodes = settle(prints.groupBy(*width).agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"))
     found = components(links(nodes, len(seeds), radius, ratio))
     named = nodes.join(found, "node", "left").select(*(F.col(w).alias(f"_{w}") for w in width), F.coalesce("root", "node").alias("component_id"))
@@ -197,5 +200,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 4
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), k=3, seeds=(42,), radius=2, ratio=0.0)
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=3, seeds=(42,), radius=2, ratio=0.0, repeats=True)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
