@@ -49,7 +49,7 @@ OPS = {
     "op1": lambda d: suffixdedup.deduplicate(d),
     "op3": lambda d: langid.identify(d),
     "op4": lambda d: katz.score(d.withColumn("held", F.lit(False))),
-    "op5": lambda d: simhash.near_duplicates(d, 3, (42,), 2, 0.0),
+    "op5": lambda d: simhash.near_duplicates(d, 3, (42,), 2, 0.0, True),
     "op5wide": lambda d: simhash.near_duplicates(d),
     "op6": lambda d: pii.find(d),
     "op7": lambda d: toxicity.detect(d, d.select("doc_id", F.col("n_chars").alias("toxic"))),
