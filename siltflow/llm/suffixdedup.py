@@ -16,8 +16,9 @@ A start is repeated if the `length` bytes from it also start anywhere else; ever
    prefixes, a few bytes for each piece. Neighbours with `length` common symbols are repeated starts.
 4. Repeated starts become byte spans of their documents, merged and cut out.
 
-Minimizers shared by more than `hot` different pieces are not put into one collection: their windows are counted by
-128-bit hashes, which splits them over any number of tasks; the result is the same.
+Minimizers shared by more than `hot` different pieces, or by more rows than a task holds, are not put into one
+collection: the windows of their different pieces are counted by 128-bit hashes, which splits them over any number of
+tasks; the result is the same.
 
 Null texts are empty. Texts under `length` bytes lose nothing. Documents are told apart by id and a hash of the text,
 so repeated rows and null ids are documents of their own; a repeated row repeats all strings of its copy. An empty
@@ -94,39 +95,60 @@ def pieces(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "h", "text").mapInArrow(run, PIECE)
 
 
-def judged(found: DataFrame, hot: int) -> DataFrame:
-    """found, dealt by minimizer and sorted; a task holds no more than one minimizer's pieces at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def judge(t: pa.Table, hot: int, after: tuple[int, int] | None, before: int | None) -> pa.RecordBatch:
+    """t: sorted pieces with all of their minimizers, unless after or before say otherwise: (minimizer, ph) of the row
+    before t, whose minimizer is known to be hot; and the ph of the row after t, whose minimizer is t's only one, and hot."""
+    mz, ph, reps = (t.column(c).to_numpy() for c in ("mz", "ph", "reps"))
+    new_mz = np.r_[True, mz[1:] != mz[:-1]]
+    new_ph = new_mz | np.r_[True, ph[1:] != ph[:-1]]
+    if after is not None and after == (mz[0], ph[0]):
+        new_ph[0] = False
+    twice = ~new_ph
+    twice[:-1] |= (mz[1:] == mz[:-1]) & (ph[1:] == ph[:-1])
+    if before is not None:
+        twice[-1] |= ph[-1] == before
+    sure = twice | (reps > 1)
+    at_mz = np.cumsum(new_mz) - 1
+    different = np.bincount(at_mz, new_ph)[at_mz]
+    split = different > hot
+    if after is not None:
+        split |= mz == after[0]
+    if before is not None:
+        split[:] = True
+    keep = sure | split | (different > 1)
+    columns = [t.column(c).combine_chunks().filter(pa.array(keep)) for c in t.schema.names]
+    extra = [sure, new_ph & (split | (different > 1)), split]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(x[keep]) for x in extra)], [*t.schema.names, "sure", "rep", "split"])
+
+
+def judge_sorted(batches: Iterator[pa.RecordBatch], hot: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Judges pieces sorted by mz and ph. It holds about `most` rows; a minimizer with more is hot, and told row by row."""
+    held: list[pa.RecordBatch] = []
+    after: tuple[int, int] | None = None
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < most:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        mz, ph = t.column("mz").to_numpy(), t.column("ph").to_numpy()
+        end = int(np.searchsorted(mz, mz[-1]))
+        if end:
+            yield judge(t.slice(0, end).combine_chunks(), hot, after, None)
+            after = None
+        elif len(mz) > 1:  # one minimizer fills the buffer: all but the last row, which shows what follows
+            end = len(mz) - 1
+            yield judge(t.slice(0, end).combine_chunks(), hot, after, int(ph[-1]))
+            after = (int(mz[end - 1]), int(ph[end - 1]))
+        held = t.slice(end).combine_chunks().to_batches()
+    if held and (t := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield judge(t, hot, after, None)
 
-        def judge(t: pa.Table) -> pa.RecordBatch:
-            mz, ph, reps = (t.column(c).to_numpy() for c in ("mz", "ph", "reps"))
-            new_mz = np.r_[True, mz[1:] != mz[:-1]]
-            new_ph = new_mz | np.r_[True, ph[1:] != ph[:-1]]
-            at_ph = np.cumsum(new_ph) - 1
-            at_mz = np.cumsum(new_mz) - 1
-            total = np.bincount(at_ph, reps)[at_ph]
-            different = np.bincount(at_mz, new_ph)[at_mz]
-            sure = total > 1
-            keep = sure | (different > 1)
-            columns = [t.column(c).combine_chunks().filter(pa.array(keep)) for c in t.schema.names]
-            extra = [sure, new_ph & (different > 1), different > hot]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array(x[keep]) for x in extra)], [*t.schema.names, "sure", "rep", "split"])
 
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= 200_000:
-                t = pa.Table.from_batches(held).combine_chunks()
-                mz = t.column("mz").to_numpy()
-                end = int(np.searchsorted(mz, mz[-1]))
-                held = t.slice(end).to_batches()
-                if end:
-                    yield judge(t.slice(0, end))
-        if held and (t := pa.Table.from_batches(held).combine_chunks()).num_rows:
-            yield judge(t)
-
-    return found.repartition("mz").sortWithinPartitions("mz", "ph").mapInArrow(run, PIECE + ", sure boolean, rep boolean, split boolean")
+def judged(found: DataFrame, hot: int) -> DataFrame:
+    """Pieces that matter, with what is known of them: sure (repeated as a whole), rep (the first of equal pieces, whose
+    text stands for them), split (its minimizer is hot)."""
+    rows = found.repartition("mz").sortWithinPartitions("mz", "ph")
+    return rows.mapInArrow(lambda batches: judge_sorted(batches, hot, 2 * hot), PIECE + ", sure boolean, rep boolean, split boolean")
 
 
 class Collection:
@@ -313,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 100_000) -> Da
     texts = fetch(docs, found.where("rep and not split").select("mz", "id", "h", "pos", "n", "sure"), length)
     out = whole.union(collection_spans(texts, length))
     if found.where("split").head(1):
-        out = out.union(hot_spans(docs, found.where("split").select("id", "h", "pos", F.col("n")), length))
+        out = out.union(hot_spans(docs, found.where("split and rep").select("id", "h", "pos", "n"), length))
     return out
 
 
