@@ -101,6 +101,20 @@ def test_suffix_dedup(spark, docs, hot):
     check_spans(got, [(i, t.encode()) for i, t in texts])
 
 
+def test_pieces_are_judged_alike_in_any_batches():
+    """One minimizer that fills many buffers, in batches of all sizes, is told as in one piece, but for being split."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted((int(m), int(p), 0, 0, i, 1, int(rng.random() < 0.1) + 1) for i, (m, p) in enumerate(zip(rng.choice([1, 2, 2, 2, 2, 3], 300), rng.integers(0, 90, 300))))
+    whole = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.int32()) for i in range(7)], [x.split()[0] for x in suffixdedup.PIECE.split(", ")])
+    told = lambda size, most: [tuple(r.values()) for b in suffixdedup.judge_sorted(iter(whole.slice(i, size) for i in range(0, 300, size)), 1000, most) for r in b.to_pylist()]
+    want = {(r[0], r[4]): (r[7], r[8]) for r in told(300, 10_000)}
+    for size, most in ((1, 2), (3, 10), (7, 50), (300, 20)):
+        got = {(r[0], r[4]): (r[7], r[8]) for r in told(size, most)}
+        assert got == want
+
+
 def test_language_id_held_out(spark):
     rows = registry.QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     lang = dict(duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
