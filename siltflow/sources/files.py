@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 
 class Store:
-    """State tables as snapshot folders under a root: a commit writes a new folder, then points to it; readers of the
-    old one are undisturbed. Paths may be on any file system that Spark reads."""
+    """State tables under a root, as folders that are written once: v<n> is a whole snapshot, a<n> adds rows to what is
+    before it. A folder counts once Spark has left _SUCCESS in it, so a broken write is no part of the table, and
+    readers of older folders are undisturbed. Paths may be on any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -23,28 +24,38 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def version(self, name: str) -> int:
-        """The newest committed snapshot, -1 for none. Spark leaves _SUCCESS in a folder once it is whole."""
+    def folders(self, name: str) -> list[str]:
+        """The committed folders that make up the table: the last snapshot and what was added since."""
         fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
-            return -1
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.isDirectory() and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, default=-1)
+            return []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(path(s.getPath(), "_SUCCESS"))]
+        names = sorted((x.getName() for x in done), key=lambda x: int(x[1:]))
+        base = max((i for i, x in enumerate(names) if x[0] == "v"), default=0)
+        return names[base:]
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
-        v = self.version(name)
-        return self.spark.createDataFrame([], schema) if v < 0 else self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{v:08d}")
-
-    def commit(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        path = f"{self.root}/{name}/v{self.version(name) + 1:08d}"
-        df.write.partitionBy(*partition_by).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def prune(self, name: str, keep: int = 2) -> None:
-        last = self.version(name)
-        for v in range(max(0, last - keep - 8), last - keep + 1):
-            fs, p = self._fs(f"{self.root}/{name}/v{v:08d}")
-            fs.delete(p, True)
+        found = self.folders(name)
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{x}" for x in found))
+
+    def _write(self, name: str, df: DataFrame, kind: str) -> None:
+        last = max((int(x[1:]) for x in self.folders(name)), default=-1)
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/{kind}{last + 1:08d}")
+
+    def append(self, name: str, df: DataFrame) -> None:
+        self._write(name, df, "a")
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """A new snapshot; df may read the table itself."""
+        self._write(name, df, "v")
+
+    def drop(self, name: str | None = None) -> None:
+        """Deletes a table, or all of them."""
+        fs, p = self._fs(f"{self.root}/{name}" if name else self.root)
+        fs.delete(p, True)
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

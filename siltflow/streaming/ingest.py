@@ -25,23 +25,30 @@ def new_items(stream: DataFrame, within: str | None = None) -> DataFrame:
     return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
+def with_ids(rows: DataFrame, keys: list[str], batch_id: int, by: list[str] | None = None) -> DataFrame:
+    """id: batch_id * 2^33 + 1, 2 ... in an order that depends on the keys alone; rows with equal values of `by`, the
+    first keys, are in the order of the rest. Rows are numbered within 1024 buckets, whose sizes are summed up before,
+    so no task has to hold them all."""
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*(by or keys)), F.lit(1024)))
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy(*keys))
+    return rows.join(before, "_b").withColumn("id", F.lit(batch_id * (1 << 33)) + number).drop("_b", "_before")
+
+
 def record(store: Store, batch: DataFrame, batch_id: int) -> DataFrame:
-    """Adds a batch of items to blobs and seen_files; returns the rows added to seen_files. Ids are batch_id * 2^33 + n."""
+    """Adds a batch of items to blobs and seen_files; returns the rows of seen_files that the batch added, also when it is run again."""
+    keys = ["source_id", "external_id"]
     seen = store.read("seen_files", SEEN_FILES)
-    new = unseen(batch.dropDuplicates(["source_id", "external_id"]), seen, ["source_id", "external_id"])
-    new = new.withColumn("_b", F.pmod(F.xxhash64("source_id", "external_id"), F.lit(1024)))
-    sizes = new.groupBy("_b").agg(F.count("*").alias("_n"))  # at most 1024 rows, whatever the batch's size
-    before = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"))
-    number = F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("source_id", "external_id"))
-    rows = new.join(before, "_b").select(
-        (F.lit(batch_id * (1 << 33)) + number).alias("id"), "source_id", "external_id", F.sha2("data", 256).alias("raw_hash"),
-        F.current_timestamp().alias("ingested_at"), F.octet_length("data").cast("bigint").alias("file_size"), "filename",
-        F.to_json(F.struct("ts", "is_text")).alias("metadata_json"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_msg"),
+    new = unseen(batch.dropDuplicates(keys), seen, keys)
+    store.append("blobs", save_blobs(new, store.read("blobs", BLOBS)))
+    rows = with_ids(new, keys, batch_id).select(
+        "id", *keys, F.sha2("data", 256).alias("raw_hash"), F.current_timestamp().alias("ingested_at"), F.octet_length("data").cast("bigint").alias("file_size"),
+        "filename", F.to_json(F.struct("ts", "is_text")).alias("metadata_json"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_msg"),
     )
-    blobs = store.read("blobs", BLOBS)
-    store.commit("blobs", blobs.unionByName(save_blobs(new, blobs)))
-    after = store.commit("seen_files", seen.unionByName(rows))
-    return after.where(F.col("id") > batch_id * (1 << 33))
+    store.append("seen_files", rows)
+    first = batch_id * (1 << 33)
+    return store.read("seen_files", SEEN_FILES).where((F.col("id") > first) & (F.col("id") < first + (1 << 33)))
 
 
 def run(spark: SparkSession, messages: DataFrame, store_path: str, checkpoint: str, then: Callable[[Store, DataFrame, int], None] | None = None, timeout: float | None = None) -> None:

@@ -158,3 +158,62 @@ def test_registry():
 def test_migrated(spark):
     old = spark.createDataFrame([(1, "s")], "id long, source_id string")
     assert schemas.migrated(old, schemas.SEEN_FILES).first()["metadata_json"] is None
+
+
+def test_run_once_and_again(spark, tmp_path):
+    from siltflow.__main__ import main
+    from siltflow.plans import run
+
+    feed, data = tmp_path / "feed", tmp_path / "data"
+    feed.mkdir()
+    settings = config.parse({"sources": [{"id": "s", "type": "telegram", "telegram": {"token": "1:x"}}], "publishing": {"routes": [{"name": "r", "from_sources": ["s"], "formats": ["npvt", "conf_lines", "ovpn"], "destinations": [{"chat_id": "c", "token": "t:1"}]}]}})
+    sent = []
+    go = lambda: run.once(spark, settings, str(feed), str(data), lambda r: sent.append(r["unique_id"]) or True)
+    many = [f"tuic://u{i}@h:{i}" for i in range(1, 40)]
+    rows = [message(id=1, text="\n".join([*many, "vless://a@h:1#x", "vless://a@h:1#y"])), message(id=2, file_name="a.conf", data="bDE="), message(id=3, file_name="b.ovpn", data="AAE=")]
+    (feed / "1.json").write_text("\n".join(map(json.dumps, rows)))
+    go()
+    names = sorted(p.name for p in (data / "output").iterdir())
+    assert names == ["r.conf_lines", "r.npvt", "r.ovpn", "r_npvt_b64sub.txt", "r_npvt_decoded.json"]
+    want = [f"{u}#tuic-{i}" for i, u in enumerate(many, 1)] + ["vless://a@h:1#vless-1"]
+    assert (data / "output" / "r.npvt").read_text().split("\n") == want and len(sent) == 5
+    go()
+    (feed / "2.json").write_text(json.dumps(message(id=4, text="trojan://b@h:2")) + "\n" + json.dumps(message(id=5, text="vless://a@h:1#z")))
+    go()
+    assert sorted((data / "output" / "r.npvt").read_text().split("\n")) == ["trojan://b@h:2#trojan-1", "vless://a@h:1#vless-1"] and len(sent) == 8
+    store = files.Store(spark, str(data / "state"))
+    assert run.pending(store).count() == 0 and store.read("records", schemas.RECORDS).count() == 44 and run.removable(store).count() == 0
+    assert main(["clean", "--data", str(data)]) == 0 and not (data / "output").exists()
+    assert main(["reset", "--yes", "--data", str(data)]) == 0 and not (data / "state").exists()
+
+
+def test_history_and_catalog(spark):
+    from siltflow.plans import history
+
+    manifest = spark.createDataFrame([("vless://a@h:1", 5.0), ("ss://b@h:2", 9.0)], schemas.MANIFEST)
+    lines = spark.createDataFrame([("vless://a@h:1#again",), ("vless://c@h:3#x",), ("no uri",)], "line string")
+    after = history.remember(manifest, lines, F.lit(9.0))
+    assert sorted(map(tuple, after.collect())) == [("ss://b@h:2", 9.0), ("vless://a@h:1", 5.0), ("vless://c@h:3", 9.0)]
+    got = {r["name"]: bytes(r["data"]).decode() for r in history.history_files(after, F.lit("2024-01-02 03:04:05").cast("timestamp")).collect()}
+    assert got["proxies.txt"].split("\n\n")[1] == "ss://b@h:2#ss-1\nvless://c@h:3#vless-1\nvless://a@h:1#vless-2\n" and "3 unique" in got["proxies.txt"] and "2024-01-02 03:04:05 UTC" in got["proxies.txt"]
+    doc = json.loads(got["proxies.json"])
+    assert doc["_count"] == 3 and doc["proxies"][2] == {"uri": "vless://a@h:1#vless-2", "first_seen": 5.0}
+    assert history.history_files(after.limit(0), F.current_timestamp()).count() == 0
+    listing = spark.createDataFrame([("a.txt", 0, 2000, b"x"), ("b", 0, 10, b"y")], "name string, modified long, size long, content binary").withColumn("modified", F.timestamp_seconds("modified"))
+    doc = json.loads(history.catalog_json(history.catalog(listing, "latest"), F.current_timestamp()).first()["json"])
+    assert (doc["total_files"], doc["total_size"], doc["total_size_str"]) == (2, 2010, "2.0 KB") and [f["type"] for f in doc["files"]] == ["TXT", "UNKNOWN"] and doc["files"][0]["hash"] == "9dd4e461"
+
+
+def test_users(spark):
+    from siltflow.operators.stats import user_stats
+    from siltflow.plans import users
+
+    none = spark.createDataFrame([], schemas.USERS)
+    one = users.register(none, spark.createDataFrame([("u", "c", "n", 1.0), ("w", "d", "m", 1.0)], "user_id string, chat_id string, username string, registered_at double"))
+    two = users.register(users.update(one, "u", muted=True, default_format="ovpn"), spark.createDataFrame([("u", "c2", "n2", 2.0)], "user_id string, chat_id string, username string, registered_at double"))
+    row = two.where("user_id = 'u'").first()
+    assert (row["chat_id"], row["username"], row["registered_at"], row["muted"], row["default_format"]) == ("c2", "n2", 1.0, True, "ovpn")
+    assert tuple(user_stats(two).first()) == (2, 1, 1)
+    empty = spark.createDataFrame([], "name string, size long, modified timestamp")
+    old = spark.createDataFrame([("r_1.ovpn", 5, 0)], "name string, size long, m long").select("name", "size", F.timestamp_seconds("m").alias("modified"))
+    assert users.files_for(empty, old, "ovpn", F.lit("1970-01-03").cast("timestamp")).count() == 1 and users.files_for(empty, old, "ovpn", F.lit("1970-01-09").cast("timestamp")).count() == 0
