@@ -1,9 +1,9 @@
 """Quality rules: an isolation forest on rule statistics.
 
-Rule statistics of each whole text (word and symbol counts, repeated lines and windows, shares of upper-case
-letters, digits, end marks and distinct words) are counted in numpy. An isolation forest over them gives each
+Rule statistics of each whole text (word and symbol counts, repeated lines and windows, upper-case letters, end
+marks, distinct words) are counted in numpy. An isolation forest over them gives each
 document the mean path length over random splits; short paths are anomalous. The cut-off of the score is calibrated
-on labelled rows: of the cut-offs that lose at most `most_lost` of the rows labelled good, the lowest.
+on labelled rows: of the cut-offs that lose at most `most_lost` of the rows labelled good, that which tells best.
 
 The forest's trees are each grown on `per_tree` rows, drawn by hash from all rows, as the method has it: a sample of
 trees * per_tree rows is collected, however many documents there are. Every document is scored. Counts, folds and
@@ -28,10 +28,9 @@ from .tokens import U, Words, chunks, mix64, powers, prefix, spans_hash
 WINDOW = 8
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
-DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 MARK = np.isin(np.arange(256), np.frombuffer(b"!?", np.uint8))
 LEADS = (np.arange(256) & 0xC0) != 0x80
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digit", "n_mark", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_mark", "n_distinct"]
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -58,7 +57,7 @@ def count(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n_rows = w.n_rows
     rows = np.repeat(np.arange(n_rows), np.diff(offs))
     per = lambda mask: np.bincount(rows[mask], minlength=n_rows)
-    out = {"n_words": w.per_row, "n_symbols": per(SYMBOLS[data]), "n_upper": per(UPPER[data]), "n_digit": per(DIGIT[data]), "n_mark": per(MARK[data])}
+    out = {"n_words": w.per_row, "n_symbols": per(SYMBOLS[data]), "n_upper": per(UPPER[data]), "n_mark": per(MARK[data])}
     leads = np.r_[0, np.cumsum(LEADS[data])]
     out["word_chars"] = np.bincount(w.row, leads[w.end] - leads[w.start], n_rows).astype(np.int64)
     sums = prefix(data)
@@ -77,7 +76,6 @@ def count(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     end = np.minimum(np.r_[breaks, len(data)][after], offs[row + 1])
     worded = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, row = start[worded], end[worded], row[worded]
-    out["n_lines"] = np.bincount(row, minlength=n_rows)
     out["n_dup_lines"] = np.bincount(row[later(mix64(mix64(spans_hash(sums, start, end)) ^ tag(row)))], minlength=n_rows)
     # windows: hashes over the words' hashes, tagged with the row
     n = len(h)
@@ -108,9 +106,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    words, chars, lines = (np.maximum(c[x], 1) for x in ("n_words", "word_chars", "n_lines"))
-    rate = [c["n_symbols"] / words, c["n_repeat_words"] / words, c["n_dup_lines"] / lines, c["n_upper"] / chars, c["n_digit"] / chars, c["n_mark"] / words]
-    return np.stack([*rate, 1 - c["n_distinct"] / words, np.log(words)], 1)
+    """What the forest splits on: symbols and end marks for each word, the share of upper case, and of words seen before.
+    Repeated lines and windows are left to the base rules; digits and lengths are no fault of a text."""
+    words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
+    return np.stack([c["n_symbols"] / words, c["n_mark"] / words, c["n_upper"] / chars, 1 - c["n_distinct"] / words], 1)
 
 
 class Forest:
@@ -189,16 +188,17 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = 100, per_tree: int =
 
 
 def cutoff(bins: list[tuple[int, int, int]], most_lost: float) -> int:
-    """bins: (score bin, good rows, bad rows), ascending. The lowest bin from which rejecting loses at most most_lost of the good."""
-    good = sum(b[1] for b in bins)
-    if not good or not sum(b[2] for b in bins):
-        return 2001
-    lost, cut = 0, 2001
-    for at, g, _ in reversed(bins):
-        lost += g
+    """bins: (score bin, good rows, bad rows), ascending. Of the bins from which rejecting loses at most most_lost of the
+    good, that with the largest share of bad rows rejected less good rows lost; the highest of equals."""
+    good, bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    lost = caught = 0
+    best, cut = 0.0, 2001
+    for at, g, n in reversed(bins if good and bad else []):
+        lost, caught = lost + g, caught + n
         if lost > most_lost * good:
             break
-        cut = at
+        if (gain := caught / bad - lost / good) > best:
+            best, cut = gain, at
     return cut
 
 
