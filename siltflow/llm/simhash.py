@@ -76,6 +76,29 @@ def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...], repeats: bool
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
+_XOR, _COUNT, _SUM = np.empty(TILE * TILE // 4, np.uint64), np.empty(TILE * TILE // 4, np.uint8), np.empty(TILE * TILE // 4, np.uint8)
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b (rows x words, a tile each) of all pairs within the radius. Three words are counted for all
+    pairs, in buffers that stay in the cache; the rest only for pairs that may still be within."""
+    shape, head = (len(a), len(b)), min(3, a.shape[1])
+    xor, count, total = (x[: len(a) * len(b)].reshape(shape) for x in (_XOR, _COUNT, _SUM))
+    for w in range(head):
+        np.bitwise_xor(a[:, None, w], b[None, :, w], out=xor)
+        np.bitwise_count(xor, out=count if w else total)
+        if w:
+            np.add(total, count, out=total)
+    within = total <= radius
+    if not within.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.nonzero(within)
+    if a.shape[1] > head:
+        keep = total[i, j] + np.bitwise_count(a[i, head:] ^ b[j, head:]).sum(1, dtype=np.int64) <= radius
+        i, j = i[keep], j[keep]
+    return i, j
+
+
 def tile_roots(f: np.ndarray, n: np.ndarray, radius: int, ratio: float, other: int = 0, labels: np.ndarray | None = None) -> np.ndarray:
     """Labels of rows of f (rows x words, uint64) joined by links; other > 0: only pairs of a row before and one from
     `other` on. ratio > 0: a link needs shingle counts of at least that quotient."""
@@ -85,18 +108,17 @@ def tile_roots(f: np.ndarray, n: np.ndarray, radius: int, ratio: float, other: i
     far = (lambda lo, hi: lo < ratio * hi) if ratio else (lambda lo, hi: hi - lo > radius)
     sides = [np.arange(len(f))] * 2 if not other else [np.arange(other), np.arange(other, len(f))]
     sides = [s[np.argsort(key[s], kind="stable")] for s in sides]
-    for a in range(0, len(sides[0]), TILE):
-        rows = sides[0][a : a + TILE]
-        for b in range(0 if other else a, len(sides[1]), TILE):
+    for a in range(0, len(sides[0]), TILE // 4):
+        rows = sides[0][a : a + TILE // 4]
+        for b in range(0 if other else a - a % TILE, len(sides[1]), TILE):
             cols = sides[1][b : b + TILE]
             if far(key[rows[-1]], key[cols[0]]):
                 break
             if far(key[cols[-1]], key[rows[0]]) or abs(count[rows].min() - count[cols].max()) > radius and count[rows].min() > count[cols].max() or abs(count[cols].min() - count[rows].max()) > radius and count[cols].min() > count[rows].max():
                 continue
-            d = np.bitwise_count(f[rows, None, 0] ^ f[None, cols, 0]).astype(np.uint8 if f.shape[1] < 4 else np.uint16)
-            for w in range(1, f.shape[1]):
-                d += np.bitwise_count(f[rows, None, w] ^ f[None, cols, w])
-            i, j = np.nonzero(d <= radius)
+            i, j = near_pairs(f[rows], f[cols], radius)
+            if not len(i):
+                continue
             i, j = rows[i], cols[j]
             m = lab[i] != lab[j]
             if ratio:
