@@ -8,6 +8,11 @@ and no pair is lost. Block values of more than `most` fingerprints, and radii to
 rows are dealt to stripes and every pair of stripes is a task of bounded size. A task returns a spanning forest of
 its links, never all pairs; components() joins the forests.
 
+With a ratio, fingerprints only find candidates: the radius is five deviations above the mean distance at that
+similarity, and links of candidates form groups. Within these, two texts are linked only if the exact Jaccard
+similarity of their shingle sets is at least the ratio. Small groups share tasks; groups of more than MOST_SHINGLES
+shingles are dealt to stripes.
+
 Null or wordless text: fingerprint zero, linked like any other. Null ids get the component of equal fingerprints,
 but don't carry one. Equal fingerprints, so repeated rows and ties, are one node named by its smallest id. An empty
 table gives no rows. Columns other than doc_id and text are ignored.
@@ -25,8 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components, roots
 from .shared import settle, table
+from .tokens import mix64
 
 TILE = 1024
+#: Shingles of a task's side, some 8 bytes each, while sets are compared.
+MOST_SHINGLES = 4_000_000
+#: Of 256 bits, sets of 4 and 5 shingles at similarity 0.8 differ in 48 on average, with a deviation of 6; larger ones in 41 at most.
+SMALL, WIDER = 5, 8
 
 
 def shingle_hashes(text: str | None, k: int, seeds: tuple[int, ...], repeats: bool = True) -> list[np.ndarray]:
@@ -42,6 +52,10 @@ def shingle_hashes(text: str | None, k: int, seeds: tuple[int, ...], repeats: bo
     return [np.fromiter((xxhash.xxh64_intdigest(p, s) for p in parts), np.uint64, n) for s in seeds]
 
 
+def digest_of(hashes: np.ndarray) -> int:
+    return int(mix64(hashes).sum(dtype=np.uint64).view(np.int64))
+
+
 def majority(hashes: list[np.ndarray]) -> np.ndarray:
     """The fingerprint of each array of hashes."""
     n = np.array([len(h) for h in hashes], np.int64)
@@ -55,24 +69,25 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...], repeats: bool = True) -> DataFrame:
-    """doc_id, n (shingles), f0, f1 ... (one word of 64 bits for each seed)."""
+    """doc_id, n (shingles), digest (a sum over them, equal for equal sets), f0, f1 ... (one word of 64 bits for each seed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             kept: list[list[np.ndarray]] = []
-            n, words, held = [], [[] for _ in seeds], 0
+            n, digest, words, held = [], [], [[] for _ in seeds], 0
             for i in range(len(texts)):
                 kept.append(shingle_hashes(texts[i].as_py(), k, seeds, repeats))
                 n.append(len(kept[-1][0]))
+                digest.append(digest_of(kept[-1][0]))
                 held += n[-1]
                 if held > 100_000 or i + 1 == len(texts):
                     for w, hs in zip(words, zip(*kept)):
                         w.append(majority(list(hs)).view(np.int64))
                     kept, held = [], 0
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(np.concatenate(w) if w else np.zeros(0, np.int64)) for w in words)], ["doc_id", "n", *(f"f{i}" for i in range(len(seeds)))])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.int64()), *(pa.array(np.concatenate(w) if w else np.zeros(0, np.int64)) for w in words)], ["doc_id", "n", "digest", *(f"f{i}" for i in range(len(seeds)))])
 
-    schema = "doc_id bigint, n bigint, " + ", ".join(f"f{i} bigint" for i in range(len(seeds)))
+    schema = "doc_id bigint, n bigint, digest bigint, " + ", ".join(f"f{i} bigint" for i in range(len(seeds)))
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
@@ -99,13 +114,14 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return i, j
 
 
-def tile_roots(f: np.ndarray, n: np.ndarray, radius: int, ratio: float, other: int = 0, labels: np.ndarray | None = None) -> np.ndarray:
+def tile_roots(f: np.ndarray, n: np.ndarray, radius: int, ratio: float, other: int = 0, labels: np.ndarray | None = None, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """Labels of rows of f (rows x words, uint64) joined by links; other > 0: only pairs of a row before and one from
-    `other` on. ratio > 0: a link needs shingle counts of at least that quotient."""
+    `other` on. ratio > 0: a link needs shingle counts of at least that quotient, and of the sets, if given, at least
+    that similarity."""
     lab = np.arange(len(f)) if labels is None else labels
     count = np.bitwise_count(f).sum(1, dtype=np.int64)
     key = n if ratio else count
-    far = (lambda lo, hi: lo < ratio * hi) if ratio else (lambda lo, hi: hi - lo > radius)
+    far = (lambda lo, hi: lo < ratio * hi - 1e-9) if ratio else (lambda lo, hi: hi - lo > radius)
     sides = [np.arange(len(f))] * 2 if not other else [np.arange(other), np.arange(other, len(f))]
     sides = [s[np.argsort(key[s], kind="stable")] for s in sides]
     for a in range(0, len(sides[0]), TILE // 4):
@@ -114,20 +130,45 @@ def tile_roots(f: np.ndarray, n: np.ndarray, radius: int, ratio: float, other: i
             cols = sides[1][b : b + TILE]
             if far(key[rows[-1]], key[cols[0]]):
                 break
-            if far(key[cols[-1]], key[rows[0]]) or abs(count[rows].min() - count[cols].max()) > radius and count[rows].min() > count[cols].max() or abs(count[cols].min() - count[rows].max()) > radius and count[cols].min() > count[rows].max():
+            reach = radius + WIDER * bool(ratio and min(key[rows[0]], key[cols[0]]) < SMALL)
+            if far(key[cols[-1]], key[rows[0]]) or count[rows].min() - count[cols].max() > reach or count[cols].min() - count[rows].max() > reach:
                 continue
-            i, j = near_pairs(f[rows], f[cols], radius)
+            i, j = near_pairs(f[rows], f[cols], reach)
             if not len(i):
                 continue
             i, j = rows[i], cols[j]
             m = lab[i] != lab[j]
             if ratio:
-                m &= np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])
-            if m.any():
+                m &= np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]) - 1e-9
+            if sets is not None:
+                lab = similar_roots(sets, i[m], j[m], ratio, lab)
+            elif m.any():
                 lab = roots(len(f), i[m], j[m], lab)
     return lab
 
 
+def similar_roots(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, ratio: float, lab: np.ndarray, step: int = 256) -> np.ndarray:
+    """Labels after linking those of the pairs i - j whose similarity is at least the ratio; pairs already joined are passed over."""
+    while len(i):
+        a, b, i, j = i[:step], j[:step], i[step:], j[step:]
+        apart = lab[a] != lab[b]
+        a, b = a[apart], b[apart]
+        same = np.array([jaccard(sets[x], sets[y]) >= ratio - 1e-9 for x, y in zip(a.tolist(), b.tolist())], bool)
+        if same.any():
+            lab = roots(len(lab), a[same], b[same], lab)
+            apart = lab[i] != lab[j]
+            i, j = i[apart], j[apart]
+    return lab
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays, each without repeats."""
+    both = np.concatenate((a, b))
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common / max(1, len(both) - common)
+
+
 def _forest(node: np.ndarray, lab: np.ndarray) -> pa.RecordBatch:
     far = lab != np.arange(len(lab))
     return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[lab[far]])], ["src", "dst"])
@@ -138,27 +179,35 @@ def _columns(t: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, np.n
     return t.column("node").to_numpy(), t.column("n").to_numpy(), f
 
 
-def links(nodes: DataFrame, width: int, radius: int, ratio: float = 0.0, most: int = 60_000) -> DataFrame:
-    """Links (src, dst) that span the groups of nodes (node, n, f0 ...) within the radius; most: rows of a task's side."""
-    columns = ["node", "n", *(f"f{i}" for i in range(width))]
+def on_grid(rows: DataFrame, size, width: int, radius: int, ratio: float, most: int) -> DataFrame:
+    """Links of rows (key, node, n, f0 ..., perhaps shingles) within a key, by the size of their key, from which the number of stripes follows."""
 
     def grid(task: pa.Table) -> pa.Table:
         side = task.column("side").to_numpy()
         task = task.take(pa.array(np.argsort(side, kind="stable")))
+        if not side.any() and task.column("s").to_numpy()[0] != task.column("o").to_numpy()[0]:
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})  # the other stripe is empty
         node, n, f = _columns(task, width)
-        return pa.Table.from_batches([_forest(node, tile_roots(f, n, radius, ratio, int((side == 0).sum()) if side.any() else 0))])
+        sets = None
+        if "shingles" in task.column_names:
+            lists = task.column("shingles").combine_chunks()
+            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+            sets = [flat[a:b] for a, b in zip(offs, offs[1:])]
+        return pa.Table.from_batches([_forest(node, tile_roots(f, n, radius, ratio, int((side == 0).sum()) if side.any() else 0, sets=sets))])
+
+    g = F.greatest(F.lit(1), F.ceil(size / most)).cast("int")
+    s = F.pmod(F.xxhash64("node"), g).cast("int")
+    dealt = rows.withColumn("g", g).withColumn("s", s).withColumn("o", F.explode(F.expr("sequence(0, g - 1)")))
+    dealt = dealt.withColumn("task", F.struct("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))).withColumn("side", (F.col("s") > F.col("o")).cast("int"))
+    return dealt.groupBy("task").applyInArrow(grid, "src bigint, dst bigint")
 
-    def on_grid(rows: DataFrame, size) -> DataFrame:
-        """rows: key, columns, and the size of their key, from which the number of stripes follows."""
-        g = F.greatest(F.lit(1), F.ceil(size / most)).cast("int")
-        s = F.pmod(F.xxhash64("node"), g).cast("int")
-        dealt = rows.withColumn("g", g).withColumn("s", s).withColumn("o", F.explode(F.expr("sequence(0, g - 1)")))
-        dealt = dealt.withColumn("task", F.struct("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))).withColumn("side", (F.col("s") > F.col("o")).cast("int"))
-        return dealt.groupBy("task").applyInArrow(grid, "src bigint, dst bigint")
 
+def links(nodes: DataFrame, width: int, radius: int, ratio: float = 0.0, most: int = 60_000) -> DataFrame:
+    """Links (src, dst) that span the groups of nodes (node, n, f0 ...) within the radius; most: rows of a task's side."""
+    columns = ["node", "n", *(f"f{i}" for i in range(width))]
     if 64 * width // (radius + 1) < 12:
         size = nodes.count()
-        return on_grid(nodes.withColumn("key", F.lit(0)), F.lit(size))
+        return on_grid(nodes.select(F.lit(0).alias("key"), *columns), F.lit(size), width, radius, ratio, most)
     size = 64 // (radius + 1)
     parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft("f0", 64 - hi), 64 - (hi - lo)).alias("v")) for i, (lo, hi) in enumerate((i * size, 64 if i == radius else (i + 1) * size) for i in range(radius + 1))]
     keyed = nodes.select(F.explode(F.array(*parts)).alias("key"), *columns)
@@ -199,24 +248,61 @@ def links(nodes: DataFrame, width: int, radius: int, ratio: float = 0.0, most: i
 
     found = cold.select("key.i", "key.v", *columns).repartition("i", "v").sortWithinPartitions("i", "v").mapInArrow(within, "src bigint, dst bigint")
     if hot.head(1):
-        found = found.union(on_grid(keyed.join(hot, F.col("key") == F.col("k")).drop("k"), F.col("size")))
+        found = found.union(on_grid(keyed.join(hot, F.col("key") == F.col("k")).drop("k"), F.col("size"), width, radius, ratio, most))
     return found
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 56, ratio: float = 0.75, repeats: bool = False) -> DataFrame:
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """node, digest and shingles (hashes, each once) of each node; docs: doc_id, text; nodes: node, digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                sets = [shingle_hashes(t.as_py(), k, (seed,), False)[0] for t in part.column(1)]
+                offs = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), flat)], ["node", "digest", "shingles"])
+
+    asked = nodes.select(F.col("node").alias("asked")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(asked, F.col("node") == F.col("asked"), "left_semi")
+    return texts.mapInArrow(run, "node bigint, digest bigint, shingles array<bigint>").dropDuplicates(["node", "digest"])
+
+
+def similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, seeds: tuple[int, ...], radius: int, ratio: float, most: int = MOST_SHINGLES) -> DataFrame:
+    """Links (src, dst) that span the groups of exact similarity; nodes: node, n, digest, f0 ...; found: node, root of candidates."""
+    asked = settle(nodes.join(found, "node"))
+    per = settle(asked.groupBy("root").agg(F.sum("n").alias("size")))
+    shares = F.lit(per.agg(F.coalesce(F.ceil(F.sum("size") / (most / 4)), F.lit(1))).first()[0])
+    large = F.col("size") > most / 4
+    key = F.struct(large.alias("large"), F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), shares)).alias("at"))
+    rows = asked.join(per, "root").join(shingle_sets(docs, asked, k, seeds[0]), ["node", "digest"])
+    rows = rows.select(key.alias("key"), F.when(large, F.col("size")).otherwise(1).alias("size"), "node", "n", *(f"f{i}" for i in range(len(seeds))), "shingles")
+    return on_grid(rows, F.col("size"), len(seeds), radius, ratio, most)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 72, ratio: float = 0.8, repeats: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, f0, f1 ..., component_id (the smallest id of its group).
 
-    The defaults are for five-word shingles: at similarity 0.8, 38 of 256 bits differ on average, with a deviation of 6.
+    ratio: the least Jaccard similarity of the shingle sets of linked texts; 0: the radius alone decides. The defaults
+    are for five-word shingles: at similarity 0.8, 41 of 256 bits differ on average, with a deviation of 6.
     """
+    if ratio and repeats:
+        raise ValueError("a ratio compares sets, without repeats")
     if ratio and 64 * len(seeds) // (radius + 1) >= 12:
         raise ValueError("a ratio needs the grid")
     width = [f"f{i}" for i in range(len(seeds))]
     prints = settle(fingerprints(docs, k, seeds, repeats))
-    nodes = settle(prints.groupBy(*width).agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"))
-    found = components(links(nodes, len(seeds), radius, ratio))
-    named = nodes.join(found, "node", "left").select(*(F.col(w).alias(f"_{w}") for w in width), F.coalesce("root", "node").alias("component_id"))
+    same = [*width, "n", "digest"] if ratio else width  # equal sets, or equal fingerprints
+    named = F.min("doc_id").alias("node")
+    nodes = settle((prints.groupBy(*same).agg(named) if ratio else prints.groupBy(*same).agg(named, F.max("n").alias("n"))).where("node is not null"))
+    # a set of n shingles and another one are similar by n / (n + 1) at most
+    found = components(links(nodes.where(F.col("n") >= ratio * (F.col("n") + 1) - 1e-9) if ratio else nodes, len(seeds), radius, ratio))
+    if ratio:
+        found = components(similar(docs, nodes, found, k, seeds, radius, ratio))
+    named = nodes.join(found, "node", "left").select(*(F.col(w).alias(f"_{w}") for w in same), F.coalesce("root", "node").alias("component_id"))
     on = F.lit(True)
-    for w in width:
+    for w in same:
         on &= F.col(w) == F.col(f"_{w}")
     return prints.join(named, on, "left").select("doc_id", *width, "component_id")
 

@@ -73,6 +73,48 @@ def test_near_duplicate_stage(stages):
     assert not {6000, 6001, 6002, 6003, 7000, 7001, 7002, 7003} & set(ids)
 
 
+def test_near_duplicates_are_checked_exactly(spark):
+    """Pairs at similarity 0.6 and 0.7 stay apart, pairs at 0.8 are found, short ones too; chains only through real links."""
+    rng, rows, want = random.Random(9), [], {}
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    for a, more in ((8, 1), (12, 2), (165, 40)):  # a words, of which the longer text has `more` more
+        for _ in range(60):
+            w = [word() for _ in range(a + more)]
+            rows += [(len(rows), " ".join(w[:a])), (len(rows) + 1, " ".join(w))]
+    for cut in (15, 30):  # texts that differ in a block of words
+        for _ in range(30):
+            w = [word() for _ in range(165)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:60] + [word() for _ in range(cut)] + w[60 + cut :]))]
+    s = [shingles(t) for _, t in rows]
+    for i in range(0, len(rows), 2):
+        near = 10 * len(s[i] & s[i + 1]) >= 8 * len(s[i] | s[i + 1])
+        want |= {i: i, i + 1: i if near else i + 1}
+    assert 0 < sum(i != k for i, k in want.items()) < len(rows) / 2
+    got = {r["doc_id"]: r["component_id"] for r in cp.simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [4_000_000, 2000])
+def test_similar_groups_in_stripes(spark, most):
+    """A group of candidates dealt to stripes has the links of all pairs."""
+    sim, rng = cp.simhash, random.Random(4)
+    w = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(100)]
+    rows = [(i, " ".join(w[: 100 - k] + [f"x{i}y{j}" for j in range(k)])) for i, k in enumerate([0, 4, 5, 6, 12, 18, 19, 20, 30, 40] * 4)]
+    s = {i: shingles(t) for i, t in rows}
+    want = {i: i for i in s}
+    for _ in s:
+        for a in s:
+            for b in s:
+                if 10 * len(s[a] & s[b]) >= 8 * len(s[a] | s[b]):
+                    want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = sim.fingerprints(docs, 5, (42, 43, 44, 45), False).withColumnRenamed("doc_id", "node")
+    nodes = nodes.groupBy("n", "digest", "f0", "f1", "f2", "f3").agg(F.min("node").alias("node"))
+    links = sim.similar(docs, nodes, nodes.select("node", F.lit(0).cast("long").alias("root")), 5, (42, 43, 44, 45), 256, 0.8, most)
+    got = {r["node"]: r["root"] for r in sim.components(links).collect()}
+    assert {i: got.get(i, i) for i in s if s[i] != s[0] or i == 0} == {i: k for i, k in want.items() if s[i] != s[0] or i == 0}
+
+
 def test_decontamination_stage(spark, stages):
     items = [t for _, t in texts(spark.read.parquet(f"{SF}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))]
     whole = [" ".join(t.split()) for t in items]
