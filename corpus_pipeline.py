@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: the columns of documents, but for the last one, which
 adds the mix's columns. A runner writes what a stage returns as Parquet and reads it back as the next one's docs.
-Ids name documents: rows that repeat an id count as copies of one document.
+Decisions apply to rows: a stage that must find a row again numbers them first, so null and repeated ids are neither
+skipped nor multiplied.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from siltflow.llm.shared import Scratch, fold, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents and row_id, written once, so that a row has the same number wherever it is read."""
+    return Scratch(spark).keep(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Drops texts without letters and texts of which under half of the n-grams are known to any one language; fills null lang."""
     docs = docs.select(*COLUMNS)
@@ -24,18 +30,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates on five-word shingles; null ids stay."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """Keeps the document with the smallest id of each group of near-duplicates on five-word shingles, and one of
+    those without an id."""
+    docs = numbered(spark, docs)
+    groups = simhash.near_duplicates(docs.select(F.col("row_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("g_id"), "component_id")
+    members = docs.select("doc_id", "row_id").join(groups, F.col("row_id") == F.col("g_id"))
+    kept = members.groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row_id"))["row_id"].alias("kept"))
+    return docs.join(kept, F.col("row_id") == F.col("kept"), "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain passages of the benchmark, re-parameterised ones included."""
-    bad = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    docs = numbered(spark, docs)
+    bad = decontaminate.contaminated(docs.select(F.col("row_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     bad = bad.select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad"), "left_anti").select(*COLUMNS)
+    return docs.join(bad, F.col("row_id") == F.col("bad"), "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +57,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the number of copies that the mix takes of it, and what led to it."""
-    plan = mixing.mix(docs.select("doc_id", "source", "text"))
-    plan = plan.withColumnRenamed("doc_id", "p_id")
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id"))).select(*COLUMNS, "size", "source_size", "target", "taken", "copies")
+    docs = numbered(spark, docs)
+    plan = mixing.mix(docs.select("row_id", "doc_id", "source", "text"), keep=("row_id",))
+    plan = plan.drop("doc_id").withColumnRenamed("row_id", "p_id")
+    return docs.join(plan, F.col("row_id") == F.col("p_id")).select(*COLUMNS, "size", "source_size", "target", "taken", "copies")
 
 
 STAGES = [

@@ -22,8 +22,8 @@ from .shared import WORD, settle, table
 ROUNDING_BUCKETS = 4096
 
 
-def token_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def token_sizes(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(*keep, "doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -74,9 +74,9 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-7, st
     return state.select("source", "source_size", "mean", "target", "lam")
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, seed: int = 17) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken, copies, rate."""
-    sizes = settle(token_sizes(docs))
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: the columns that keep names, doc_id, size, source_size, target, taken, copies, rate."""
+    sizes = settle(token_sizes(docs, keep=keep))
     duals = solve_dual(sizes, source_targets(sizes, weights, share))
     t = duals.withColumnRenamed("source", "t_source")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("lam").isNull(), F.when(F.col("target") > 0, 2.0).otherwise(0.0)).otherwise(tilt(F.col("lam"), F.col("size") / F.col("mean")))
@@ -93,12 +93,12 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, seed: int
     cut = cut.select(F.col("source").alias("c_source"), F.col("cut.bucket").alias("cut"), F.col("cut.left").alias("left"))
     rows = rows.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     at_cut = F.col("bucket") == F.col("cut")
-    out = lambda df, more: df.select("doc_id", "size", "source_size", "target", (F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + more)).cast("long").alias("copies"), "rate")
+    out = lambda df, more: df.select(*keep, "doc_id", "size", "source_size", "target", (F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + more)).cast("long").alias("copies"), "rate")
     rest = out(rows.where(F.coalesce(~at_cut, F.lit(True))), F.when(F.col("bucket").isNull(), 0).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1).otherwise(0))
-    run = F.sum("size").over(W.partitionBy("source").orderBy("at", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
+    run = F.sum("size").over(W.partitionBy("source").orderBy("at", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, W.currentRow))
     edge = out(rows.where(at_cut).withColumn("run", run), F.when(F.col("run") - F.col("size") / 2 <= F.col("left"), 1).otherwise(0))
     both = rest.unionByName(edge)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    return both.select(*keep, "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

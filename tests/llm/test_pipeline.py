@@ -139,6 +139,20 @@ def test_mixing_stage(stages):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
 
 
+def test_null_and_repeated_ids_are_rows(spark, stages):
+    """Copies without an id are one, leaks without an id go, other texts of one id stay, and mixing multiplies nothing."""
+    own = [t for i, t in texts(stages[0]) if i is not None and 5000 <= i < 5006]
+    leak = max((t for _, t in texts(spark.read.parquet(f"{SF}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))), key=len)
+    rows = [(None, own[0], "en", "a", 1), (None, own[0], "en", "a", 1), (None, own[1], "en", "a", 1), (None, own[2] + " " + leak, "en", "a", 1), (7, own[3], "en", "a", 1), (7, own[4], "en", "a", 1), (8, own[4], "en", "a", 1)]
+    dedup = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, texts(dedup))) == sorted(map(key, [(r[0], r[1]) for r in rows[1:6]]))
+    clean = cp.decontamination(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted(map(key, texts(clean))) == sorted(map(key, [(r[0], r[1]) for r in rows if leak not in r[1]]))
+    mixed = cp.mixture(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted(map(key, texts(mixed))) == sorted(map(key, [(r[0], r[1]) for r in rows]))
+
+
 def test_empty_table(spark, docs):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
