@@ -2,11 +2,13 @@
 
 Texts become sequences of canonical tokens: numbers, names (capitalised words inside a sentence) and units after a
 number are typed placeholders, everything else is a lower-case word; neighbouring numbers or names are one slot.
-Windows of `width` tokens with at least `literal` words are hash-joined with the windows of the benchmark. A hit
-carries the values of its slots: one value of the item must stand for one value of the document, wherever it occurs
-in the matched windows, so that re-parameterised questions match and chance templates don't. A document is
-contaminated by an item if consistent windows cover `run` tokens of it, or half of its windows. Items shorter than
-`width` are windows of their own length; items of fewer than three words match nothing.
+A capitalised word that begins a sentence is read as a word, and in a second reading of the text as a name, if it is
+one inside a sentence within NEAR tokens; the readings are matched apart. Windows of `width` tokens are hash-joined
+with the windows of the benchmark: as templates if they have at least `literal` words, or DISTINCT different ones,
+else with the values of their slots. A template's hit carries the values of its slots: one value of the item must stand for one value of the
+document, so that re-parameterised questions match and chance templates don't. A document is
+contaminated by an item if consistent windows cover `run` tokens of it, or half of its windows. Items shorter than `width` are windows of their own length;
+items of fewer than three tokens match nothing.
 
 A bit table of the benchmark's windows, of a fixed size, is broadcast to drop most other windows before the join,
 while the benchmark has at most `most_windows` of them; beyond that all windows are joined. The join itself is left
@@ -35,6 +37,7 @@ day days week weeks month months year years mph kmh hz khz mhz ghz w kw v volt v
 dollar dollars cent cents euro euros usd eur gbp b kb mb gb tb""".split()
 WORD, NUMBER, NAME, UNIT = range(4)
 BITS = 22
+NEAR, DISTINCT = 200, 3
 BASE = 0xD1342543DE82EF95
 _B = np.arange(256)
 CORE = (_B >= 128) | ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
@@ -59,8 +62,24 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_word_hashes(UNITS))
 
 
-def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: row, kind, hash of the word itself; slots of several words have one token with their joint hash."""
+def near_names(row: np.ndarray, own: np.ndarray, name: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of the asked tokens are the same word as a name of their row within NEAR tokens."""
+    at = np.flatnonzero(name | asked)
+    key = mix64(own[at] ^ mix64(row[at].astype(np.uint64) + U(1)))
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    out = np.zeros(len(own), bool)
+    for step in (1, -1):
+        a, k, is_name = at[::step], key[::step], name[at[::step]]
+        last = np.maximum.accumulate(np.where(is_name, np.arange(len(a)), -1))
+        found = (last >= 0) & (k[last] == k) & (np.abs(a[last] - a) <= NEAR)
+        out[a[found]] = True
+    return out & asked
+
+
+def canonical(data: np.ndarray, offs: np.ndarray, second_reading: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: row, kind, hash of the word itself; slots of several words have one token with their joint hash.
+    second_reading: with names that begin sentences, and of the rows only those that have some."""
     core = np.r_[False, CORE[data], False]
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
@@ -80,7 +99,14 @@ def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before = np.r_[0, end[:-1]] if len(row) else end
     stops = np.r_[0, np.cumsum(_STOP[data])]
     first = first | (stops[start] > stops[np.minimum(before, start)]) if len(row) else first
-    name = upper & ~first & ~number & ~shout & (end - start > 1)
+    name = upper & ~number & ~shout & (end - start > 1)
+    name, begins = name & ~first, name & first
+    if second_reading:
+        begins = near_names(row, own, name, begins)
+        some = np.zeros(len(offs), bool)
+        some[row[begins]] = True
+        keep = some[row]
+        start, end, own, row, number, name = start[keep], end[keep], own[keep], row[keep], number[keep], (name | begins)[keep]
     kind = np.where(number, NUMBER, np.where(name, NAME, WORD))
     if len(kind) > 1:
         after = np.r_[False, number[:-1] & (row[1:] == row[:-1])]
@@ -95,18 +121,26 @@ def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, kind, own
 
 
-def windows(row: np.ndarray, kind: np.ndarray, own: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of windows of width tokens with at least `literal` words, and the index of their first tokens."""
+def windows(row: np.ndarray, kind: np.ndarray, own: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of windows of width tokens, the index of their first tokens, and whether slots are hashed by value, not
+    by kind: in windows of fewer than `literal` words, unless DISTINCT of these differ."""
     n = len(row)
     if n < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     h = np.where(kind == WORD, own, mix64(kind.astype(np.uint64)))
     size = 1 << (n + 1).bit_length()
-    total = np.r_[U(0), np.cumsum(h * powers(BASE, size)[:n])]
+    total, valued = (np.r_[U(0), np.cumsum(x * powers(BASE, size)[:n])] for x in (h, own))
     words = np.r_[0, np.cumsum(kind == WORD)]
     i = np.arange(n - width + 1)
-    i = i[(row[i] == row[i + width - 1]) & (words[i + width] - words[i] >= literal)]
-    return mix64(mix64((total[i + width] - total[i]) * powers(pow(BASE, -1, 1 << 64), size)[i]) + U(width)), i
+    i = i[row[i] == row[i + width - 1]]
+    order = np.argsort(own, kind="stable")
+    same = own[order][1:] == own[order][:-1]
+    last = np.full(n, -1)
+    last[order[1:][same]] = order[:-1][same]
+    differ = sum(((kind[i + k] == WORD) & (last[i + k] < i)).astype(np.int64) for k in range(width))
+    few = (words[i + width] - words[i] < literal) & (differ < DISTINCT)
+    over = np.where(few, valued[i + width] - valued[i], total[i + width] - total[i])
+    return mix64(mix64(over * powers(pow(BASE, -1, 1 << 64), size)[i]) + U(width) + few.astype(np.uint64) * U(1 << 32)), i, few
 
 
 def slots(at: np.ndarray, kind: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +151,7 @@ def slots(at: np.ndarray, kind: np.ndarray, own: np.ndarray, width: int) -> tupl
 
 
 def template_windows(texts: DataFrame, widths: list[tuple[int, int]], whole: bool = False, bits: bytes | None = None) -> DataFrame:
-    """texts: id, text. Returns key, id, pos, slots for each (width, least words). whole: windows of all widths but the
+    """texts: id, text. Returns key, reading, valued, id, pos, slots for each (width, least words). whole: windows of all widths but the
     first only where they are a whole text. bits: a table of the keys that matter."""
     shipped = texts.sparkSession.sparkContext.broadcast(bits)
 
@@ -127,22 +161,28 @@ def template_windows(texts: DataFrame, widths: list[tuple[int, int]], whole: boo
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for lo, hi, data, offs in chunks(batch.column(1)):
-                    row, kind, own = canonical(data, offs)
-                    n = np.bincount(row, minlength=hi - lo)
-                    for i, (width, literal) in enumerate(widths):
-                        key, at = windows(row, kind, own, width, literal)
+                    readings = [canonical(data, offs, second) for second in (False, True)]
+                    for reading, i, (width, literal) in ((r, i, w) for r in (0, 1) for i, w in enumerate(widths)):
+                        row, kind, own = readings[reading]
+                        n = np.bincount(row, minlength=hi - lo)
+                        key, at, few = windows(row, kind, own, width, literal)
                         keep = n[row[at]] == width if whole and i else np.ones(len(at), bool)
                         if wanted is not None:
                             keep &= wanted[(key & U((1 << BITS) - 1)).astype(np.int64)]
                             keep[keep] = wanted[(key[keep] >> U(64 - BITS)).astype(np.int64)]
-                        key, at = key[keep], at[keep]
+                        if not whole:  # one hit of a window by value tells all, wherever it stands
+                            once = np.flatnonzero(keep & few)
+                            tag = key[once] ^ mix64(row[at[once]].astype(np.uint64) + U(1))
+                            keep[once] = False
+                            keep[once[np.unique(tag, return_index=True)[1]]] = True
+                        key, at, few = key[keep], at[keep], few[keep]
                         if len(key):
                             flat, many = slots(at, kind, own, width)
                             values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(flat))
                             first = (np.cumsum(n) - n)[row[at]]
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo + row[at]].astype(np.int64)), pa.array(at - first), values], ["key", "id", "pos", "slots"])
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), reading)), pa.array(few), pa.array(ids[lo + row[at]].astype(np.int64)), pa.array(at - first), values], ["key", "reading", "valued", "id", "pos", "slots"])
 
-    return texts.select("id", "text").where("id is not null and text is not null").mapInArrow(run, "key bigint, id bigint, pos bigint, slots array<bigint>")
+    return texts.select("id", "text").where("id is not null and text is not null").mapInArrow(run, "key bigint, reading bigint, valued boolean, id bigint, pos bigint, slots array<bigint>")
 
 
 def short_lengths(items: DataFrame, width: int) -> list[int]:
@@ -152,7 +192,8 @@ def short_lengths(items: DataFrame, width: int) -> list[int]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo, hi, data, offs in chunks(batch.column(0)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.bincount(canonical(data, offs)[0], minlength=hi - lo))], ["n"])
+                    for second in (False, True):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.bincount(canonical(data, offs, second)[0], minlength=hi - lo))], ["n"])
 
     return sorted(r["n"] for r in items.select("text").where("text is not null").mapInArrow(run, "n bigint").where((F.col("n") < width) & (F.col("n") >= 3)).distinct().collect())
 
@@ -162,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal:
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text")
     widths = [(width, literal), *((w, max(3, w - 3)) for w in short_lengths(items, width))]
     own = template_windows(items, widths, whole=True)
-    own = settle(own.select("key", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
+    own = settle(own.select("key", "reading", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
     n = own.count()
     bits = None
     if n <= most_windows:
@@ -172,17 +213,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal:
         table_[(keys >> U(64 - BITS)).astype(np.int64)] = True
         bits = table_.tobytes()
     hits = template_windows(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), widths, bits=bits)
-    found = hits.join(own, "key").select(F.col("id").alias("doc_id"), "pos", "item_id", "item_pos", F.arrays_zip("item_slots", "slots").alias("pairs"))
-    # each value of the item stands for the document's value that it is most often paired with
-    votes = found.select("doc_id", "item_id", F.explode("pairs").alias("p")).groupBy("doc_id", "item_id", "p.item_slots", "p.slots").agg(F.count("*").alias("n"))
-    usual = votes.groupBy("doc_id", "item_id", "item_slots").agg(F.max(F.struct("n", "slots"))["slots"].alias("usual"))
-    usual = usual.groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("item_slots", "usual"))).alias("map"))
+    found = hits.join(own, ["key", "reading"]).select(F.col("id").alias("doc_id"), "item_id", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "valued", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    by = ["doc_id", "item_id", "reading"]
+    equal = found.where("valued").groupBy(*by).agg(F.collect_set("item_pos").alias("equal"))
+    band = lambda code, at: F.struct(F.lit(code).alias("of"), at.cast("bigint").alias("at"))
+    bands = [band(3, F.lit(0))]
+    found = found.where("not valued").withColumn("part", F.explode(F.array(*bands)))
+    by_part = [*by, "part"]
+    # each value of the item stands for the value of this part of the document that it is most often paired with
+    votes = found.select(*by_part, F.explode("pairs").alias("p")).groupBy(*by_part, "p.item_slots", "p.slots").agg(F.count("*").alias("n"))
+    usual = votes.groupBy(*by_part, "item_slots").agg(F.max(F.struct("n", "slots"))["slots"].alias("usual"))
+    usual = usual.groupBy(*by_part).agg(F.map_from_entries(F.collect_list(F.struct("item_slots", "usual"))).alias("map"))
     agreed = F.forall("pairs", lambda p: F.element_at("map", p["item_slots"]) == p["slots"])
-    sound = found.join(usual, ["doc_id", "item_id"], "left").where((F.size("pairs") == 0) | agreed)
-    per = sound.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    sizes = own.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
+    sound = found.join(usual, by_part, "left").where((F.size("pairs") == 0) | agreed)
+    alike = sound.groupBy(*by_part).agg(F.collect_set("item_pos").alias("alike"))
+    none = F.array().cast("array<bigint>")
+    per = alike.join(equal, by, "full").select(*by, F.size(F.array_union(F.coalesce("alike", none), F.coalesce("equal", none))).cast("bigint").alias("n_windows"))
+    sizes = own.groupBy("item_id", "reading").agg(F.countDistinct("item_pos").alias("item_windows"))
     enough = (F.col("n_windows") >= run - width + 1) | (2 * F.col("n_windows") >= F.col("item_windows"))
-    return per.join(sizes, "item_id").where(enough).select("doc_id", "item_id", "n_windows", "item_windows")
+    most = per.join(sizes, ["item_id", "reading"]).where(enough).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "item_windows")).alias("most"))
+    return most.select("doc_id", "item_id", "most.n_windows", "most.item_windows")
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

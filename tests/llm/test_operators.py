@@ -363,6 +363,26 @@ def test_decontamination_of_parameters(spark):
     assert decontaminate.verdicts(d, b, most_windows=0).where("contaminated").count() >= 2
 
 
+def leaks(spark, item, *texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    return [bool(r["items"]) for r in sorted(decontaminate.verdicts(d, b).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Tom gives 2 apples to Ann. How many apples does Tom have?"
+    other = "Sue has 9 apples. Sue gives 4 apples to Bob. How many apples does Sue have?"
+    mixed = "Sue has 9 apples. Eve gives 4 apples to Bob. How many apples does Kim have?"
+    assert leaks(spark, item, item, other, "The Hague is far. The road is long. " + item, "The apples of Tom are red. How many does Ann eat?", mixed)[:4] == [True, True, True, False]
+
+
+def test_decontamination_of_items_of_few_words(spark):
+    item = "Add 12, 15, 18 and 21 then divide by 3"
+    assert leaks(spark, item, "Now: " + item, "Add 7, 5, 9 and 4 then divide by 2", "Lines 12, 15, 18 and 21 are long") == [True, True, False]
+    item = "12, 15, 18, 21, 24, 27, 30, 33, 36, what next?"
+    assert leaks(spark, item, "So " + item, "13, 17, 19, 22, 25, 28, 31, 34, 37 were sold") == [True, False]
+
+
 def waterfill(sizes, share=1.5, cap=2.0):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
