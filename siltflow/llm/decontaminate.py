@@ -6,8 +6,10 @@ A capitalised word that begins a sentence is read as a word, and in a second rea
 one inside a sentence within NEAR tokens; the readings are matched apart. Windows of `width` tokens are hash-joined
 with the windows of the benchmark: as templates if they have at least `literal` words, or DISTINCT different ones,
 else with the values of their slots. A template's hit carries the values of its slots: one value of the item must stand for one value of the
-document, so that re-parameterised questions match and chance templates don't. A document is
-contaminated by an item if consistent windows cover `run` tokens of it, or half of its windows. Items shorter than `width` are windows of their own length;
+document, so that re-parameterised questions match and chance templates don't. This is decided for each alignment
+(place in the document less place in the item), for bands of BAND neighbouring alignments, as of copies with words
+put in or left out, and for the whole document. A document is contaminated by an item if consistent windows of one of
+these cover `run` tokens of it, or half of its windows. Items shorter than `width` are windows of their own length;
 items of fewer than three tokens match nothing.
 
 A bit table of the benchmark's windows, of a fixed size, is broadcast to drop most other windows before the join,
@@ -37,7 +39,7 @@ day days week weeks month months year years mph kmh hz khz mhz ghz w kw v volt v
 dollar dollars cent cents euro euros usd eur gbp b kb mb gb tb""".split()
 WORD, NUMBER, NAME, UNIT = range(4)
 BITS = 22
-NEAR, DISTINCT = 200, 3
+NEAR, BAND, DISTINCT = 200, 16, 3
 BASE = 0xD1342543DE82EF95
 _B = np.arange(256)
 CORE = (_B >= 128) | ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
@@ -216,8 +218,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal:
     found = hits.join(own, ["key", "reading"]).select(F.col("id").alias("doc_id"), "item_id", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "valued", F.arrays_zip("item_slots", "slots").alias("pairs"))
     by = ["doc_id", "item_id", "reading"]
     equal = found.where("valued").groupBy(*by).agg(F.collect_set("item_pos").alias("equal"))
+    # alignments: each alone, in two bands of neighbours, and all of the document
     band = lambda code, at: F.struct(F.lit(code).alias("of"), at.cast("bigint").alias("at"))
-    bands = [band(3, F.lit(0))]
+    bands = [band(0, F.col("shift")), band(1, F.floor(F.col("shift") / BAND)), band(2, F.floor((F.col("shift") + BAND // 2) / BAND)), band(3, F.lit(0))]
     found = found.where("not valued").withColumn("part", F.explode(F.array(*bands)))
     by_part = [*by, "part"]
     # each value of the item stands for the value of this part of the document that it is most often paired with

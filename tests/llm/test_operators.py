@@ -383,6 +383,17 @@ def test_decontamination_of_items_of_few_words(spark):
     assert leaks(spark, item, "So " + item, "13, 17, 19, 22, 25, 28, 31, 34, 37 were sold") == [True, False]
 
 
+def test_decontamination_of_two_variants(spark):
+    """Each variant agrees with the item, though the two together don't; chance hits elsewhere don't outvote a passage."""
+    item = "Sam sold 12 red and 7 green lamps to Ann"
+    variants = ["We know Eve sold 3 red and 9 green lamps to Bob.", "We know Kim sold 8 red and 2 green lamps to Joe."]
+    long_item = "There were 12 birds and 15 cats near the old mill, and later 12 dogs came by with 15 mice and a fox"
+    passage = long_item.replace("12", "70").replace("15", "30")
+    chance = " ".join(f"Note: birds and {i} cats near the old mill, and later {i + 5} rain." for i in range(100, 130))
+    assert leaks(spark, item, *variants, " ".join(variants), " ".join([item, *variants])) == [True] * 4
+    assert leaks(spark, long_item, passage, chance + " " + passage) == [True, True]
+
+
 def waterfill(sizes, share=1.5, cap=2.0):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
