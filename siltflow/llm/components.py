@@ -42,5 +42,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components are not done after {most} steps")
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select("root", "root").distinct())

@@ -1,21 +1,24 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A fingerprint bit is 1 if it is set in over half of the XXH64 hashes of the text's word shingles, each once or with repeats.
-Distinct fingerprints are compared exactly: numpy exclusive-or and bit counts over tiles sorted by population count;
-tile pairs whose population counts lie further apart than the radius are skipped. A pair within radius r agrees on
-one of r + 1 blocks of bits, so where those blocks are long enough, tiles are formed within one block value only,
-and no pair is lost. Block values of more than `most` fingerprints, and radii too wide for blocks, go to a grid:
-rows are dealt to stripes and every pair of stripes is a task of bounded size. A task returns a spanning forest of
-its links, never all pairs; components() joins the forests.
-
-With a ratio, fingerprints only find candidates: the radius is five deviations above the mean distance at that
-similarity, and links of candidates form groups. Within these, two texts are linked only if the exact Jaccard
-similarity of their shingle sets is at least the ratio. Small groups share tasks; groups of more than MOST_SHINGLES
-shingles are dealt to stripes.
-
-Null or wordless text: fingerprint zero, linked like any other. Null ids get the component of equal fingerprints,
-but don't carry one. Equal fingerprints, so repeated rows and ties, are one node named by its smallest id. An empty
-table gives no rows. Columns other than doc_id and text are ignored.
+A fingerprint bit is 1 if it is set in over half of the hashes of the text's word shingles. Distinct fingerprints are
+compared exactly: numpy exclusive-or and bit counts over tiles sorted by population count; tile pairs whose population
+counts lie further apart than the radius are skipped, and so are pairs of tiles already joined. Tiles are formed
+within blocks, of which no pair within reach can miss all:
+
+* fingerprints(): XXH64 of each shingle, repeats counted. A pair within radius r agrees on one of r + 1 blocks of bits.
+* set_prints(): 256 bits of a set of shingles, to find candidates for an exact Jaccard similarity. The radius is five
+  deviations above the mean distance at that similarity, so no block of bits is long enough. Blocks are shingles
+  instead: in any order of all shingles, two sets of similarity t share one of the first n - ceil(t * n) + 1 of theirs.
+  Shingles that a sketch of all documents finds frequent come last in that order, so common passages make no blocks.
+  Shingles that occur in the same sets are one block. Two candidates are linked only if the exact similarity of their
+  shingle sets is at least the ratio.
+
+Block values of more than `most` fingerprints go to a grid: rows are dealt to stripes and every pair of stripes is a
+task of bounded size. A task returns a spanning forest of its links, never all pairs; components() joins the forests.
+
+Null or wordless text: fingerprint zero, linked like any other. Equal fingerprints (or sets), so repeated rows, ties
+and rows without an id, are one node; a row without an id links others and gets the smallest id of its component,
+null if there is none. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,65 +32,128 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components, roots
-from .shared import settle, table
-from .tokens import mix64
+from .shared import Scratch, settle, table
+from .tokens import LOWER, U, Words, chunks, mix64, powers
 
 TILE = 1024
+#: Slots of the sketch of frequent shingles, and how many times the mean load a slot of one task has to be frequent.
+SLOTS, OFTEN = 1 << 20, 8
+BASE = 0xD1342543DE82EF95
 #: Shingles of a task's side, some 8 bytes each, while sets are compared.
 MOST_SHINGLES = 4_000_000
 #: Of 256 bits, sets of 4 and 5 shingles at similarity 0.8 differ in 48 on average, with a deviation of 6; larger ones in 41 at most.
 SMALL, WIDER = 5, 8
 
 
-def shingle_hashes(text: str | None, k: int, seeds: tuple[int, ...], repeats: bool = True) -> list[np.ndarray]:
+def shingle_hashes(text: str | None, k: int, seed: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
-        return [np.zeros(0, np.uint64) for _ in seeds]
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - k + 1)
     at = list(accumulate(map(len, words), lambda a, x: a + x + 1, initial=0))
     parts = [joined[s : e - 1] for s, e in zip(at, at[k:])] if len(words) > k else [joined]
-    if not repeats:
-        parts = list(set(parts))
-        n = len(parts)
-    return [np.fromiter((xxhash.xxh64_intdigest(p, s) for p in parts), np.uint64, n) for s in seeds]
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, n)
 
 
-def digest_of(hashes: np.ndarray) -> int:
-    return int(mix64(hashes).sum(dtype=np.uint64).view(np.int64))
-
-
-def majority(hashes: list[np.ndarray]) -> np.ndarray:
-    """The fingerprint of each array of hashes."""
-    n = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(hashes), np.uint64)
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of n[i] hashes; 0 for none."""
+    out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
-    if len(some):
-        bits = np.unpackbits(np.concatenate([hashes[i] for i in some]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, np.r_[0, np.cumsum(n[some])[:-1]], axis=0, dtype=np.int32)
-        out[some] = np.packbits(sums * 2 > n[some, None], axis=1).view(">u8").ravel()
+    starts = np.cumsum(n) - n
+    at = 0
+    while at < len(some):  # about 100,000 hashes at once, as bits
+        end = max(at + 1, int(np.searchsorted(starts[some], starts[some[at]] + 100_000)))
+        rows = some[at:end]
+        lo, hi = starts[rows[0]], starts[rows[-1]] + n[rows[-1]]
+        bits = np.unpackbits(hashes[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.add.reduceat(bits, starts[rows] - lo, axis=0, dtype=np.int32)
+        out[rows] = np.packbits(sums * 2 > n[rows, None], axis=1).view(">u8").ravel()
+        at = end
     return out
 
 
-def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...], repeats: bool = True) -> DataFrame:
-    """doc_id, n (shingles), digest (a sum over them, equal for equal sets), f0, f1 ... (one word of 64 bits for each seed)."""
+def fingerprints(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """doc_id, n (shingles), f0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            kept: list[list[np.ndarray]] = []
-            n, digest, words, held = [], [], [[] for _ in seeds], 0
-            for i in range(len(texts)):
-                kept.append(shingle_hashes(texts[i].as_py(), k, seeds, repeats))
-                n.append(len(kept[-1][0]))
-                digest.append(digest_of(kept[-1][0]))
-                held += n[-1]
-                if held > 100_000 or i + 1 == len(texts):
-                    for w, hs in zip(words, zip(*kept)):
-                        w.append(majority(list(hs)).view(np.int64))
-                    kept, held = [], 0
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.int64()), *(pa.array(np.concatenate(w) if w else np.zeros(0, np.int64)) for w in words)], ["doc_id", "n", "digest", *(f"f{i}" for i in range(len(seeds)))])
-
-    schema = "doc_id bigint, n bigint, digest bigint, " + ", ".join(f"f{i} bigint" for i in range(len(seeds)))
+            n, f, held, size = [], [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                held.append(shingle_hashes(text.as_py(), k, seed))
+                n.append(len(held[-1]))
+                size += n[-1]
+                if size > 100_000 or i + 1 == len(batch):
+                    f.append(majority(np.concatenate(held), np.array(n[-len(held) :], np.int64)).view(np.int64))
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.concatenate(f) if f else np.zeros(0, np.int64))], ["doc_id", "n", "f0"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, f0 bigint")
+
+
+def shingle_arrays(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of k-word shingles of a chunk's texts, sorted, flat; and the size of each. A text of fewer words, if
+    any, is one shingle."""
+    w = Words(data, offs)
+    h, n_rows = w.hashes(LOWER), len(offs) - 1
+    size = 1 << (len(h) + 1).bit_length()
+    total = np.r_[U(0), np.cumsum(h * powers(BASE, size)[: len(h)])]
+    first = np.cumsum(w.per_row) - w.per_row
+    many = np.where(w.per_row > 0, np.maximum(w.per_row - k + 1, 1), 0)
+    row = np.repeat(np.arange(n_rows), many)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
+    long = np.minimum(w.per_row, k)[row]
+    key = (total[i + long] - total[i]) * powers(pow(BASE, -1, 1 << 64), size)[i]
+    key = mix64(mix64(key) + long.astype(np.uint64))
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])] if len(key) else np.zeros(0, bool)
+    return key[new], np.bincount(row[new], minlength=n_rows)
+
+
+def frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """The sketch: for each slot of shingle hashes, how often its shingles occur in sets, as a power of two; 0 for slots
+    that no task finds outstanding. A task sends its outstanding slots only, so at most SLOTS / OFTEN of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(SLOTS, np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for _, _, data, offs in chunks(batch.column(0)):
+                    count += np.bincount((shingle_arrays(data, offs, k)[0] & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(count >= OFTEN * (1 + count.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count[slot])], ["slot", "n"])
+
+    found = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[found.column("slot").to_numpy()] = np.log2(found.column("n").to_numpy()).astype(np.uint8)
+    return out
+
+
+def set_prints(docs: DataFrame, k: int, words: int, ratio: float) -> DataFrame:
+    """doc_id, n (shingles, each once), digest (a sum over them, equal for equal sets), f0, f1 ..., and firsts: the
+    shingles of which a set of that similarity has one of its own firsts."""
+    seeds = [mix64(np.array([0x5EED + i], np.uint64))[0] for i in range(words)]
+    rank = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = rank.value
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for lo, hi, data, offs in chunks(batch.column(1)):
+                    h, n = shingle_arrays(data, offs, k)
+                    starts, some = np.cumsum(n) - n, n > 0
+                    digest = np.zeros(hi - lo, np.uint64)
+                    if some.any():
+                        digest[some] = np.add.reduceat(mix64(h), starts[some])
+                    prints = [majority(mix64(h ^ s), n) for s in seeds]
+                    row = np.repeat(np.arange(hi - lo), n)
+                    order = np.lexsort((h, often[(h & U(SLOTS - 1)).astype(np.int64)], row))
+                    take = np.where(some, n - np.ceil(ratio * n - 1e-9).astype(np.int64) + 1, 0)
+                    keep = np.arange(len(h)) - starts[row] < take[row]
+                    firsts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(h[order][keep].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest.view(np.int64)), *(pa.array(f.view(np.int64)) for f in prints), firsts], ["doc_id", "n", "digest", *(f"f{i}" for i in range(words)), "firsts"])
+
+    schema = "doc_id bigint, n bigint, digest bigint, " + ", ".join(f"f{i} bigint" for i in range(words)) + ", firsts array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
@@ -131,6 +197,8 @@ def tile_roots(f: np.ndarray, n: np.ndarray, radius: int, ratio: float, other: i
             if far(key[rows[-1]], key[cols[0]]):
                 break
             reach = radius + WIDER * bool(ratio and min(key[rows[0]], key[cols[0]]) < SMALL)
+            if len(np.unique(np.r_[lab[rows], lab[cols]])) == 1:  # joined already
+                continue
             if far(key[cols[-1]], key[rows[0]]) or count[rows].min() - count[cols].max() > reach or count[cols].min() - count[rows].max() > reach:
                 continue
             i, j = near_pairs(f[rows], f[cols], reach)
@@ -202,16 +270,27 @@ def on_grid(rows: DataFrame, size, width: int, radius: int, ratio: float, most:
     return dealt.groupBy("task").applyInArrow(grid, "src bigint, dst bigint")
 
 
-def links(nodes: DataFrame, width: int, radius: int, ratio: float = 0.0, most: int = 60_000) -> DataFrame:
-    """Links (src, dst) that span the groups of nodes (node, n, f0 ...) within the radius; most: rows of a task's side."""
-    columns = ["node", "n", *(f"f{i}" for i in range(width))]
-    if 64 * width // (radius + 1) < 12:
-        size = nodes.count()
-        return on_grid(nodes.select(F.lit(0).alias("key"), *columns), F.lit(size), width, radius, ratio, most)
+def bit_blocks(nodes: DataFrame, radius: int) -> DataFrame:
+    """key, node: the radius + 1 blocks of f0, one of which two fingerprints within the radius share."""
     size = 64 // (radius + 1)
-    parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft("f0", 64 - hi), 64 - (hi - lo)).alias("v")) for i, (lo, hi) in enumerate((i * size, 64 if i == radius else (i + 1) * size) for i in range(radius + 1))]
-    keyed = nodes.select(F.explode(F.array(*parts)).alias("key"), *columns)
-    counts = settle(keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most))
+    cuts = [(i * size, 64 if i == radius else (i + 1) * size) for i in range(radius + 1)]
+    parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft("f0", 64 - hi), 64 - (hi - lo)).alias("v")) for i, (lo, hi) in enumerate(cuts)]
+    return nodes.select(F.explode(F.array(*parts)).alias("key"), "node")
+
+
+def shared_firsts(firsts: DataFrame) -> DataFrame:
+    """firsts: node, firsts. key, node for shingles that are firsts of two nodes or more; of those with the same nodes, one."""
+    keyed = firsts.select(F.explode("firsts").alias("v"), "node")
+    shared = keyed.groupBy("v").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
+    one = shared.groupBy("n", "who").agg(F.min("v").alias("one")).select("one")
+    return keyed.join(one, F.col("v") == F.col("one"), "left_semi").select(F.struct(F.lit(0).alias("i"), "v").alias("key"), "node")
+
+
+def block_links(nodes: DataFrame, blocks: DataFrame, width: int, radius: int, ratio: float, most: int) -> DataFrame:
+    """Links (src, dst) that span, within each block (key, node), the groups of nodes (node, n, f0 ...) within the radius."""
+    columns = ["node", "n", *(f"f{i}" for i in range(width))]
+    keyed = blocks.join(nodes.select(*columns), "node").select("key", *columns)
+    counts = settle(blocks.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most))
     hot = counts.select(F.col("key").alias("k"), "size")
     cold = keyed.join(hot, F.col("key") == F.col("k"), "left_anti") if hot.head(1) else keyed
 
@@ -252,61 +331,85 @@ def links(nodes: DataFrame, width: int, radius: int, ratio: float = 0.0, most: i
     return found
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """node, digest and shingles (hashes, each once) of each node; docs: doc_id, text; nodes: node, digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
-                sets = [shingle_hashes(t.as_py(), k, (seed,), False)[0] for t in part.column(1)]
-                offs = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-                flat = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), flat)], ["node", "digest", "shingles"])
+def links(nodes: DataFrame, radius: int, most: int = 60_000) -> DataFrame:
+    """Links (src, dst) that span the groups of nodes (node, n, f0) within the radius; most: rows of a task's side. A
+    radius that leaves blocks of under 12 bits compares all, in a grid."""
+    if 64 // (radius + 1) < 12:
+        return on_grid(nodes.select(F.lit(0).alias("key"), "node", "n", "f0"), F.lit(nodes.count()), 1, radius, 0.0, most)
+    return block_links(nodes, bit_blocks(nodes, radius), 1, radius, 0.0, most)
 
-    asked = nodes.select(F.col("node").alias("asked")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(asked, F.col("node") == F.col("asked"), "left_semi")
-    return texts.mapInArrow(run, "node bigint, digest bigint, shingles array<bigint>").dropDuplicates(["node", "digest"])
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, digest and shingles (hashes, each once) of each node; docs: doc_id, text; nodes: node, least, digest."""
 
-def similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, seeds: tuple[int, ...], radius: int, ratio: float, most: int = MOST_SHINGLES) -> DataFrame:
-    """Links (src, dst) that span the groups of exact similarity; nodes: node, n, digest, f0 ...; found: node, root of candidates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for lo, hi, data, offs in chunks(batch.column(1)):
+                    h, n = shingle_arrays(data, offs, k)
+                    digest, some = np.zeros(hi - lo, np.uint64), n > 0
+                    if some.any():
+                        digest[some] = np.add.reduceat(mix64(h), (np.cumsum(n) - n)[some])
+                    sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(h.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest.view(np.int64)), sets], ["doc_id", "digest", "shingles"])
+
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    asked = nodes.select("node", F.col("least").alias("a_id"), F.col("digest").alias("a_digest"))
+    texts = ids.join(asked.select("a_id").distinct(), F.col("doc_id").eqNullSafe(F.col("a_id")), "left_semi")
+    sets = texts.mapInArrow(run, "doc_id bigint, digest bigint, shingles array<bigint>").dropDuplicates(["doc_id", "digest"])
+    return sets.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("digest") == F.col("a_digest"))).select("node", "shingles")
+
+
+def similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, width: int, radius: int, ratio: float, most: int = MOST_SHINGLES) -> DataFrame:
+    """Links (src, dst) that span the groups of exact similarity; nodes: node, least, n, digest, f0 ...; found: node, root of candidates."""
     asked = settle(nodes.join(found, "node"))
     per = settle(asked.groupBy("root").agg(F.sum("n").alias("size")))
     shares = F.lit(per.agg(F.coalesce(F.ceil(F.sum("size") / (most / 4)), F.lit(1))).first()[0])
     large = F.col("size") > most / 4
     key = F.struct(large.alias("large"), F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), shares)).alias("at"))
-    rows = asked.join(per, "root").join(shingle_sets(docs, asked, k, seeds[0]), ["node", "digest"])
-    rows = rows.select(key.alias("key"), F.when(large, F.col("size")).otherwise(1).alias("size"), "node", "n", *(f"f{i}" for i in range(len(seeds))), "shingles")
-    return on_grid(rows, F.col("size"), len(seeds), radius, ratio, most)
+    rows = asked.join(per, "root").join(shingle_sets(docs, asked, k), "node")
+    rows = rows.select(key.alias("key"), F.when(large, F.col("size")).otherwise(1).alias("size"), "node", "n", *(f"f{i}" for i in range(width)), "shingles")
+    return on_grid(rows, F.col("size"), width, radius, ratio, most)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 72, ratio: float = 0.8, repeats: bool = False) -> DataFrame:
+def grouped(prints: DataFrame, nodes: DataFrame, found: DataFrame, same: list[str]) -> DataFrame:
+    """prints with component_id. nodes: node, least (id), and the columns `same` that name it; found: node, root."""
+    comp = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = comp.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = comp.join(least, "root").select(*(F.col(w).alias(f"_{w}") for w in same), "component_id")
+    on = F.lit(True)
+    for w in same:
+        on &= F.col(w) == F.col(f"_{w}")
+    return prints.join(named, on, "left").drop(*(f"_{w}" for w in same))
+
+
+def bit_duplicates(docs: DataFrame, k: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """One row for each row of docs: doc_id, f0, component_id (the smallest id reachable by links of at most radius bits)."""
+    prints = settle(fingerprints(docs, k, seed))
+    nodes = settle(prints.groupBy("f0").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")).withColumn("node", F.col("f0")))
+    return grouped(prints, nodes, components(links(nodes, radius)), ["f0"]).select("doc_id", "f0", "component_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, ratio: float = 0.8, words: int = 4, radius: int = 72) -> DataFrame:
     """One row for each row of docs: doc_id, f0, f1 ..., component_id (the smallest id of its group).
 
-    ratio: the least Jaccard similarity of the shingle sets of linked texts; 0: the radius alone decides. The defaults
-    are for five-word shingles: at similarity 0.8, 41 of 256 bits differ on average, with a deviation of 6.
+    ratio: the least Jaccard similarity of the sets of k-word shingles of linked texts. At 0.8, 41 of the 256 bits
+    differ on average, with a deviation of 6; the radius is the bound of candidates that goes with it.
     """
-    if ratio and repeats:
-        raise ValueError("a ratio compares sets, without repeats")
-    if ratio and 64 * len(seeds) // (radius + 1) >= 12:
-        raise ValueError("a ratio needs the grid")
-    width = [f"f{i}" for i in range(len(seeds))]
-    prints = settle(fingerprints(docs, k, seeds, repeats))
-    same = [*width, "n", "digest"] if ratio else width  # equal sets, or equal fingerprints
-    named = F.min("doc_id").alias("node")
-    nodes = settle((prints.groupBy(*same).agg(named) if ratio else prints.groupBy(*same).agg(named, F.max("n").alias("n"))).where("node is not null"))
+    width = [f"f{i}" for i in range(words)]
+    same = ["n", "digest"]
+    prints = Scratch(docs.sparkSession).keep(set_prints(docs, k, words, ratio), "prints")
+    named = F.struct("doc_id", *width, "firsts")
+    sets = prints.groupBy(*same).agg(F.min("doc_id").alias("least"), F.first(named).alias("p"))
+    nodes = settle(sets.select(F.xxhash64(*same).alias("node"), *same, "least", *(F.col(f"p.{w}").alias(w) for w in width), "p.firsts"))
     # a set of n shingles and another one are similar by n / (n + 1) at most
-    found = components(links(nodes.where(F.col("n") >= ratio * (F.col("n") + 1) - 1e-9) if ratio else nodes, len(seeds), radius, ratio))
-    if ratio:
-        found = components(similar(docs, nodes, found, k, seeds, radius, ratio))
-    named = nodes.join(found, "node", "left").select(*(F.col(w).alias(f"_{w}") for w in same), F.coalesce("root", "node").alias("component_id"))
-    on = F.lit(True)
-    for w in same:
-        on &= F.col(w) == F.col(f"_{w}")
-    return prints.join(named, on, "left").select("doc_id", *width, "component_id")
+    apart = nodes.where((F.col("n") > 0) & (F.col("n") >= ratio * (F.col("n") + 1) - 1e-9))
+    found = components(block_links(apart, settle(shared_firsts(apart.select("node", "firsts"))), words, radius, ratio, 60_000))
+    nodes = nodes.drop("firsts")
+    found = components(similar(docs, nodes, found, k, words, radius, ratio))
+    return grouped(prints.drop("firsts"), nodes, found, same).select("doc_id", *width, "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), k=3, seeds=(42,), radius=2, ratio=0.0, repeats=True)
+    found = bit_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -49,7 +49,7 @@ OPS = {
     "op1": lambda d: suffixdedup.deduplicate(d),
     "op3": lambda d: langid.identify(d),
     "op4": lambda d: katz.score(d.withColumn("held", F.lit(False))),
-    "op5": lambda d: simhash.near_duplicates(d, 3, (42,), 2, 0.0, True),
+    "op5": lambda d: simhash.bit_duplicates(d),
     "op5wide": lambda d: simhash.near_duplicates(d),
     "op6": lambda d: pii.find(d),
     "op7": lambda d: toxicity.detect(d, d.select("doc_id", F.col("n_chars").alias("toxic"))),
@@ -202,6 +202,20 @@ def test_simhash(spark, docs):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in registry.QUERIES["op5_simhash"](spark, SF).collect()} == want
 
 
+def test_rows_without_ids_link(spark):
+    """A chain of distances of 2 bits through a row without an id is one component; it gets the smallest id."""
+    rng, found = np.random.default_rng(7), {}
+    while len(found) < 3:  # texts of one shingle each have its hash as their fingerprint; 3-word texts near each other are searched
+        base = [f"w{rng.integers(1 << 40)}" for _ in range(40)]
+        texts = [" ".join(base[:i] + [f"x{rng.integers(1 << 40)}"] + base[i + 1 :]) for i in (0, 39)]
+        a, b, c = print_of(" ".join(base)), *map(print_of, texts)
+        if bin(a ^ b).count("1") <= 2 and bin(a ^ c).count("1") <= 2 < bin(b ^ c).count("1"):
+            found = {1: texts[0], None: " ".join(base), 3: texts[1]}
+    rows = [*found.items(), (None, "alone here"), (None, None), (8, "alone here too now")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.bit_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (3, 1), (None, None), (None, None), (8, 8)], key=str)
+
+
 @pytest.mark.parametrize("radius, most", [(2, 60_000), (2, 20), (10, 50)])
 def test_links_are_exact(spark, radius, most):
     """Blocks, hot block values and the grid give the components of all pairs."""
@@ -212,7 +226,7 @@ def test_links_are_exact(spark, radius, most):
     f[200:260] = (f[7] & np.uint64((1 << 43) - 1)) | (rng.integers(0, 1 << 20, 60, dtype=np.uint64) << np.uint64(43))
     f = np.unique(f)
     nodes = spark.createDataFrame([(i, 1, int(np.int64(x.astype(np.int64)))) for i, x in enumerate(f)], "node long, n long, f0 long")
-    links = simhash.links(nodes, 1, radius, 0.0, most)
+    links = simhash.links(nodes, radius, most)
     from siltflow.llm.components import components
 
     got = {r["node"]: r["root"] for r in components(links).collect()}

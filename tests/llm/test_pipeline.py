@@ -66,10 +66,11 @@ def test_near_duplicate_stage(stages):
         for b in s:
             if a < b:
                 assert len(s[a] & s[b]) / len(s[a] | s[b]) < 0.8, (a, b)
-    for i, t in before:  # what is gone resembles what stayed
-        if i not in ids:
+    all_ = {k: shingles(t) for k, (_, t) in enumerate(before)}
+    for i, (k, t) in enumerate(before):  # what is gone resembles another text
+        if k not in ids:
             x = shingles(t)
-            assert max(len(x & y) / len(x | y) for y in s.values()) > 0.4, i
+            assert max(len(x & y) / len(x | y) for j, y in all_.items() if j != i) >= 0.8, i
     assert not {6000, 6001, 6002, 6003, 7000, 7001, 7002, 7003} & set(ids)
 
 
@@ -108,13 +109,36 @@ def test_similar_groups_in_stripes(spark, most):
                 if 10 * len(s[a] & s[b]) >= 8 * len(s[a] | s[b]):
                     want[b] = min(want[a], want[b])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = sim.fingerprints(docs, 5, (42, 43, 44, 45), False).withColumnRenamed("doc_id", "node")
-    nodes = nodes.groupBy("n", "digest", "f0", "f1", "f2", "f3").agg(F.min("node").alias("node"))
-    links = sim.similar(docs, nodes, nodes.select("node", F.lit(0).cast("long").alias("root")), 5, (42, 43, 44, 45), 256, 0.8, most)
+    nodes = sim.set_prints(docs, 5, 4, 0.8).groupBy("n", "digest", "f0", "f1", "f2", "f3").agg(F.min("doc_id").alias("node")).withColumn("least", F.col("node"))
+    links = sim.similar(docs, nodes, nodes.select("node", F.lit(0).cast("long").alias("root")), 5, 4, 256, 0.8, most)
     got = {r["node"]: r["root"] for r in sim.components(links).collect()}
     assert {i: got.get(i, i) for i in s if s[i] != s[0] or i == 0} == {i: k for i, k in want.items() if s[i] != s[0] or i == 0}
 
 
+def test_firsts_lose_no_pair(spark):
+    """Every pair of sets at the ratio or above shares a block, also where a passage stands in most texts."""
+    rng = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([5, 6, 9, 40, 120]))]
+        for k in range(4):
+            v = list(w)
+            for _ in range(rng.randrange(1 + len(w) // 30)):
+                v[rng.randrange(len(v))] = f"y{rng.randrange(10**9)}"
+            rows.append((4 * i + k, " ".join(v + [f"z{j}" for j in range(rng.randrange(3))]) + (" " + common if i % 2 else "")))
+    s = {i: shingles(t) for i, t in rows}
+    want = {(a, b) for a in s for b in s if a < b and 10 * len(s[a] & s[b]) >= 8 * len(s[a] | s[b]) and s[a] != s[b]}
+    prints = cp.simhash.set_prints(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 0.8)
+    firsts = {r["doc_id"]: set(r["firsts"]) for r in prints.collect()}
+    assert len(want) > 50 and all(firsts[a] & firsts[b] for a, b in want)
+    blocks = cp.simhash.shared_firsts(prints.select(F.col("doc_id").alias("node"), "firsts")).collect()
+    by = {}
+    for r in blocks:
+        by.setdefault(r["key"]["v"], set()).add(r["node"])
+    assert all(any({a, b} <= nodes for nodes in by.values()) for a, b in want)
+
+
 def test_decontamination_stage(spark, stages):
     items = [t for _, t in texts(spark.read.parquet(f"{SF}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))]
     whole = [" ".join(t.split()) for t in items]
