@@ -1,6 +1,6 @@
 """Language-model scoring by Katz backoff.
 
-Bigram counts are discounted by Good-Turing; the mass that a history loses goes to its unseen words in proportion to
+Bigram counts are discounted by Good-Turing, on smoothed counts of counts; the mass that a history loses goes to its unseen words in proportion to
 the discounted unigrams, by a backoff weight that normalises exactly: a(v) = (1 - sum of seen P(w|v)) / (1 - sum of
 their P(w)). Unigrams back off once more, to a uniform share of the unseen mass for as many unseen types as there are
 seen ones. A token is evaluated recursively: bigram if seen, else a(v) times the unigram, else the unseen share.
@@ -38,6 +38,8 @@ END, START = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 #: Counts up to this are discounted.
 K = 5
 BATCH = 16 << 20
+#: Tokens whose counts one part of the tables, which one task holds, has on average; the number of parts follows.
+PART = 1_500_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -139,19 +141,43 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64), at
 
 
+def _runs(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """Value, start and end of each run."""
+    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    return [(int(part[i]), int(i), int(j)) for i, j in zip(start, np.r_[start[1:], len(part)])]
+
+
 def _histogram(counts: np.ndarray) -> np.ndarray:
     return np.bincount(counts[(counts > 0) & (counts <= K + 1)], minlength=K + 2).astype(np.int64)
 
 
+def _merged_stats(replies: DataFrame) -> list[list[np.ndarray]]:
+    """The packed arrays of replies 's', added up by task: the first array as it is, the rest by the keys in the second.
+    What reaches the driver is a row for each task, and of hot histories at most 1 / hot_share in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, keys, rest = None, np.zeros(0, np.uint64), []
+        for b in batches:
+            for x in b.column(0):
+                first, *more = unpack(x.as_py())
+                total = first.copy() if total is None else total + first
+                if more:
+                    keys, at = np.unique(np.r_[keys, more[0]], return_inverse=True)
+                    rest = [np.bincount(at, np.r_[r, m], len(keys)) for r, m in zip(rest or [np.zeros(0)] * len(more[1:]), more[1:])]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(total, keys, *rest)], pa.binary())], ["data"])
+
+    return [unpack(r["data"]) for r in replies.where("kind = 's'").select("data").mapInArrow(run, "data binary").collect()]
+
+
 def ask_words(encoded: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
                 for batch, data in zip(b.column(0).to_pylist(), b.column(1)):
                     x = Batch(data.as_py())
-                    cut = np.searchsorted(part_of(x.words, parts), np.arange(parts + 1))
                     count = x.word_counts().astype(np.uint32)
-                    yield from _rows([("w", p, batch, pack(x.words[i:j], count[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]).to_batches()
+                    yield from _rows([("w", p, batch, pack(x.words[i:j], count[i:j])) for p, i, j in _runs(part_of(x.words, parts))]).to_batches()
 
     return encoded.select("batch", "data").mapInArrow(run, REPLY)
 
@@ -164,7 +190,7 @@ def count_words(asked: DataFrame) -> DataFrame:
         words, count, at = _merged([s[0] for s in sent], [s[1] for s in sent])
         real = count[words != START]
         part = t.column("part")[0].as_py()
-        rows = [("s", part, -1, pack(np.array([real.sum(), (real > 0).sum()], np.int64), _histogram(real)))]
+        rows = [("s", part, -1, pack(np.r_[real.sum(), (real > 0).sum(), _histogram(real)].astype(np.int64)))]
         cut = np.cumsum([0] + [len(s[0]) for s in sent])
         rows += [("w", part, b, pack(count[at[i:j]].astype(np.uint64))) for b, i, j in zip(t.column("batch").to_pylist(), cut, cut[1:])]
         return _rows(rows)
@@ -172,21 +198,23 @@ def count_words(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInArrow(run, REPLY)
 
 
+#: The slope of smoothed counts of counts is at most this; Good-Turing lowers no count where they fall as 1 / c or slower.
+LEAST_SLOPE = -1.05
+
+
 def discounts(histogram: np.ndarray) -> np.ndarray:
-    """d[c] for c = 0 ... K (d[0] unused): Katz's Good-Turing ratios, or absolute discounting where counts of counts don't allow them."""
-    n = histogram.astype(float)
-    d = np.ones(K + 1)
-    if n[1] > 0:
-        a = (K + 1) * n[K + 1] / n[1]
-        c = np.arange(1, K + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            good = ((c + 1) * n[2 : K + 2] / n[1 : K + 1] / c - a) / (1 - a)
-        if np.isfinite(good).all() and (good > 0).all() and (good < 1).all():
-            d[1:] = good
-            return d
-    off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d[1:] = 1 - off / np.arange(1, K + 1)
-    return d
+    """d[c] for c = 0 ... K (d[0] unused): Katz's Good-Turing ratios of smoothed counts of counts.
+
+    The logarithms of the counts of counts are fitted by a line in log c, as single ones are too uneven for the ratios.
+    On the line, with slope b, c* / c = ((c + 1) / c) ** (b + 1), so all ratios lie between 0 and 1 if b < -1.
+    """
+    c = np.arange(1, K + 2)
+    some = histogram[1 : K + 2] > 0
+    x, y = np.log(c[some]), np.log(histogram[1 : K + 2][some].astype(float))
+    slope = -2.0 if some.sum() < 2 else ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    power = min(slope, LEAST_SLOPE) + 1
+    last = (K + 1.0) ** power
+    return np.r_[1.0, (((c[:-1] + 1) / c[:-1]) ** power - last) / (1 - last)]
 
 
 def unigram(count: np.ndarray, m: dict) -> np.ndarray:
@@ -239,15 +267,13 @@ def ask_pairs(encoded: DataFrame, words: DataFrame, model: dict, parts: int) ->
                 v, w, n, _, cold, warm = split_pairs(x, count, model["total"], model["hot_share"])
                 hv, hw, seen = x.words[v], x.words[w], count[w].astype(np.uint64)
                 for kind, places, at in (("p", cold, part_of(hv[cold], parts)), ("h", warm, part_of(pair_keys(hv[warm], hw[warm]), parts))):
-                    cut = np.searchsorted(at, np.arange(parts + 1))
-                    for p, (i, j) in enumerate(zip(cut, cut[1:])):
-                        if j > i:
-                            k = places[i:j]
-                            if kind == "p":
-                                first = np.flatnonzero(np.r_[True, v[k][1:] != v[k][:-1]])
-                                rows.append((kind, p, batch, pack(hv[k][first], np.diff(np.r_[first, len(k)]).astype(np.uint32), hw[k], n[k].astype(np.uint32), seen[k])))
-                            else:
-                                rows.append((kind, p, batch, pack(hv[k], hw[k], n[k].astype(np.uint32), seen[k])))
+                    for p, i, j in _runs(at):
+                        k = places[i:j]
+                        if kind == "p":
+                            first = np.flatnonzero(np.r_[True, v[k][1:] != v[k][:-1]])
+                            rows.append((kind, p, batch, pack(hv[k][first], np.diff(np.r_[first, len(k)]).astype(np.uint32), hw[k], n[k].astype(np.uint32), seen[k])))
+                        else:
+                            rows.append((kind, p, batch, pack(hv[k], hw[k], n[k].astype(np.uint32), seen[k])))
         return _rows(rows)
 
     return _by_batch(encoded, words, run, REPLY)
@@ -360,11 +386,10 @@ def score(docs: DataFrame, hot_share: float = 0.001) -> DataFrame:
     atexit.register(lambda: spark.sparkContext._jsc is not None and spark.sql(f"DROP TABLE IF EXISTS {name}"))
     encoded = spark.table(name)
     tokens = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = 1 << min(12, max(0, (tokens // 1_500_000).bit_length()))
+    parts = 1 << (tokens // PART).bit_length()
     words = scratch.keep(count_words(ask_words(encoded, parts)), "words")
-    stats = [unpack(r["data"]) for r in words.where("kind = 's'").select("data").collect()]  # one row for each of at most 4096 parts
-    total, types = (int(sum(s[0][i] for s in stats)) for i in range(2))
-    histogram = sum((s[1] for s in stats), np.zeros(K + 2, np.int64))
+    stats = sum((s[0] for s in _merged_stats(words)), np.zeros(K + 4, np.int64))
+    total, types, histogram = int(stats[0]), int(stats[1]), stats[2:]
     d1 = discounts(histogram)
     lost = sum(float(histogram[c]) * c * (1 - d1[c]) for c in range(1, K + 1))
     spare = 0 if lost > 0 else 1  # without low counts, one token's worth is left for unseen words
@@ -372,8 +397,7 @@ def score(docs: DataFrame, hot_share: float = 0.001) -> DataFrame:
     answers = words.where("kind = 'w'")
     pairs = scratch.keep(count_pairs(ask_pairs(encoded, answers, model, parts), model), "pairs")
     low, hot = np.zeros(K + 2, np.int64), {}
-    for r in pairs.where("kind = 's'").select("data").toLocalIterator():  # at most 1 / hot_share histories of each part
-        x = unpack(r["data"])
+    for x in _merged_stats(pairs):
         low = low + x[0]
         for i, v in enumerate(x[1]):
             hot[v] = hot.get(v, np.zeros(K + 1)) + np.array([x[2 + k][i] for k in range(K + 1)])

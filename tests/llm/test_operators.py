@@ -130,6 +130,30 @@ def test_filter_members_and_correction():
     assert list(best) == [0, 2, -1] and score[0] > 0.99 and score[2] == 0
 
 
+def good_turing(counts, k=5):
+    """Katz's discounts from a least-squares line through log N(c) over log c, c = 1 ... k + 1."""
+    of = Counter(counts.values())
+    points = [(math.log(c), math.log(of[c])) for c in range(1, k + 2) if of[c]]
+    slope = float(np.polyfit(*zip(*points), 1)[0]) if len(points) > 1 else -2.0
+    n = {c: math.exp(min(slope, -1.05) * math.log(c)) for c in range(1, k + 2)}
+    a = (k + 1) * n[k + 1] / n[1]
+    return [1.0] + [((c + 1) * n[c + 1] / n[c] / c - a) / (1 - a) for c in range(1, k + 1)]
+
+
+@pytest.mark.parametrize("histogram", [[0, 9, 4, 2, 1, 1, 1], [0, 5, 5, 5, 5, 5, 5], [0, 1, 2, 3, 4, 5, 60], [0, 0, 7, 0, 0, 0, 0], [0] * 7, [0, 47282, 12115, 4986, 2403, 2211, 1010]])
+def test_good_turing_always_holds(histogram):
+    d = katz.discounts(np.array(histogram))[1:]
+    assert (d > 0).all() and (d < 1).all() and (np.diff(d) > 0).all()
+
+
+def test_katz_held_out_gain(spark):
+    """Texts that the model hasn't seen are likelier under it than under the base, by over half a decade a token."""
+    rows = registry.QUERIES["op4_katz"](spark, "/root/testdata/sf0.01").where("held_out").collect()
+    n = sum(r["n_tokens"] for r in rows)
+    assert (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / n > 0.5
+    assert np.mean([r["score"] > r["base_score"] for r in rows]) > 0.85
+
+
 def katz_brute(rows):
     """rows: id, held, text. Scores by dictionaries."""
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -142,7 +166,7 @@ def katz_brute(rows):
                 bi[v, w] += 1
                 hist[v] += 1
     n, types = sum(uni.values()), len(uni)
-    d1, d2 = (katz.discounts(np.array([sum(1 for x in c.values() if x == k) for k in range(katz.K + 2)])) for c in (uni, bi))
+    d1, d2 = good_turing(uni), good_turing(bi)
     spare = 0 if any(uni[w] * (1 - d1[uni[w]]) > 0 for w in uni if uni[w] <= katz.K) else 1
     disc = lambda d, c: d[c] * c if c <= katz.K else c
     unseen = (n + spare - sum(disc(d1, c) for c in uni.values())) / (n + spare)
