@@ -101,17 +101,46 @@ def test_suffix_dedup(spark, docs, hot):
     check_spans(got, [(i, t.encode()) for i, t in texts])
 
 
+def test_minimizers_are_the_same_in_texts_of_any_length():
+    """Strings of 200 bytes have the same minimizers in a chunk of their own and in one of 12 MB."""
+    rng = np.random.default_rng(11)
+    few = rng.integers(97, 123, (2000, 200), dtype=np.uint8)
+    long = rng.integers(97, 123, 12_000_000, dtype=np.uint8)
+    at = np.arange(2000) * 5000 + 100
+    for a, x in zip(at, few):
+        long[a : a + 200] = x
+    own = [suffixdedup.cut_pieces(x, np.array([0, 200]), 200) for x in few]
+    _, start, n, least, mz = suffixdedup.cut_pieces(long, np.array([0, len(long)]), 200)
+    of = np.searchsorted(start, at, "right") - 1
+    assert [int(o[3][0]) for o in own] == list(least[of] - at) and [int(o[4][0]) for o in own] == list(map(int, mz[of]))
+
+
+def test_suffix_dedup_of_rows_without_ids(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdef "), n))
+    phrase = word(230)
+    texts = [word(300) + phrase + word(50), word(10) + phrase[5:225] + word(500), word(900), "x" * 150]
+    rows = [(None, t) for t in texts] + [(None, texts[2]), (5, word(240)), (5, phrase[:210] + word(99)), (None, None), (None, "")]
+    got = suffixdedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = [(i, (t or "").encode()) for i, (_, t) in enumerate(rows)]
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["n_bytes"], []).append(tuple(r)[1:5])
+    check_spans({i: by[len(t)].pop() for i, t in named}, named)
+
+
 def test_pieces_are_judged_alike_in_any_batches():
     """One minimizer that fills many buffers, in batches of all sizes, is told as in one piece, but for being split."""
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    rows = sorted((int(m), int(p), 0, 0, i, 1, int(rng.random() < 0.1) + 1) for i, (m, p) in enumerate(zip(rng.choice([1, 2, 2, 2, 2, 3], 300), rng.integers(0, 90, 300))))
-    whole = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.int32()) for i in range(7)], [x.split()[0] for x in suffixdedup.PIECE.split(", ")])
+    rows = sorted((int(m), int(p), 0, 0, i, 1, int(rng.random() < 0.1) + 1, 0) for i, (m, p) in enumerate(zip(rng.choice([1, 2, 2, 2, 2, 3], 300), rng.integers(0, 90, 300))))
+    whole = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.int32()) for i in range(8)], [x.split()[0] for x in suffixdedup.PIECE.split(", ")])
     told = lambda size, most: [tuple(r.values()) for b in suffixdedup.judge_sorted(iter(whole.slice(i, size) for i in range(0, 300, size)), 1000, most) for r in b.to_pylist()]
-    want = {(r[0], r[4]): (r[7], r[8]) for r in told(300, 10_000)}
+    want = {(r[0], r[4]): (r[8], r[9]) for r in told(300, 10_000)}
     for size, most in ((1, 2), (3, 10), (7, 50), (300, 20)):
-        got = {(r[0], r[4]): (r[7], r[8]) for r in told(size, most)}
+        got = {(r[0], r[4]): (r[8], r[9]) for r in told(size, most)}
         assert got == want
 
 
@@ -388,17 +417,16 @@ def test_decontamination_of_parameters(spark):
     item = "A farmer named Smith sells 12 baskets of apples for 3 dollars each and then buys 12 more baskets. How much did Smith earn in 5 hours?"
     same = "A farmer named Jones sells 40 baskets of apples for 7 euros each and then buys 40 more baskets. How much did Jones earn in 9 days?"
     mixed = "A farmer named Jones sells 40 baskets of apples for 7 euros each and then buys 41 more baskets. How much did Baker earn in 9 days?"
-    rows = [(1, "Intro text. " + item + " End."), (2, same), (3, "An unrelated text about a farmer who sells apples and baskets in many places for years."), (4, item.upper()), (5, None)]
+    rows = [(1, "Intro text. " + item + " End."), (2, same), (3, "An unrelated text about a farmer who sells apples and baskets in many places for years."), (4, item.upper()), (5, None), (6, " No!"), (7, item.lower())]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     b = spark.createDataFrame([(7, item), (8, "Name the largest planet"), (9, None), (10, "no")], "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in decontaminate.verdicts(d, b).collect()}
-    assert got == {1: [7], 2: [7], 3: [], 4: [7], 5: []} or got == {1: [7], 2: [7], 3: [], 4: [], 5: []}
+    assert got == {1: [7], 2: [7], 3: [], 4: [7], 5: [], 6: [10], 7: [7]}
     full = decontaminate.contaminated(spark.createDataFrame([(1, same), (2, mixed)], "doc_id long, text string"), b, run=99).collect()
     n = {r["doc_id"]: r["n_windows"] for r in full}
     assert n[1] > n.get(2, 0)
     short = spark.createDataFrame([(1, "So: name the largest planet, please"), (2, "the largest planet")], "doc_id long, text string")
     assert {r["doc_id"]: r["items"] for r in decontaminate.verdicts(short, b).collect()} == {1: [8], 2: []}
-    assert decontaminate.verdicts(d, b, most_windows=0).where("contaminated").count() >= 2
 
 
 def leaks(spark, item, *texts):
@@ -421,6 +449,22 @@ def test_decontamination_of_items_of_few_words(spark):
     assert leaks(spark, item, "So " + item, "13, 17, 19, 22, 25, 28, 31, 34, 37 were sold") == [True, False]
 
 
+def test_decontamination_decides_on_texts(spark):
+    """Rows without an id, and of one id, have the verdict of their own text; letters of other scripts are folded too."""
+    item = "Анна купила 12 яблок и ещё 7 груш у соседа из города Тула вчера"
+    rows = [(None, item), (None, "clean text of some words here and there"), (3, "so: " + item.upper()), (3, "other text, as clean as it gets to be"), (4, item.replace("12", "30").replace("7", "5"))]
+    got = decontaminate.verdicts(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["contaminated"]) for r in got) == [("3", False), ("3", True), ("4", True), ("None", False), ("None", True)]
+
+
+def test_key_table(spark):
+    """A table that is too small for its keys drops none of them."""
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-(1 << 63), 1 << 63, 5000)
+    t = decontaminate.key_table(spark.createDataFrame([(int(k),) for k in keys], "key long"), 5000)
+    assert decontaminate.all_set(t, keys.view(np.uint64)).all() and decontaminate.all_set(t, rng.integers(0, 1 << 63, 5000).astype(np.uint64)).mean() < 0.01
+
+
 def test_decontamination_of_two_variants(spark):
     """Each variant agrees with the item, though the two together don't; chance hits elsewhere don't outvote a passage."""
     item = "Sam sold 12 red and 7 green lamps to Ann"
@@ -488,9 +532,11 @@ def test_url_filter_cases(spark):
     assert urlfilter.filter_urls(captures, entries.limit(0)).where("verdict <> 'pass'").count() == 0 and urlfilter.filter_urls(captures.limit(0), entries).count() == 0
 
 
-def test_url_filter_sql(spark):
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    want = duck.sql(registry.ORACLES["op2_url_filters"])
-    df = registry.QUERIES["op2_url_filters"](spark, SF).select(*want.columns)
+    for t in ("pages", "documents"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = duck.sql(registry.ORACLES[name])
+    df = registry.QUERIES[name](spark, SF).select(*want.columns)
     assert sorted(str(tuple(r)) for r in df.collect()) == sorted(str(r) for r in want.fetchall())
