@@ -3,21 +3,22 @@
 Texts become sequences of canonical tokens: numbers, names (capitalised words inside a sentence) and units after a
 number are typed placeholders, everything else is a lower-case word; neighbouring numbers or names are one slot.
 A capitalised word that begins a sentence is read as a word, and in a second reading of the text as a name, if it is
-one inside a sentence within NEAR tokens; the readings are matched apart. Windows of `width` tokens are hash-joined
+one inside a sentence within NEAR tokens; in a third reading there are no names, so that it doesn't depend on case. The
+readings are matched apart. Windows of `width` tokens are hash-joined
 with the windows of the benchmark: as templates if they have at least `literal` words, or DISTINCT different ones,
 else with the values of their slots. A template's hit carries the values of its slots: one value of the item must stand for one value of the
 document, so that re-parameterised questions match and chance templates don't. This is decided for each alignment
 (place in the document less place in the item), for bands of BAND neighbouring alignments, as of copies with words
 put in or left out, and for the whole document. A document is contaminated by an item if consistent windows of one of
 these cover `run` tokens of it, or half of its windows. Items shorter than `width` are windows of their own length;
-items of fewer than three tokens match nothing.
+items of fewer than three tokens match documents that are nothing else.
 
-A bit table of the benchmark's windows, of a fixed size, is broadcast to drop most other windows before the join,
-while the benchmark has at most `most_windows` of them; beyond that all windows are joined. The join itself is left
-to Spark, which broadcasts the benchmark side only below its own size limit.
+A bit table of the benchmark's windows is broadcast to drop most other windows before the join. Its size follows from
+their number up to 2 ** MOST_BITS bits; beyond that it drops fewer, with the same result. The join itself is left to
+Spark, which broadcasts the benchmark side only below its own size limit.
 
-Null or empty texts match nothing. Rows with equal ids share the verdict of all of them; null ids are never joined
-and count as clean. Ties and repeated benchmark items: all items are listed. Empty tables give clean documents, or
+Null or empty texts match nothing. A verdict depends on the text alone: verdicts() names rows by 128 bits of a hash of
+it, so repeated and null ids neither share verdicts nor go without. Ties and repeated benchmark items: all items are listed. Empty tables give clean documents, or
 no rows. Other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import settle, table
 from .tokens import U, chunks, mix64, powers, prefix, spans_hash
@@ -38,7 +39,7 @@ kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre li
 day days week weeks month months year years mph kmh hz khz mhz ghz w kw v volt volts watt watts j joule joules n newton newtons c f k degrees degree percent
 dollar dollars cent cents euro euros usd eur gbp b kb mb gb tb""".split()
 WORD, NUMBER, NAME, UNIT = range(4)
-BITS = 22
+LEAST_BITS, MOST_BITS = 22, 26
 NEAR, BAND, DISTINCT = 200, 16, 3
 BASE = 0xD1342543DE82EF95
 _B = np.arange(256)
@@ -48,8 +49,11 @@ _STOP = np.isin(_B, np.frombuffer(b".!?:\n", np.uint8))
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and the Latin-1 letters, in UTF-8."""
+    """Lower case in UTF-8, where it is as long as upper case: by table for ASCII and the Latin-1 letters."""
     out = _LOWERED[data]
+    if len(data) and (data >= 0xC4).any():
+        same = lambda c: x if len((x := c.lower()).encode()) == len(c.encode()) else c
+        return np.frombuffer("".join(map(same, data.tobytes().decode())).encode(), np.uint8)
     i = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
     out[i] += 0x20
     return out
@@ -79,9 +83,9 @@ def near_names(row: np.ndarray, own: np.ndarray, name: np.ndarray, asked: np.nda
     return out & asked
 
 
-def canonical(data: np.ndarray, offs: np.ndarray, second_reading: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def canonical(data: np.ndarray, offs: np.ndarray, reading: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: row, kind, hash of the word itself; slots of several words have one token with their joint hash.
-    second_reading: with names that begin sentences, and of the rows only those that have some."""
+    reading 1: with names that begin sentences; 2: without names; each of the rows only that differ by it."""
     core = np.r_[False, CORE[data], False]
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
@@ -103,12 +107,12 @@ def canonical(data: np.ndarray, offs: np.ndarray, second_reading: bool = False)
     first = first | (stops[start] > stops[np.minimum(before, start)]) if len(row) else first
     name = upper & ~number & ~shout & (end - start > 1)
     name, begins = name & ~first, name & first
-    if second_reading:
-        begins = near_names(row, own, name, begins)
+    if reading:
+        begins = near_names(row, own, name, begins) if reading == 1 else name
         some = np.zeros(len(offs), bool)
         some[row[begins]] = True
         keep = some[row]
-        start, end, own, row, number, name = start[keep], end[keep], own[keep], row[keep], number[keep], (name | begins)[keep]
+        start, end, own, row, number, name = start[keep], end[keep], own[keep], row[keep], number[keep], (name | begins)[keep] & (reading == 1)
     kind = np.where(number, NUMBER, np.where(name, NAME, WORD))
     if len(kind) > 1:
         after = np.r_[False, number[:-1] & (row[1:] == row[:-1])]
@@ -152,69 +156,91 @@ def slots(at: np.ndarray, kind: np.ndarray, own: np.ndarray, width: int) -> tupl
     return own[index][slot].view(np.int64), slot.sum(1)
 
 
-def template_windows(texts: DataFrame, widths: list[tuple[int, int]], whole: bool = False, bits: bytes | None = None) -> DataFrame:
+def template_windows(texts: DataFrame, widths: list[tuple[int, int]], whole: bool = False, table: np.ndarray | None = None) -> DataFrame:
     """texts: id, text. Returns key, reading, valued, id, pos, slots for each (width, least words). whole: windows of all widths but the
-    first only where they are a whole text. bits: a table of the keys that matter."""
-    shipped = texts.sparkSession.sparkContext.broadcast(bits)
+    first only where they are a whole text, as those of fewer than three tokens always are. table: packed bits of the keys that matter."""
+    shipped = texts.sparkSession.sparkContext.broadcast(table)
+    kind_of_id = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if shipped.value is None else np.frombuffer(shipped.value, bool)
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for lo, hi, data, offs in chunks(batch.column(1)):
-                    readings = [canonical(data, offs, second) for second in (False, True)]
-                    for reading, i, (width, literal) in ((r, i, w) for r in (0, 1) for i, w in enumerate(widths)):
+                    readings = [canonical(data, offs, r) for r in range(3)]
+                    named = np.zeros(hi - lo, bool)
+                    named[readings[2][0]] = True
+                    for reading, i, (width, literal) in ((r, i, w) for r in range(3) for i, w in enumerate(widths)):
                         row, kind, own = readings[reading]
                         n = np.bincount(row, minlength=hi - lo)
                         key, at, few = windows(row, kind, own, width, literal)
-                        keep = n[row[at]] == width if whole and i else np.ones(len(at), bool)
-                        if wanted is not None:
-                            keep &= wanted[(key & U((1 << BITS) - 1)).astype(np.int64)]
-                            keep[keep] = wanted[(key[keep] >> U(64 - BITS)).astype(np.int64)]
+                        keep = n[row[at]] == width if whole and i or width < 3 else np.ones(len(at), bool)
+                        if shipped.value is not None:
+                            keep[keep] = all_set(shipped.value, key[keep])
                         if not whole:  # one hit of a window by value tells all, wherever it stands
                             once = np.flatnonzero(keep & few)
                             tag = key[once] ^ mix64(row[at[once]].astype(np.uint64) + U(1))
                             keep[once] = False
                             keep[once[np.unique(tag, return_index=True)[1]]] = True
                         key, at, few = key[keep], at[keep], few[keep]
-                        if len(key):
-                            flat, many = slots(at, kind, own, width)
-                            values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(flat))
-                            first = (np.cumsum(n) - n)[row[at]]
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), reading)), pa.array(few), pa.array(ids[lo + row[at]].astype(np.int64)), pa.array(at - first), values], ["key", "reading", "valued", "id", "pos", "slots"])
+                        # a text without names reads the same without them
+                        for name, some in ((reading, np.ones(len(key), bool)), (2, ~named[row[at]])) if reading == 0 else ((reading, np.ones(len(key), bool)),):
+                            if some.any():
+                                flat, many = slots(at[some], kind, own, width)
+                                values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(flat))
+                                first = (np.cumsum(n) - n)[row[at[some]]]
+                                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(np.full(int(some.sum()), name)), pa.array(few[some]), batch.column(0).take(pa.array(lo + row[at[some]])), pa.array(at[some] - first), values], ["key", "reading", "valued", "id", "pos", "slots"])
 
-    return texts.select("id", "text").where("id is not null and text is not null").mapInArrow(run, "key bigint, reading bigint, valued boolean, id bigint, pos bigint, slots array<bigint>")
+    return texts.select("id", "text").where("text is not null").mapInArrow(run, f"key bigint, reading bigint, valued boolean, id {kind_of_id}, pos bigint, slots array<bigint>")
+
+
+def places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in a table of 2 ** bits."""
+    return (key & U((1 << bits) - 1)).astype(np.int64), (key >> U(64 - bits)).astype(np.int64)
+
+
+def all_set(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    bits = (8 * len(table)).bit_length() - 1
+    one, two = places(key, bits)
+    out = (table[one >> 3] >> (one & 7)) & 1 == 1
+    out[out] = (table[two[out] >> 3] >> (two[out] & 7)) & 1 == 1
+    return out
+
+
+def key_table(own: DataFrame, n: int) -> np.ndarray:
+    """Packed bits of the keys; bytes are put together on the cluster, so at most 2 ** (MOST_BITS - 3) rows reach the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(places(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array(1 << (at & 7))], ["byte", "bit"])
+
+    found = own.select("key").mapInArrow(run, "byte bigint, bit bigint").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    out[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+    return out
 
 
 def short_lengths(items: DataFrame, width: int) -> list[int]:
-    """The lengths of items shorter than a window, of three tokens or more: at most width - 3 of them."""
+    """The lengths of items shorter than a window: at most width - 1 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo, hi, data, offs in chunks(batch.column(0)):
-                    for second in (False, True):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.bincount(canonical(data, offs, second)[0], minlength=hi - lo))], ["n"])
+                    for reading in range(3):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.bincount(canonical(data, offs, reading)[0], minlength=hi - lo))], ["n"])
 
-    return sorted(r["n"] for r in items.select("text").where("text is not null").mapInArrow(run, "n bigint").where((F.col("n") < width) & (F.col("n") >= 3)).distinct().collect())
+    return sorted(r["n"] for r in items.select("text").where("text is not null").mapInArrow(run, "n bigint").where((F.col("n") < width) & (F.col("n") >= 1)).distinct().collect())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, run: int = 13, most_windows: int = 200_000) -> DataFrame:
-    """docs: doc_id, text; benchmark: item_id, text. doc_id, item_id, n_windows (of the item, matched), item_windows; one row a pair."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, run: int = 13) -> DataFrame:
+    """docs: doc_id (of any type), text; benchmark: item_id, text. doc_id, item_id, n_windows (of the item, matched), item_windows; one row a pair."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text")
     widths = [(width, literal), *((w, max(3, w - 3)) for w in short_lengths(items, width))]
     own = template_windows(items, widths, whole=True)
     own = settle(own.select("key", "reading", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
-    n = own.count()
-    bits = None
-    if n <= most_windows:
-        keys = own.select("key").toArrow().column("key").to_numpy().view(np.uint64)
-        table_ = np.zeros(1 << BITS, bool)
-        table_[(keys & U((1 << BITS) - 1)).astype(np.int64)] = True
-        table_[(keys >> U(64 - BITS)).astype(np.int64)] = True
-        bits = table_.tobytes()
-    hits = template_windows(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), widths, bits=bits)
+    hits = template_windows(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), widths, table=key_table(own, own.count()))
     found = hits.join(own, ["key", "reading"]).select(F.col("id").alias("doc_id"), "item_id", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "valued", F.arrays_zip("item_slots", "slots").alias("pairs"))
     by = ["doc_id", "item_id", "reading"]
     equal = found.where("valued").groupBy(*by).agg(F.collect_set("item_pos").alias("equal"))
@@ -238,11 +264,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal:
     return most.select("doc_id", "item_id", "most.n_windows", "most.item_windows")
 
 
+def text_key() -> Column:
+    """128 bits of a hash of the text."""
+    return F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(9), "text").alias("b")))
+
+
 def verdicts(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: doc_id, contaminated, items (ids, ascending), n_windows (the most of one item)."""
-    per = contaminated(docs, benchmark, **options).groupBy(F.col("doc_id").alias("c_id")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("n_windows").alias("n_windows"))
-    out = docs.select(F.col("doc_id").cast("bigint")).join(per, F.col("doc_id") == F.col("c_id"), "left")
-    return out.select("doc_id", F.col("c_id").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("bigint").alias("n_windows"))
+    docs = docs.select("doc_id", "text")
+    per = contaminated(docs.select(text_key().alias("doc_id"), "text"), benchmark, **options).groupBy(F.col("doc_id").alias("c_key")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("n_windows").alias("n_windows"))
+    out = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("key")).join(per, F.col("key") == F.col("c_key"), "left")
+    return out.select("doc_id", F.col("c_key").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("bigint").alias("n_windows"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
