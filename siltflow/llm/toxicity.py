@@ -3,13 +3,17 @@
 Texts are folded first: lower case, homoglyphs of Latin letters, and digits or signs that stand for letters inside
 words ('1d1ot'). The lexicon is learned from all labelled training rows: whole words, and stems that begin words,
 whose documents are toxic far more often than others; a term's weight is its smoothed log odds. One automaton finds
-all terms at once; of terms that overlap, the heaviest counts, and occurrences within an exception phrase don't. The
-weights found, in total and normalised by the text's length, give the score by a logistic curve fitted on a
+all terms at once; of terms that overlap, the heaviest counts, and occurrences within an exception phrase don't. Exceptions
+are learned too: word pairs around a term that toxic documents have no oftener than others. The weights found, in total and normalised by the text's length, give the score by a logistic curve fitted on a
 histogram of the training rows.
 
+The lexicon and the curve are fitted on about `most_labels` labelled rows at most, drawn by a hash of the id; what is
+sent to the texts is so bounded. Terms, at most MOST_TERMS after stems that say no more than a shorter one are left
+out, are never cut off: more of them are an error.
+
 Null and empty texts find nothing and get the curve's value there; without toxic and other training rows every
 score is the share of toxic rows (0 without any). A document labelled more than once counts as toxic if one label
-is 1; null labels are ignored. Repeated rows are scored each. Whole texts are matched. An empty table gives no rows.
+is 1; null labels and others than 0 and 1 are ignored. Repeated rows are scored each. Whole texts are matched. An empty table gives no rows.
 Other columns are ignored.
 """
 
@@ -18,21 +22,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Scratch, fold, table
+from .shared import fold, settle, table
 
 #: Letters of other scripts that look like Latin ones, and full-width letters.
 HOMOGLYPHS = dict(zip("асеоріјѕухԁһкмтнвгαεικνορτυχѵɡıǀ", "aceopijsyxdhkmthbraeiknoptuxvgil")) | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 #: Digits and signs that stand for letters inside words.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-#: Phrases in which a term of the lexicon is harmless.
+MOST_TERMS = 500_000
+#: Phrases in which a term of the lexicon is known to be harmless, besides those learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum")
 _SIGHT, _LEET = str.maketrans(HOMOGLYPHS), str.maketrans(DIGITS)
 _ANY, _TOKEN, _WORD = re.compile(r"[0-9@$]"), re.compile(r"[\w@$]+"), re.compile(r"[^\W\d_]+")
@@ -62,16 +68,18 @@ def terms_of(folded: str) -> set[str]:
     return out
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """rows: text, toxic. Returns term, toxic, other: the numbers of documents."""
+def term_counts(rows: DataFrame, of: Callable[[str], set[str]] = terms_of) -> DataFrame:
+    """rows: text, toxic. Returns term, toxic, other: the numbers of documents that have each of a folded text's terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic].update(terms_of(fold_text(text)))
-            names = list(set(seen[0]) | set(seen[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["term", "toxic", "other"])
+            for i, (text, toxic) in enumerate(zip(batch.column(0), batch.column(1).to_pylist())):
+                seen[toxic].update(of(fold_text(text.as_py())))
+                if i + 1 == len(batch) or len(seen[0]) + len(seen[1]) > 500_000:
+                    names = list(set(seen[0]) | set(seen[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["term", "toxic", "other"])
+                    seen = (Counter(), Counter())
 
     return rows.select("text", "toxic").mapInArrow(run, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
@@ -86,8 +94,8 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"machine": None}
 
-    def found(self, text: str | None) -> tuple[float, int]:
-        """The weights found, and the number of words."""
+    def prepare(self) -> bool:
+        """Builds the automaton once; whether it has any term."""
         if self.machine is None:
             self.machine = ahocorasick.Automaton()
             for term, w in self.weights.items():
@@ -95,6 +103,20 @@ class Lexicon:
             for phrase in self.exceptions:
                 self.machine.add_word(f" {phrase} ", (len(phrase) + 2, None))
             self.machine.make_automaton()
+        return len(self.machine) > 0
+
+    def pairs(self, folded: str) -> set[str]:
+        """'word word' for each term of the text, with the word before it and the one after."""
+        words = _WORD.findall(folded)
+        if not words or not self.prepare():
+            return set()
+        starts = {at: i for i, at in enumerate(accumulate((len(w) + 1 for w in words), initial=0))}
+        hits = {starts[end - n + 1] for end, (n, w) in self.machine.iter(" " + " ".join(words) + " ") if w is not None}
+        return {f"{words[i]} {words[i + 1]}" for k in hits for i in (k - 1, k) if 0 <= i < len(words) - 1}
+
+    def found(self, text: str | None) -> tuple[float, int]:
+        """The weights found, and the number of words."""
+        self.prepare()
         words = _WORD.findall(fold_text(text))
         if not words or not len(self.machine):
             return 0.0, len(words)
@@ -118,17 +140,33 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def learn_terms(counts: DataFrame, n_toxic: int, n_other: int, max_terms: int, least: int) -> dict[str, float]:
-    """The heaviest terms by standard scores of their log odds; stems that say no more than a shorter one are left out."""
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
+def _odds(n_toxic: int, n_other: int):
+    return F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
+
+
+def bounded(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms; raise `least`")
+    return rows
+
+
+def learn_terms(counts: DataFrame, n_toxic: int, n_other: int, least: int) -> dict[str, float]:
+    """All terms whose log odds are high and sure, but those that say no more than a shorter one that begins them."""
+    odds = _odds(n_toxic, n_other)
     z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
-    top = counts.where(F.col("toxic") >= least).withColumns({"odds": odds, "z": z}).where("odds > 1.5 and z > 3.5").orderBy(F.desc("z"), "term").limit(max_terms).select("term", "odds", "toxic", "other").collect()
-    out: dict[str, float] = {}
-    for r in sorted(top, key=lambda r: (len(r["term"]), r["term"])):
-        word = r["term"].rstrip()
-        if not any(word[:k] in out and out[word[:k]] >= r["odds"] - 0.7 for k in range(2, len(word) + 1)):
-            out[r["term"]] = r["odds"]
-    return out
+    good = settle(counts.where(F.col("toxic") >= least).select("term", odds.alias("odds"), z.alias("z")).where("odds > 1.5 and z > 3.5").select("term", "odds"))
+    begins = [F.when(F.length(F.rtrim("term")) > k + 1, F.substring("term", 1, k + 1)) for k in STEMS]  # a stem has a blank in front
+    shorter = good.select(F.col("term").alias("begin"), F.col("odds").alias("told"))
+    vain = good.select("term", "odds", F.explode(F.array_compact(F.array(*begins))).alias("b")).join(shorter, F.col("b") == F.col("begin")).where("told >= odds - 0.7").select("term")
+    return {r["term"]: r["odds"] for r in bounded(good.join(vain.distinct(), "term", "left_anti"), MOST_TERMS)}
+
+
+def learn_exceptions(rows: DataFrame, lex: Lexicon, n_toxic: int, n_other: int, least: int) -> tuple[str, ...]:
+    """Word pairs with a term that aren't likelier in toxic documents."""
+    pairs = rows.sparkSession.sparkContext.broadcast(lex)
+    found = term_counts(rows, lambda t: pairs.value.pairs(t)).where((F.col("other") >= least) & (_odds(n_toxic, n_other) <= 0))
+    return tuple(sorted(r["term"] for r in bounded(found.select("term"), MOST_TERMS)))
 
 
 def fit_curve(bins: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
@@ -147,19 +185,20 @@ def fit_curve(bins: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
     return tuple(float(b) for b in beta)
 
 
-def learn(rows: DataFrame, max_terms: int = 2000, least: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """rows: text, toxic (0 or 1). Two passes over all rows; what reaches the driver is bounded by max_terms and 81 x 81 bins."""
+def learn(rows: DataFrame, least: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """rows: text, toxic (0 or 1). Three passes over all rows; what reaches the driver is bounded by MOST_TERMS and 81 x 81 bins."""
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    weights = learn_terms(term_counts(rows), n1, n0, max_terms, least) if n1 and n0 else {}
-    lex = Lexicon(weights, exceptions)
+    lex = Lexicon(learn_terms(term_counts(rows), n1, n0, least) if n1 and n0 else {}, exceptions)
+    if lex.weights:
+        lex = Lexicon(lex.weights, tuple(dict.fromkeys((*exceptions, *learn_exceptions(rows, lex, n1, n0, least)))))
     shipped = rows.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = shipped.value.features(text)
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                x, y = shipped.value.features(text.as_py())
                 seen[round(x * 2), round(y * 2), toxic] += 1
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([seen[k] for k in keys], pa.int64())], ["x", "y", "toxic", "n"])
@@ -174,25 +213,19 @@ def score(docs: DataFrame, lex: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shipped.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shipped.value.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
 
 
-def labelled(docs: DataFrame, known: DataFrame, most_broadcast: int) -> DataFrame:
-    """docs with their labels (l_id, toxic). Up to most_broadcast labels, some 24 bytes each, are sent to the texts, which
-    then stay where they are read; beyond that both are shuffled once and kept, since learning reads them three times."""
-    on = F.col("doc_id") == F.col("l_id")
-    if known.count() <= most_broadcast:
-        return docs.join(F.broadcast(known), on)
-    return Scratch(docs.sparkSession).keep(docs.join(known, on), "labelled")
-
-
-def detect(docs: DataFrame, labels: DataFrame, most_broadcast: int = 2_000_000, **options) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, most_labels: int = 1_000_000, **options) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from rows outside fold 0; returns doc_id, held_out, score, predicted."""
     docs = docs.select("doc_id", "text")
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = labelled(docs.where(fold("doc_id") != 0), known.where("toxic in (0, 1)"), most_broadcast).select("text", "toxic")
+    known = labels.where((fold("doc_id") != 0) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = settle(known)
+    share = int(min(1.0, most_labels / max(1, known.count())) * (1 << 30))
+    drawn = known.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < share)
+    rows = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
     out = score(docs, learn(rows, **options))
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

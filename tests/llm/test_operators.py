@@ -356,6 +356,23 @@ def test_toxicity_folding():
     assert lex.score(None) == lex.score("") and lex.score("stupid scum") > 0.5
 
 
+def test_toxicity_learns_terms_and_exceptions(spark):
+    """No term is cut off, stems that say no more than a shorter one are left out, and harmless pairs are learned."""
+    rng = np.random.default_rng(6)
+    rude = [f"rude{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    plain = [f"plain{i}" for i in range(50)]
+    word = lambda: "".join(rng.choice(list("etaoin"), 5))
+    rows = [(f"{word()} {rude[i % 300]} {word()} grubbywort {word()}", 1) for i in range(3000)]
+    rows += [(f"{word()} {rng.choice(plain)} {word()} the grubbywort plant", 0) for _ in range(400)] + [(" ".join(word() for _ in range(6)), 0) for _ in range(3000)]
+    lex = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    begins = lambda w: any(f" {w} "[: len(t)] == t for t in lex.weights)
+    assert all(begins(w) for w in rude) and begins("grubbywort") and not any(t != " grubb" and t.startswith(" grubb") for t in lex.weights)
+    assert "grubbywort plant" in lex.exceptions and "the grubbywort" in lex.exceptions
+    assert lex.found("see the grubbywort plant")[0] == 0 < lex.found("you grubbywort")[0]
+    with pytest.raises(ValueError):
+        toxicity.bounded(spark.range(5), 4)
+
+
 def stats_brute(t):
     w = WORD.findall(t or "")
     count = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
