@@ -1,12 +1,13 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Rule statistics of each whole text (word and symbol counts, repeated lines and windows, upper-case letters, end
-marks, distinct words) are counted in numpy. An isolation forest over them gives each
-document the mean path length over random splits; short paths are anomalous. The cut-off of the score is calibrated
+marks, distinct words) are counted in numpy. An isolation forest over all of them, as rates, gives each document the
+mean path length over random splits; short paths are anomalous. The cut-off of the score is calibrated
 on labelled rows: of the cut-offs that lose at most `most_lost` of the rows labelled good, that which tells best.
 
-The forest's trees are each grown on `per_tree` rows, drawn by hash from all rows, as the method has it: a sample of
-trees * per_tree rows is collected, however many documents there are. Every document is scored. Counts, folds and
+The forest's trees are each grown on `per_tree` rows, drawn by hash from all different (id, statistics), as the method
+has it: a sample of about trees * per_tree rows is collected, however many documents there are and however often a row
+is repeated, in an order of its own, so that any partitioning gives the same forest. Every document is scored. Counts, folds and
 the calibration cover all rows.
 
 Null text: no words, so it fails the base rules. Without labels of both kinds the cut-off is 1: the forest rejects
@@ -30,7 +31,7 @@ SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
 MARK = np.isin(np.arange(256), np.frombuffer(b"!?", np.uint8))
 LEADS = (np.arange(256) & 0xC0) != 0x80
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_mark", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_mark", "n_distinct", "n_lines"]
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -76,6 +77,7 @@ def count(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     end = np.minimum(np.r_[breaks, len(data)][after], offs[row + 1])
     worded = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, row = start[worded], end[worded], row[worded]
+    out["n_lines"] = np.bincount(row, minlength=n_rows)
     out["n_dup_lines"] = np.bincount(row[later(mix64(mix64(spans_hash(sums, start, end)) ^ tag(row)))], minlength=n_rows)
     # windows: hashes over the words' hashes, tagged with the row
     n = len(h)
@@ -106,10 +108,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest splits on: symbols and end marks for each word, the share of upper case, and of words seen before.
-    Repeated lines and windows are left to the base rules; digits and lengths are no fault of a text."""
-    words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    return np.stack([c["n_symbols"] / words, c["n_mark"] / words, c["n_upper"] / chars, 1 - c["n_distinct"] / words], 1)
+    """The rule statistics as rates, which the forest splits on: symbols, end marks, characters and repeated windows for
+    each word, repeated lines for each line, the share of upper case, and of words seen before."""
+    words, chars, lines = (np.maximum(c[n], 1) for n in ("n_words", "word_chars", "n_lines"))
+    return np.stack([c["n_symbols"] / words, c["n_mark"] / words, c["word_chars"] / words, c["n_repeat_words"] / words, c["n_dup_lines"] / lines, c["n_upper"] / chars, 1 - c["n_distinct"] / words], 1)
 
 
 class Forest:
@@ -165,10 +167,11 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = 100, per_tree: int =
     """docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad). One row for each row of docs: doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score. Calibrates on folds 1 to 4."""
     stats = settle(statistics(docs))
-    total = stats.count()
-    want = trees * per_tree
-    at = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, want / max(1, total)) * (1 << 30))
-    drawn = stats.where(at).select(*COUNTS).toArrow()
+    different = settle(stats.distinct())
+    share = min(1.0, trees * per_tree / max(1, different.count()))
+    at = F.pmod(F.xxhash64("doc_id", *COUNTS, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    drawn = different.where(at).toArrow()
+    drawn = drawn.sort_by([(c, "ascending") for c in drawn.column_names])
     forest = Forest(features({c: drawn.column(c).to_numpy() for c in COUNTS}), trees, per_tree, seed)
     shipped = docs.sparkSession.sparkContext.broadcast(forest)
 

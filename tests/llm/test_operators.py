@@ -404,6 +404,15 @@ def test_quality_held_out(spark):
     assert np.mean([kept[i] for i, q in labels if q == 1]) > 0.94 and np.mean([kept[i] for i, q in labels if q == 0]) < 0.05
 
 
+def test_quality_verdicts_in_any_partitioning(spark):
+    """The forest depends on the rows alone, and a row that is repeated ten thousand times is drawn once."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    many = docs.select("doc_id", "text").unionByName(spark.range(10_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same text").alias("text")))
+    got = [sorted(map(str, quality.judge(d, labels, trees=20).collect())) for d in (many, many.repartition(7))]
+    assert got[0] == got[1]
+
+
 def test_forest_isolates():
     x = np.r_[np.random.default_rng(0).normal(size=(2000, 3)), [[9, 9, 9], [-9, 0, 8]]]
     score = quality.Forest(x, 100, 256, 1).score(x)
