@@ -1,14 +1,15 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training counts the n-grams (4 bytes of lower-cased, letter-only text) of each language over all training rows and
-keeps those with at least `min_share` of the language's n-grams, so at most 1 / min_share for each language. They go
+Training counts the n-grams (4 bytes of lower-cased, letter-only text) of each language over all training rows; the
+most frequent ones that make up `coverage` of the language's n-grams are its own, whatever the table's size. They go
 into a bit-sliced Bloom filter: a slot holds one bit for each language, so `hashes` look-ups and one AND return the
-set of all languages that contain an n-gram. A language's popcount over a text's n-grams is corrected for the rate
-of false positives that the fill of its slice implies; the largest corrected count decides, and its share of the
-text's n-grams is the score.
+set of all languages that contain an n-gram. Slots are put together on the cluster; there are at most MOST_SLOTS, and
+a fuller slice has more false positives, for which counts are corrected. A language's popcount over a text's n-grams
+is corrected for the rate of false positives that the fill of its slice implies; the largest corrected count decides,
+and its share of the text's n-grams is the score.
 
 Null texts, and texts with no letter, are 'und' with score 0; so is everything if no training row has a language.
-Ties go to the language first in code point order. Repeated rows are scored and counted each. Texts of any length
+Ties, also of texts without a known n-gram, go to the language first in code point order. Repeated rows are scored and counted each. Texts of any length
 are read whole. An empty table gives no rows. Columns other than doc_id, text and lang are ignored.
 """
 
@@ -19,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .shared import fold, table
+from .shared import fold, settle, table
 from .tokens import U, chunks, mix64
 
 #: Languages of one filter; more than that is an error, not a cap on what is learned.
 MOST_LANGUAGES = 1024
+MOST_SLOTS = 1 << 22
 N = 4
 
 
@@ -103,16 +105,20 @@ class Filter:
 
     @classmethod
     def build(cls, lang: np.ndarray, gram: np.ndarray, hashes: int = 4) -> Filter:
+        """From arrays, one language and n-gram each."""
         languages = sorted(set(lang))
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; a filter has at most {MOST_LANGUAGES}")
-        of = {x: i for i, x in enumerate(languages)}
-        code = np.array([of[x] for x in lang], np.int64)
-        largest = int(np.bincount(code).max()) if len(code) else 1
-        m = 1 << max(12, (largest * hashes * 2 - 1).bit_length())
-        slots = np.zeros((m, max(1, -(-len(languages) // 64))), np.uint64)
-        for at in cls.places(gram, hashes, m):
+        code = np.searchsorted(languages, lang)
+        slots = np.zeros((cls.size(int(np.bincount(code).max()) if len(code) else 1, hashes), max(1, -(-len(languages) // 64))), np.uint64)
+        for at in cls.places(gram, hashes, len(slots)):
             np.bitwise_or.at(slots, (at, code // 64), U(1) << (code % 64).astype(np.uint64))
+        return cls.of(languages, slots, hashes)
+
+    @staticmethod
+    def size(largest: int, hashes: int) -> int:
+        return min(MOST_SLOTS, 1 << max(12, (largest * hashes * 2 - 1).bit_length()))
+
+    @classmethod
+    def of(cls, languages: list[str], slots: np.ndarray, hashes: int) -> Filter:
         fill = np.array([(slots[:, i // 64] >> U(i % 64) & U(1)).mean() for i in range(len(languages))])
         return cls(languages, slots, fill**hashes, hashes)
 
@@ -137,18 +143,39 @@ class Filter:
             count = np.zeros(n_rows)
             if len(some):
                 count[some] = np.add.reduceat((bits[:, i // 64] >> U(i % 64) & U(1)).astype(np.uint8), starts, dtype=np.int64)
-            true = (count - n * f) / (1 - f) if f < 1 else np.zeros(n_rows)
+            true = np.maximum((count - n * f) / (1 - f), 0) if f < 1 else np.zeros(n_rows)
             better = true > score + 1e-9
             best[better], score[better] = i, true[better]
         return np.where(n > 0, best, -1), np.where(n > 0, np.clip(score / np.maximum(n, 1), 0, 1), 0)
 
 
-def train(docs: DataFrame, min_share: float = 2e-5, hashes: int = 4) -> Filter:
-    """docs: lang, text; rows with null lang or text are no training rows. What is collected is bounded by min_share."""
-    counts = gram_counts(docs.where("lang is not null and text is not null"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumnRenamed("lang", "l")
-    kept = counts.join(totals, F.col("lang") == F.col("l")).where(F.col("n") >= F.greatest(F.lit(1.0), min_share * F.col("total"))).select("lang", "gram").toArrow()
-    return Filter.build(np.array(kept.column("lang").to_pylist(), dtype=object), kept.column("gram").to_numpy(), hashes)
+def train(docs: DataFrame, coverage: float = 0.99, hashes: int = 4) -> Filter:
+    """docs: lang, text; rows with null lang or text are no training rows. What is collected is the filter's slots."""
+    counts = settle(gram_counts(docs.where("lang is not null and text is not null")))
+    # the least count of the n-grams that are kept, from the distribution of counts: a few rows for each language
+    by = counts.groupBy("lang", "n").agg(F.sum("n").alias("mass"))
+    of = W.partitionBy("lang")
+    above = F.sum("mass").over(of.orderBy(F.desc("n"))) - F.col("mass")
+    least = by.select("lang", "n", above.alias("above"), F.sum("mass").over(of).alias("total")).where(F.col("above") < coverage * F.col("total")).groupBy("lang").agg(F.min("n").alias("least"))
+    kept = counts.join(least, "lang").where("n >= least")
+    sizes = {r["lang"]: r["count"] for r in kept.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages, the most that a filter has")
+    languages = sorted(sizes)
+    m = Filter.size(max(sizes.values(), default=1), hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = np.searchsorted(languages, np.array(batch.column(0).to_pylist(), object)) if len(batch) else np.zeros(0, np.int64)
+            at = np.concatenate(Filter.places(batch.column(1).to_numpy(), hashes, m))
+            code = np.tile(code, hashes)
+            bit = np.left_shift(U(1), (code % 64).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(code // 64), pa.array(bit)], ["slot", "word", "bit"])
+
+    found = kept.select("lang", "gram").mapInArrow(run, "slot bigint, word bigint, bit bigint").groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    slots = np.zeros((m, max(1, -(-len(languages) // 64))), np.uint64)
+    slots[found.column("slot").to_numpy(), found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Filter.of(languages, slots, hashes)
 
 
 def annotate(docs: DataFrame, model: Filter, keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -183,6 +183,44 @@ def test_katz_held_out_gain(spark):
     assert np.mean([r["score"] > r["base_score"] for r in rows]) > 0.85
 
 
+def test_language_filter_against_brute_force(spark, docs):
+    """Sets of n-grams in dictionaries give the same languages; the cluster's filter is that of the arrays."""
+    rows = [(r[0], r[1], r[2]) for r in docs] + [(9001, "\u6f22\u5b57\u6f22\u5b57 \u6f22\u5b57", None), (9002, "\u03c9\u03c8", None)]
+    train = [(t, lang) for i, t, lang in rows if fold(i) and t and lang]
+    counts = defaultdict(Counter)
+
+    def grams(t):
+        core = " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
+        data = f"  {core}  ".encode() if core else b""
+        return [int.from_bytes(data[k : k + 4], "big") for k in range(len(data) - 3)]
+
+    for t, lang in train:
+        counts[lang].update(grams(t))
+    kept = {}
+    for lang, c in counts.items():
+        total, done = sum(c.values()), 0
+        for n in sorted(set(c.values()), reverse=True):
+            if done >= 0.99 * total:
+                break
+            least, done = n, done + n * sum(1 for x in c.values() if x == n)
+        kept[lang] = {g for g, n in c.items() if n >= least}
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        g = grams(t)
+        share = {lang: sum(x in k for x in g) / max(1, len(g)) for lang, k in kept.items()}
+        best = max(sorted(share), key=share.get)
+        r = got[i]
+        if not g:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:  # false positives of the filter may move a count by a few
+            assert r["score"] == pytest.approx(share[best], abs=0.02) and share[r["lang_pred"]] >= share[best] - 0.02
+    assert got[9001]["lang_pred"] == min(kept)
+    pairs = [(lang, g) for lang in kept for g in sorted(kept[lang])]
+    whole = langid.Filter.build(np.array([x for x, _ in pairs], object), np.array([g for _, g in pairs]))
+    model = langid.train(spark.createDataFrame([(t, lang) for t, lang in train], "text string, lang string"))
+    assert model.languages == whole.languages and (model.slots == whole.slots).all()
+
+
 def katz_brute(rows):
     """rows: id, held, text. Scores by dictionaries."""
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
