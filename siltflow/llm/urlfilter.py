@@ -6,6 +6,9 @@ entry of the same pattern; verdict 'none' takes a pattern off the list. A patter
 evaluates every capture against the entries active when it was fetched; of those, the longest pattern with a path
 wins, else the longest domain.
 
+Hosts are read as browsers do: blanks before the URL, a missing scheme ('//host/'), '\\' for '/', all up to the last
+'@', ports and dots at the end don't disguise a host. Paths are compared to the depth of the list's deepest pattern.
+
 The interval side of the join is repeated over `salts` values and captures are dealt to one of them, so that a host
 with a third of all captures is split; the list is small beside the captures.
 
@@ -20,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .shared import table
 
-SCHEME_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
-PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
+AUTHORITY = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\]{2}([^/\\?#]*)"
+PATH = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\]{2}[^/\\?#]*([/\\][^?#]*)"
+HOST = r"^(?:.*@)?(\[[^\]]*\]|[^:]*?)\.*(?::.*)?$"
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -32,17 +36,18 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def with_host(df: DataFrame, url: str = "url") -> DataFrame:
-    return df.withColumn("host", F.nullif(F.lower(F.regexp_extract(url, SCHEME_HOST, 1)), F.lit("")))
+    return df.withColumn("host", F.nullif(F.lower(F.regexp_extract(F.regexp_extract(url, AUTHORITY, 1), HOST, 1)), F.lit("")))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, path_depth: int = 3, salts: int = 16) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, salts: int = 16) -> DataFrame:
     """captures: page_id, url, fetched_at. One row for each distinct capture: page_id, url, fetched_at, host,
-    verdict ('block', 'allow', 'pass'), pattern, valid_from, n_active. Paths of entries have at most path_depth segments."""
+    verdict ('block', 'allow', 'pass'), pattern, valid_from, n_active."""
+    depth = entries.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()[0]
     c = with_host(captures.select("page_id", "url", "fetched_at"))
-    labels, segments = F.split("host", r"\."), F.filter(F.split(F.regexp_extract("url", PATH, 1), "/"), lambda x: x != "")
+    labels, segments = F.split("host", r"\."), F.filter(F.split(F.regexp_extract("url", PATH, 1), r"[/\\]"), lambda x: x != "")
     c = c.withColumns({"labels": labels, "segments": F.coalesce(segments, F.array().cast("array<string>"))})
     c = c.withColumn("domains", F.expr("transform(sequence(1, greatest(size(labels) - 1, 1)), i -> concat_ws('.', slice(labels, i, size(labels))))"))
-    c = c.withColumn("paths", F.expr(f"if(size(segments) = 0, array(), transform(sequence(1, least(size(segments), {path_depth})), i -> concat(host, '/', concat_ws('/', slice(segments, 1, i)))))"))
+    c = c.withColumn("paths", F.expr(f"if(size(segments) = 0 or {depth} = 0, array(), transform(sequence(1, least(size(segments), {depth})), i -> concat(host, '/', concat_ws('/', slice(segments, 1, i)))))"))
     keys = F.when(F.col("host").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(F.concat("domains", "paths")))
     c = c.select("page_id", "url", "fetched_at", "host", F.explode(keys).alias("key"))
     c = c.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
@@ -89,8 +94,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH p AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(((page_id * 7919) % 525600)::INT) AS fetched_at,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '') AS host,
-    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS segs
+    nullif(lower(regexp_extract(regexp_extract(url, '^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\]{2}([^/\\?#]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*?)\.*(?::.*)?$', 1)), '') AS host,
+    list_filter(regexp_split_to_array(regexp_extract(url, '^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\]{2}[^/\\?#]*([/\\][^?#]*)', 1), '[/\\]'), lambda s: s <> '') AS segs
   FROM pages),
 h AS (
   SELECT host, (length(host) * 31 + ascii(host) * 17 + ascii(substr(host, 3, 1)) * 7 + ascii(substr(host, 7, 1)) * 3) % 1000 AS x

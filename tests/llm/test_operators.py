@@ -596,6 +596,15 @@ def test_url_filter_cases(spark):
     assert urlfilter.filter_urls(captures, entries.limit(0)).where("verdict <> 'pass'").count() == 0 and urlfilter.filter_urls(captures.limit(0), entries).count() == 0
 
 
+def test_url_filter_sees_through_disguises(spark):
+    entries = spark.createDataFrame([("x.example.com", "block", "2024-01-01"), ("y.org/a/b/c/d/e", "block", "2024-01-01"), ("[::1]", "block", "2024-01-01")], "pattern string, verdict string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("timestamp"))
+    bad = ["http://x.example.com./", "http://a@b@x.example.com/", "//x.example.com/", "  http://x.example.com", "http://a.x.example.com:80/q", "http:\\\\x.example.com\\y", "HTTP://X.EXAMPLE.COM", "http://y.org/a/b/c/d/e/f", "http://[::1]:80/"]
+    good = ["http://x.example.com.evil.net/", "http://y.org/a/b/c/d", "http://z.net/?u=http://x.example.com/", "http://xx.example.com", "x.example.com", "", "http://y.org/" + "a/" * 20_000]
+    c = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string").withColumns({"fetched_at": F.lit("2024-02-01").cast("timestamp"), "host": F.lit("clash"), "verdict": F.lit("clash"), "salt": F.lit(0)})
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(c, entries).collect()}
+    assert [got[i] for i in range(len(got))] == ["block"] * len(bad) + ["pass"] * len(good)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     duck = duckdb.connect()
