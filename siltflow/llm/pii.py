@@ -1,17 +1,20 @@
 """Personal data by weak supervision (DataFrame and SQL functions only).
 
 Base spans come from four patterns with checks (email, ip, card, phone). Looser candidates (spaced or worded e-mail
-addresses, numbers and names of other shapes, quoted secrets) join them as items on which labelers vote: a strict
-pattern, a gazetteer of domains and reserved number ranges, cue words before the span, and the span's shape. Counts
-of vote patterns are collected (at most 3^4 for each kind); expectation-maximisation estimates how reliable each
-labeler is and how likely each pattern is personal data. The expected labels train a final naive Bayes span
-classifier on the votes and discrete features, again from grouped counts. Candidates it accepts are added to the base
-spans, which always stay; added ones that overlap a base span or an earlier added one are left out.
-
-Positions are code points, ends exclusive. Texts are matched whole; patterns are written without nested backtracking,
-so that very long texts take linear time. Null texts are empty and have no spans. Repeated rows are searched each.
-Ties between candidates at one start: the longest, then the first kind. An empty table gives no rows. Columns other
-than doc_id and text are ignored.
+addresses, numbers and names of other shapes, quoted secrets) join them as items on which labelers vote for, against or
+not at all: a check of the pattern (ranges, check digits), a gazetteer of domains, country codes and reserved values,
+cue words before the span, words before it that speak against, what follows it, and its shape. Counts of vote patterns
+are collected (at most 3^6 for each kind); expectation-maximisation estimates how reliable each labeler is and how
+likely each pattern is personal data. The expected labels train a final naive Bayes span classifier on the votes and
+discrete features, again from grouped counts. Candidates it accepts are added to the base spans, which always stay;
+added ones that overlap a base span or an earlier added one are left out.
+
+A text's spans and candidates, with a few characters around them, are found once and kept with its row; the classifier
+is an expression over them, so no row is joined or shuffled and ids don't matter. Positions are code points, ends
+exclusive. Texts are matched whole; patterns are written without nested backtracking, so that very long texts take
+linear time. Null texts are empty and have no spans. Repeated rows are searched each. Ties between candidates at one
+start: the longest, then the first kind. An empty table gives no rows. Columns other than doc_id, text and those to
+keep are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import settle, table
+from .shared import Scratch, settle, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"A-Za-z0-9._%+-"
@@ -42,10 +45,22 @@ LOOSE = {
     "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"'][^\"'\s]{8,128}+[\"']",
 }
 ORDER = [*KINDS, *(k for k in LOOSE if k not in KINDS)]
-#: Words that announce personal data shortly before it.
-CUES = r"(?i)(?:e-?mail|mail|contact|write|phone|tel|call|mobile|fax|card|visa|account|iban|ssn|social|address|host|server|password|token|secret|key)[^A-Za-z0-9]{0,4}$"
-GAZETTEER = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$|dot\x20?[\])]?\x20?(?:com|org|net|edu|de|fr|es)$|^\+?(?:1|33|34|44|49)[\x20(]"
-STEADY = r"^(.)\1+$|^(?:0|1|12345678)"
+#: Words that announce personal data shortly before it, and words that speak against it.
+CUES = r"(?i)(?:e-?mail|mail|contact|write|reach|phone|tel|telephone|call|mobile|cell|fax|card|visa|account|iban|ssn|social|security|address|host|server|password|token|secret|key)(?:\x20(?:me|us|is|no|number|at|to)){0,2}[^A-Za-z0-9]{0,4}$"
+AGAINST = r"(?i)(?:version|build|release|isbn|issn|part|model|serial|order|invoice|ticket|case|page|pages|figure|table|section|chapter|range|score|ratio|size|lot|sku|example|sample|placeholder|dummy|fake|test)(?:\x20(?:no|number|code|id|is)){0,2}[^A-Za-z0-9]{0,4}$"
+#: What follows numbers that are quantities or parts of longer ones.
+FOLLOWS = r"(?i)^(?:[.,-]?[0-9]|\x20?(?:%|px|mm|cm|km|kg|mb|gb|ms|units|points|pcs|items)(?![a-z]))"
+STEADY = r"^(.)\1+$|^(?:0|12345678)"
+# Top-level domains, country codes of IBANs, and values reserved for examples; (kind, term, vote).
+GAZETTEER = [
+    *(("email", x, 1) for x in "com org net edu gov info io biz de fr es it nl uk ch at eu us ca au jp".split()),
+    *(("email", x, -1) for x in "invalid example test localhost".split()),
+    *(("iban", x, 1) for x in "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split()),
+    *(("phone", x, -1) for x in "000 111 123 999".split()),
+    *(("ssn", x, -1) for x in "000 666 987".split()),
+    *(("secret", x, -1) for x in "changeme password yourpassword yourtoken placeholder xxxxxxxx ******** your-api-key your_api_key <password> <token>".split()),
+]
+MOST_GAZETTEER = 10_000
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -83,8 +98,6 @@ def passes(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-
-
 def _checker(kind: str):
     return lambda s: passes(kind, s["found"])
 
@@ -106,30 +119,65 @@ def loose_hint(kind: str) -> Column:
     return {"email": text.rlike(r"(?:[\[( ])at[\]) ]") & text.rlike(r"(?:[\[( ])dot[\]) ]"), "phone": text.rlike(r"[0-9]{3}[.\x20-][0-9]{4}"), "ssn": text.rlike(r"-[0-9]{2}-"), "iban": text.rlike(r"[A-Z]{2}[0-9]{2}"), "secret": text.rlike("[\"']")}[kind]
 
 
-VOTES = ("pattern", "gazetteer", "cue", "shape")
+VOTES = ("pattern", "gazetteer", "cue", "against", "follows", "shape")
+CANDIDATE = "array<struct<kind:string,start:int,end:int,found:string,base:boolean,before:string,after:string>>"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs: uid, text, base kinds. One row for each span: uid, kind, start, end, base, votes (1 for, 0 abstains, -1 against) and features."""
-    tag = lambda spans, kind, base: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), F.lit(base).alias("base")))
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """docs: text, base kinds. Adds cands: every span, base or loose, with what stands before and after it."""
+    text = F.col("text")
+
+    def tag(spans: Column, kind: str, base: bool) -> Column:
+        around = lambda s: (F.substring(text, F.greatest(F.lit(1), s["start"] - 31), F.least(F.lit(32), s["start"])), F.substring(text, s["end"] + 1, F.lit(12)))
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), F.lit(base).alias("base"), around(s)[0].alias("before"), around(s)[1].alias("after")))
+
     empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    every = [tag(F.col(k), k, True) for k in KINDS] + [tag(F.when(loose_hint(k), matches(F.col("text"), p)).otherwise(empty), k, False) for k, p in LOOSE.items()]
-    rows = docs.select("uid", "text", F.explode(F.concat(*every)).alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") - 23), F.least(F.lit(24), F.col("s.start")))
-    rows = rows.select("uid", "s.*", before.alias("before"))
-    found, digits = F.col("found"), digits_of(F.col("found"))
-    strict = F.when(F.col("base"), 1).when(F.col("kind").isin("ssn", "iban", "secret"), F.when(~digits.rlike(r"^(?:000|666|9)") | (F.col("kind") != "ssn"), 1).otherwise(-1)).otherwise(0)
-    gazetteer = F.when(found.rlike(GAZETTEER), 1).otherwise(0)
-    cue = F.when(F.col("before").rlike(CUES), 1).when(F.col("kind") == "secret", 1).otherwise(0)
-    shape = F.when(digits.rlike(STEADY) & (F.col("kind") != "email"), -1).when(F.col("kind").isin("email", "secret") | (F.length(digits) >= 4), 1).otherwise(-1)
-    return rows.withColumns({"pattern": strict, "gazetteer": gazetteer, "cue": cue, "shape": shape, "size": F.floor(F.log2(F.length("found"))).cast("int"), "dense": F.floor(4.0 * F.length(digits) / F.length("found")).cast("int")})
+    every = [tag(F.col(k), k, True) for k in KINDS] + [tag(F.when(loose_hint(k), matches(text, p)).otherwise(empty), k, False) for k, p in LOOSE.items()]
+    return docs.withColumn("cands", F.concat(*every).cast(CANDIDATE))
+
+
+def iban_holds(found: Column) -> Column:
+    """The check digits: the account's digits, letters as 10 to 35, after moving four characters to the end, are 1 modulo 97."""
+    plain = F.upper(F.regexp_replace(found, r"\x20", ""))
+    moved = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+    step = lambda acc, c: F.when(c.rlike("^[0-9]$"), acc * 10 + F.coalesce(c.try_cast("int"), F.lit(0))).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.filter(moved, lambda c: c != ""), F.lit(0), step) == 1
+
+
+def voted(c: Column, gazetteer: dict[str, int]) -> Column:
+    """A candidate with the votes of all labelers (1 for, 0 abstains, -1 against) and discrete features."""
+    kind, found, digits = c["kind"], c["found"], digits_of(c["found"])
+    vote = lambda yes, no=F.lit(False): F.when(no, -1).when(yes, 1).otherwise(0)
+    right = (
+        F.when(c["base"], 1)
+        .when(kind == "ssn", F.when(digits.rlike(r"^(?:000|666|9)|^...00|0000$"), -1).otherwise(1))
+        .when(kind == "iban", F.when(iban_holds(found), 1).otherwise(-1))
+        .when(kind == "phone", F.when(digits.rlike("^[2-9][0-9]{2}[2-9]"), 1).otherwise(-1))
+        .when(kind == "secret", F.when(F.size(F.array_distinct(F.split(found, ""))) >= 12, 1).otherwise(-1))
+        .otherwise(0)
+    )
+    term = (
+        F.when(kind == "email", F.lower(F.regexp_extract(found, r"([A-Za-z0-9-]+)$", 1)))
+        .when(kind == "iban", F.substring(found, 1, 2))
+        .when(kind.isin("phone", "ssn"), F.substring(digits, 1, 3))
+        .when(kind == "secret", F.lower(F.regexp_extract(found, "[\"']([^\"']*)[\"']$", 1)))
+        .otherwise("")
+    )
+    known = F.create_map(*(F.lit(x) for kv in sorted(gazetteer.items()) for x in kv)) if gazetteer else F.create_map(F.lit(""), F.lit(0))
+    number = ~kind.isin("email", "secret")
+    return F.struct(
+        *(c[f].alias(f) for f in ("kind", "start", "end", "base")),
+        right.alias("pattern"), F.coalesce(known[F.concat_ws(":", kind, term)], F.lit(0)).alias("gazetteer"), vote(c["before"].rlike(CUES) | (kind == "secret")).alias("cue"),
+        vote(F.lit(False), c["before"].rlike(AGAINST)).alias("against"), vote(F.lit(False), number & c["after"].rlike(FOLLOWS)).alias("follows"), vote(~number | (F.length(digits) >= 7), number & digits.rlike(STEADY)).alias("shape"),
+        F.floor(F.log2(F.length(found))).cast("int").alias("size"), F.floor(4.0 * F.length(digits) / F.length(found)).cast("int").alias("dense"),
+    )
 
 
 #: What is thought of a labeler before any vote is seen: better than chance. Chances of votes 1, 0, -1 for personal data.
 BELIEF = {1: 0.6, 0: 0.35, -1: 0.05}
 
 
-def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 50, strength: float = 0.2) -> dict[tuple[str, tuple[int, ...]], float]:
+def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 50, strength: float = 0.05) -> dict[tuple[str, tuple[int, ...]], float]:
     """Expectation-maximisation over (kind, votes, count): the probability that spans with these votes are personal data.
 
     Each labeler has one chance of each vote for personal data and one for the rest; a kind has a prior. It starts
@@ -182,28 +230,39 @@ def train(spans: DataFrame) -> tuple[float, dict[str, dict[str, float]]]:
     return math.log(total[1]) - math.log(total[0]), weights
 
 
-def classified(spans: DataFrame, model: tuple[float, dict[str, dict[str, float]]]) -> Column:
-    """The classifier's probability as an expression."""
+def classified(c: Column, model: tuple[float, dict[str, dict[str, float]]]) -> Column:
+    """The classifier's probability for a candidate with votes, as an expression."""
     z = F.lit(model[0])
     for f, values in model[1].items():
         if values:
             known = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
-            z += F.coalesce(known[F.col(f).cast("string")], F.lit(0.0))
+            z = z + F.coalesce(known[c[f].cast("string")], F.lit(0.0))
     return 1 / (1 + F.exp(-z))
 
 
-def find(docs: DataFrame, accept: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs: doc_id, text. One row for each row of docs: doc_id, text, each base kind's spans, spans (rank of kind, start,
-    end) sorted by kind and start, and kept: a struct of the columns named by keep."""
+def gazetteer_terms(gazetteer: DataFrame | None) -> dict[str, int]:
+    """'kind:term' and its vote, of a table (kind, term, vote) of at most MOST_GAZETTEER rows, or the built-in one."""
+    if gazetteer is None:
+        return {f"{k}:{t}": v for k, t, v in GAZETTEER}
+    rows = gazetteer.select("kind", "term", F.col("vote").cast("int")).where("kind is not null and term is not null and vote is not null").limit(MOST_GAZETTEER + 1).collect()
+    if len(rows) > MOST_GAZETTEER:
+        raise ValueError(f"a gazetteer has at most {MOST_GAZETTEER} terms")
+    return {f"{k}:{t}": v for k, t, v in sorted(map(tuple, rows))}
+
+
+def find(docs: DataFrame, accept: float = 0.5, keep: tuple[str, ...] = (), gazetteer: DataFrame | None = None, texts: bool = True) -> DataFrame:
+    """docs: doc_id, text. One row for each row of docs: doc_id, text (if texts), each base kind's spans, spans (rank of
+    kind, start, end) sorted by kind and start, and kept: a struct of the columns named by keep."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
-    with_base = base_spans(own)
-    rows = with_base.withColumn("uid", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
-    spans = settle(candidates(rows).select("uid", "kind", "start", "end", "base", *VOTES, "size", "dense"))
-    model = train(spans)
-    extra = spans.where("not base").withColumn("p", classified(spans, model)).where(F.col("p") >= accept)
-    lists = extra.groupBy("uid").agg(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind")).cast("int").alias("rank"))).alias("more"))
-    joined = rows.join(lists.select(F.col("uid").alias("l_uid"), "more"), F.col("uid").eqNullSafe(F.col("l_uid")), "left")
-    return joined.select("doc_id", "text", *KINDS, merged_spans().alias("spans"), "kept")
+    rows = with_candidates(base_spans(own))
+    rows = Scratch(docs.sparkSession).keep(rows, "candidates") if texts else settle(rows.drop("text"))
+    terms = gazetteer_terms(gazetteer)
+    model = train(rows.select(F.explode(F.transform("cands", lambda c: voted(c, terms))).alias("c")).select("c.*"))
+    rank = F.array(*map(F.lit, ORDER))
+    loose = F.transform(F.filter("cands", lambda c: ~c["base"]), lambda c: voted(c, terms))
+    taken = F.filter(loose, lambda c: classified(c, model) >= accept)
+    more = F.transform(taken, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), F.array_position(rank, c["kind"]).cast("int").alias("rank")))
+    return rows.withColumn("more", F.array_distinct(more)).select("doc_id", *(["text"] if texts else []), *KINDS, merged_spans().alias("spans"), "kept")
 
 
 def merged_spans() -> Column:
@@ -242,7 +301,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     base = F.concat(*map(_ranked, KINDS))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))

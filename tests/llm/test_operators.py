@@ -366,6 +366,40 @@ def test_pii_adds_and_redacts(spark):
         assert r["d"].count("secret:") == 1 and r["t"] == "x [SECRET] é [EMAIL]."
 
 
+def iban(country, digits):
+    whole = "".join(str(int(c, 36)) for c in digits + country + "00")
+    return f"{country}{98 - int(whole) % 97:02d}{digits}"
+
+
+def test_pii_classifier_accepts_and_rejects(spark):
+    """Of loose candidates of each kind, those that most labelers speak for are added, the others aren't."""
+    rng = np.random.default_rng(8)
+    num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    rows, want = [], []
+    for i in range(150):
+        h = hashlib.sha1(str(i).encode()).hexdigest()
+        area = f"{rng.integers(2, 9)}{num(2)}"
+        good = {"phone": f"call me at {area}-{rng.integers(2, 10)}{num(2)}-{num(4)} today", "ssn": f"social security number {rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}.", "iban": f"account iban {iban('DE', num(18))} please", "secret": f'token = "{h}"', "email": f"write to ann{i} (at) mail{i} (dot) com now"}
+        bad = {"phone": f"order number {rng.choice(['000', '111', '123'])}-{num(3)}-{num(4)}.{num(2)}", "ssn": f"part no 000-{num(2)}-0000", "iban": f"serial XY00 {num(4)} {num(4)} {num(4)} {num(4)}", "secret": 'sample password: "xxxxxxxx"', "email": f"test a{i} at the{i} dot example"}
+        for truth, texts in ((True, good), (False, bad)):
+            for k, t in texts.items():
+                rows.append((len(rows), f"é some words here, {t} and others there"))
+                want.append((k, truth))
+    got = {r["doc_id"]: r["d"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.digest(F.col("spans")).alias("d")).collect()}
+    for kind in ("phone", "ssn", "iban", "secret", "email"):
+        told = {t: np.mean([f"{kind}:" in got[i] for i, (k, x) in enumerate(want) if k == kind and x == t]) for t in (True, False)}
+        assert told[True] >= 0.9 and told[False] <= 0.1, (kind, told)
+
+
+def test_pii_gazetteer_table(spark):
+    """A table of terms replaces the built-in one; a term that it speaks against is voted on so."""
+    table_ = spark.createDataFrame([("email", "zz", -1), ("email", "com", 1), (None, "x", 1)], "kind string, term string, vote int")
+    c = spark.sql("SELECT named_struct('kind', 'email', 'start', 0, 'end', 5, 'found', found, 'base', false, 'before', '', 'after', '') AS c FROM VALUES ('a at b dot zz'), ('a at b dot com'), ('a at b dot de') AS t(found)")
+    assert [r[0] for r in c.select(pii.voted(F.col("c"), pii.gazetteer_terms(table_))["gazetteer"]).collect()] == [-1, 1, 0]
+    with pytest.raises(ValueError):
+        pii.gazetteer_terms(spark.range(pii.MOST_GAZETTEER + 1).select(F.lit("email").alias("kind"), F.col("id").cast("string").alias("term"), F.lit(1).alias("vote")))
+
+
 def test_em_finds_reliable_labelers():
     """Two labelers agree with the truth nine times in ten, one is noise: the posterior follows the two."""
     rng = np.random.default_rng(0)
