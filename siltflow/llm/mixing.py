@@ -71,6 +71,8 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-7, st
         state = settle(j.select("source", "source_size", "mean", "target", F.when(F.col("got").isNull() | done, F.col("lam")).when(ahead, newton).otherwise(wide).alias("lam"), "lo", "hi", F.when(free & ~done, F.abs(gap)).otherwise(F.lit(0.0)).alias("off")))
         if not state.where("off > 0").head(1):
             break
+    else:
+        raise RuntimeError(f"targets aren't met after {steps} Newton steps")
     return state.select("source", "source_size", "mean", "target", "lam")
 
 
