@@ -30,21 +30,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates on five-word shingles, and one of
-    those without an id."""
+    """Keeps one document of each group of near-duplicates on five-word shingles: that with the smallest id, or of a
+    group without ids the first row."""
     docs = numbered(spark, docs)
     groups = simhash.near_duplicates(docs.select(F.col("row_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("g_id"), "component_id")
     members = docs.select("doc_id", "row_id").join(groups, F.col("row_id") == F.col("g_id"))
-    kept = members.groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row_id"))["row_id"].alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_id"))["row_id"]
+    kept = members.groupBy("component_id").agg(first.alias("kept"))
     return docs.join(kept, F.col("row_id") == F.col("kept"), "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain passages of the benchmark, re-parameterised ones included."""
-    docs = numbered(spark, docs)
-    bad = decontaminate.contaminated(docs.select(F.col("row_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    """Drops documents that contain passages of the benchmark, re-parameterised ones included. Texts decide, not ids."""
+    docs = docs.select(*COLUMNS).withColumn("key", decontaminate.text_key())
+    bad = decontaminate.contaminated(docs.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     bad = bad.select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("row_id") == F.col("bad"), "left_anti").select(*COLUMNS)
+    return docs.join(bad, F.col("key") == F.col("bad"), "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
