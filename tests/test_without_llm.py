@@ -20,3 +20,11 @@ def test_nothing_else_imports_llm():
     for path in (ROOT / "siltflow").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_entry_imports_without_what_llm_needs(tmp_path):
+    """Where a package that only the optional operators need is missing, the engine's queries stay."""
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'route_build_latest' in q and not any(n.startswith('op1') for n in q) and len(e.oracle_sql())"
+    done = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {str(tmp_path)!r}); {code}"], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
