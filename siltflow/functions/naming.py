@@ -52,15 +52,19 @@ def human_size(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(one(size / 1024), F.lit(" KB"))).otherwise(F.concat(one(size / 1048576), F.lit(" MB")))
 
 
+#: What names of output files may end with, or contain, for each format with a rule of its own; others have OTHER.
+ENDS = {f: (f".{f}", f"_{f}.txt") for f in ("npvt", "npvtsub")} | {f: ("_b64sub.txt",) for f in ("b64sub", "npvt.b64sub", "npvtsub.b64sub")} | {f: ("_decoded.json",) for f in ("decoded.json", "npvt.decoded.json", "npvtsub.decoded.json")}
+INSIDE = {f: "." + f.removeprefix("npvtsub.").removeprefix("npvt.") for f in ENDS if f.endswith(("b64sub", "decoded.json"))}
+OTHER = (".{}", "_{}.txt", "_{}.json", "_{}.zip")
+
+
 def matches_format(name: Column, fmt: str) -> Column:
     """Whether an output file's name is one of the format's, in either style of naming."""
-    n, f = F.lower(name), fmt.lower()
-    if f in ("npvt", "npvtsub"):
-        return n.endswith(f".{f}") | n.endswith(f"_{f}.txt")
-    for part, end in (("b64sub", "_b64sub.txt"), ("decoded.json", "_decoded.json")):
-        if f in (part, f"npvt.{part}", f"npvtsub.{part}"):
-            return F.contains(n, F.lit(f".{part}")) | n.endswith(end)
-    return n.endswith(f".{f}") | n.endswith(f"_{f}.txt") | n.endswith(f"_{f}.json") | n.endswith(f"_{f}.zip")
+    name, fmt = F.lower(name), fmt.lower()
+    told = [name.endswith(e) for e in ENDS.get(fmt, [o.format(fmt) for o in OTHER])]
+    if fmt in INSIDE:
+        told.append(F.contains(name, F.lit(INSIDE[fmt])))
+    return F.greatest(*told, F.lit(False))
 
 
 def caption(template: Column, timestamp: Column, digest: Column, count: Column, fmt: Column, filename: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import binascii
 import unicodedata
 
 import pyarrow as pa
@@ -36,20 +34,45 @@ def normalize(text: Column) -> Column:
 
 
 @arrow_udf(T.StringType())
-def utf8_ignore(data: pa.Array) -> pa.Array:
-    """Bytes as text, invalid ones dropped."""
+def _valid_parts(data: pa.Array) -> pa.Array:
     return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in data.to_pylist()], pa.string())
 
 
+def utf8_ignore(data: Column) -> Column:
+    """Bytes as text, invalid ones dropped; only these go through Python."""
+    valid = F.is_valid_utf8(data.cast("string"))
+    return F.when(valid, data.cast("string")).otherwise(_valid_parts(F.when(~valid, data)))
+
+
+#: Value of each character of the alphabet, in both of its spellings.
+_VALUES = {ord(c): i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {ord("-"): 62, ord("_"): 63}
+
+
 def lenient_base64(data: str, url_safe: bool = True) -> str | None:
-    """Padded as needed; characters outside the alphabet don't count. None if it can't be decoded."""
-    if url_safe:
-        data = data.replace("-", "+").replace("_", "/")
-    data += "=" * (-len(data) % 4)
-    try:
-        return base64.b64decode(data).decode("utf-8", "ignore")
-    except (binascii.Error, ValueError):
+    """What the characters of the alphabet say, six bits each, up to where padding completes a group of four; other
+    characters don't count, and padding that lacks at the end of the data is supplied. None where one character of a
+    group is left over, or padding is short of what the length needs."""
+    bits = size = held = pads = 0
+    out = bytearray()
+    padded = data + "=" * (-len(data) % 4)
+    for c in map(ord, padded):
+        if c == 61:
+            pads += held % 4 >= 2
+            if held % 4 >= 2 and held % 4 + pads >= 4:
+                break
+            continue
+        value = _VALUES.get(c) if url_safe or c not in (45, 95) else None
+        if value is None:
+            continue
+        pads, held = 0, held + 1
+        bits, size = bits << 6 | value, size + 6
+        if size >= 8:
+            size -= 8
+            out.append(bits >> size)
+            bits &= (1 << size) - 1
+    if held % 4 == 1 or held % 4 and held % 4 + pads < 4:
         return None
+    return out.decode("utf-8", "ignore")
 
 
 @arrow_udf(T.StringType())
@@ -57,6 +80,13 @@ def from_base64(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else lenient_base64(x) for x in text.to_pylist()], pa.string())
 
 
+@arrow_udf(T.StringType())
+def decoded_list(lines: pa.Array) -> pa.Array:
+    """Each line decoded, or as it is where it can't be; line ends inside become blanks."""
+    one = lambda v: v if (x := lenient_base64(v)) is None else x.replace("\n", " ")
+    return pa.array([None if x is None else "\n".join(map(one, x.split("\n"))) for x in lines.to_pylist()], pa.string())
+
+
 def to_base64(text: Column) -> Column:
     """Without line breaks, whatever spark.sql.chunkBase64String.enabled says."""
     return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"[\r\n]", "")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import base64
 import json
-from urllib.parse import unquote
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from ..schemas import ENTRY
-from .text import lenient_base64
+from .text import decoded_list, from_base64, lenient_base64
 
 # The known schemes, and the names that two of them have in decoded entries.
 SCHEMES = "vmess vless trojan ss ssr hysteria2 hy2 hysteria tuic wireguard wg socks socks5 socks4 anytls juicity warp dns dnstt".split()
@@ -123,75 +123,93 @@ def standard_entry(uri: Column, protocol: Column) -> Column:
     return F.struct(*columns)
 
 
-def _shadowsocks(uri: str) -> dict:
-    out = {"protocol": "shadowsocks", "raw": uri}
-    failed = out | {"error": "decode_failed"}
-    rest, mark, tag = uri[5:].rpartition("#")
-    rest, tag = (rest, unquote(tag)) if mark else (uri[5:], "")
-    if "@" in rest:
-        info, _, place = rest.rpartition("@")
-        text = lenient_base64(info)
-        text = unquote(info) if text is None or (":" not in text and ":" in info) else text
-        place = place.split("?")[0]
-    else:
-        text = lenient_base64(rest.split("?")[0])
-        if text is None:
-            return failed
-        if "@" not in text:
-            return out | {"decoded_text": text}
-        text, _, place = text.rpartition("@")
-    method, _, password = text.partition(":")
-    host, colon, port = place.rpartition(":")
-    try:
-        number = int(port) if colon else 0
-    except ValueError:
-        return failed
-    return out | {"method": method, "password": password, "address": host if colon else place, "port": number, "tag": tag}
-
-
-def _shadowsocksr(uri: str) -> dict:
-    out = {"protocol": "shadowsocksr", "raw": uri}
-    text = lenient_base64(uri[6:])
-    if text is None:
-        return out | {"error": "decode_failed"}
-    main, _, params = text.partition("/?")
-    parts = main.split(":")
-    if len(parts) < 6:
-        return out | {"decoded_text": text}
-    password = lenient_base64(parts[-1])
-    if password is None or not parts[-5].strip().lstrip("+-").isdigit():
-        return out | {"error": "decode_failed"}
-    pairs = [kv.split("=", 1) for kv in params.split("&") if "=" in kv]
-    decoded = {k: v if (x := lenient_base64(v)) is None else x for k, v in pairs}
-    return out | {"address": ":".join(parts[:-5]), "port": int(parts[-5]), "ssr_protocol": parts[-4], "method": parts[-3], "obfs": parts[-2], "password": password, "extra": decoded or None}
-
-
-def _vmess(uri: str) -> dict:
-    obj = _vmess_object(uri)
-    out = {"protocol": "vmess", "raw": uri}
-    return out | ({"error": "decode_failed"} if obj is None else {"decoded": json.dumps(obj, ensure_ascii=False)})
-
-
-@arrow_udf(ENTRY)
-def _encoded_entry(uris: pa.Array) -> pa.Array:
-    by = {"vmess://": _vmess, "ss://": _shadowsocks, "ssr://": _shadowsocksr}
-    rows = []
-    for u in uris.to_pylist():
-        decode = next((f for p, f in by.items() if u is not None and u.startswith(p)), None)
-        row = decode(u) if decode else {}
-        if row.get("extra"):
-            row["extra"] = list(row["extra"].items())
-        rows.append({f.name: row.get(f.name) for f in ENTRY.fields})
-    kinds = [("params", pa.map_(pa.string(), pa.list_(pa.string()))), ("extra", pa.map_(pa.string(), pa.string())), ("port", pa.int64())]
-    return pa.array(rows, pa.struct([pa.field(f.name, dict(kinds).get(f.name, pa.string())) for f in ENTRY.fields]))
+def _entry(uri: Column, protocol: str, **fields: Column) -> Column:
+    """An ENTRY of some fields; the others are null."""
+    known = {"protocol": F.lit(protocol), "raw": uri} | fields
+    return F.struct(*((known[f.name] if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in ENTRY.fields))
+
+
+def _port(text: Column) -> Column:
+    return F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), text.cast("bigint"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed, and written in the plan, once. The body has no Python functions."""
+    return F.transform(F.array(value), body)[0]
+
+
+def shadowsocks_entry(uri: Column) -> Column:
+    """ss://BASE64(method:password)@host:port?plugin#tag, or ss://BASE64(method:password@host:port)#tag."""
+    body = F.regexp_extract(uri, "(?s)^ss://(.*?)(?:#[^#]*)?$", 1)
+    coded = F.when(F.contains(body, F.lit("@")), F.regexp_extract(body, "(?s)^(.*)@", 1)).otherwise(F.substring_index(body, "?", 1))
+
+    def parts(v: Column) -> Column:
+        body, inside = v["body"], v["inside"]
+        in_clear, owner = F.contains(body, F.lit("@")), F.regexp_extract(body, "(?s)^(.*)@", 1)
+        # an owner that isn't base64 but has a colon is method:password itself
+        plain = inside.isNull() | (~F.contains(inside, F.lit(":")) & F.contains(owner, F.lit(":")))
+        secret = F.when(~in_clear, F.regexp_extract(inside, "(?s)^(.*)@", 1)).when(plain, unquoted(owner)).otherwise(inside)
+        server = F.when(in_clear, F.regexp_extract(body, "(?s)^.*@([^@?]*)", 1)).otherwise(F.regexp_extract(inside, "(?s)^.*@(.*)$", 1))
+        state = F.when(in_clear, "whole").when(inside.isNull(), "failed").when(F.contains(inside, F.lit("@")), "whole").otherwise("unknown")
+        return F.struct(v["uri"].alias("uri"), inside.alias("inside"), secret.alias("secret"), server.alias("server"), state.alias("state"))
+
+    def entry(v: Column) -> Column:
+        server, secret, with_port = v["server"], v["secret"], F.contains(v["server"], F.lit(":"))
+        number = F.when(with_port, _port(F.regexp_extract(server, "(?s):([^:]*)$", 1))).otherwise(F.lit(0))
+        whole, failed = (v["state"] == "whole") & number.isNotNull(), (v["state"] == "failed") | ((v["state"] == "whole") & number.isNull())
+        tag = F.when(F.contains(v["uri"], F.lit("#")), unquoted(F.regexp_extract(v["uri"], "(?s)#([^#]*)$", 1))).otherwise("")
+        address = F.when(with_port, F.regexp_extract(server, "(?s)^(.*):", 1)).otherwise(server)
+        fields = {"method": F.regexp_extract(secret, "(?s)^([^:]*)", 1), "password": F.regexp_extract(secret, "(?s)^[^:]*:(.*)$", 1), "address": address, "port": number, "tag": tag}
+        return _entry(v["uri"], "shadowsocks", error=F.when(failed, "decode_failed"), decoded_text=F.when(v["state"] == "unknown", v["inside"]), **{k: F.when(whole, x) for k, x in fields.items()})
+
+    return _let(F.struct(uri.alias("uri"), body.alias("body"), from_base64(coded).alias("inside")), lambda v: _let(parts(v), entry))
+
+
+SSR = "(?s)^(.*):([^:]*):([^:]*):([^:]*):([^:]*):([^:]*)$"
+
+
+def shadowsocksr_entry(uri: Column) -> Column:
+    """ssr://BASE64(host:port:protocol:method:obfs:BASE64(password)/?key=BASE64(value)&...); a host may have colons."""
+    inside = from_base64(F.regexp_extract(uri, "(?s)^ssr://(.*)$", 1))
+    main = F.substring_index(inside, "/?", 1)
+    pairs = F.filter(F.split(F.regexp_extract(inside, r"(?s)^.*?/\?(.*)$", 1), "&"), lambda p: F.contains(p, F.lit("=")))
+    values = F.array_join(F.transform(pairs, lambda p: F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)), "\n")
+    known = F.struct(uri.alias("uri"), inside.alias("inside"), main.alias("main"), from_base64(F.regexp_extract(main, SSR, 6)).alias("password"), pairs.alias("pairs"), F.split(decoded_list(values), "\n").alias("clear"))
+
+    def entry(v: Column) -> Column:
+        part = lambda i: F.regexp_extract(v["main"], SSR, i)
+        number, formed = _port(F.trim(part(2))), v["main"].rlike(SSR)
+        whole = formed & v["password"].isNotNull() & number.isNotNull()
+        keys = F.transform(v["pairs"], lambda p: F.substring_index(p, "=", 1))
+        later = lambda known, e: F.map_concat(F.map_filter(known, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"]))
+        extra = F.when(F.size(v["pairs"]) > 0, F.aggregate(F.arrays_zip(keys.alias("k"), v["clear"].alias("v")), F.create_map().cast("map<string,string>"), later))
+        fields = {"address": part(1), "port": number, "ssr_protocol": part(3), "method": part(4), "obfs": part(5), "password": v["password"], "extra": extra}
+        failed = v["inside"].isNull() | (formed & ~whole)
+        return _entry(v["uri"], "shadowsocksr", error=F.when(failed, "decode_failed"), decoded_text=F.when(~formed, v["inside"]), **{k: F.when(whole, x) for k, x in fields.items()})
+
+    return _let(known, entry)
+
+
+@arrow_udf(T.StringType())
+def _vmess_json(uris: pa.Array) -> pa.Array:
+    """The payload of vmess URIs as JSON, null where it isn't an object."""
+    objects = [None if u is None else _vmess_object(u) for u in uris.to_pylist()]
+    return pa.array([None if o is None else json.dumps(o, ensure_ascii=False) for o in objects], pa.string())
+
+
+def vmess_entry(uri: Column) -> Column:
+    text = _vmess_json(uri)
+    return _entry(uri, "vmess", decoded=text, error=F.when(text.isNull(), "decode_failed"))
 
 
 def decode(uri: Column) -> Column:
-    """A proxy URI as an ENTRY; null for other lines. Only vmess, ss and ssr go through Python."""
+    """A proxy URI as an ENTRY; null for other lines. Python only decodes lenient base64."""
     scheme = F.regexp_extract(uri, "^(" + "|".join(SCHEMES) + ")://", 1)
     names = F.create_map(*(F.lit(x) for s in SCHEMES for x in (s, ALIASES.get(s, s))))
-    encoded = scheme.isin("vmess", "ss", "ssr")
-    return F.when(encoded, _encoded_entry(F.when(encoded, uri))).when(scheme != "", standard_entry(uri, names[scheme]))
+    out = F.when(~scheme.isin("", "vmess", "ss", "ssr"), standard_entry(uri, names[scheme]))
+    for name, entry in (("vmess", vmess_entry), ("ss", shadowsocks_entry), ("ssr", shadowsocksr_entry)):
+        out = out.when(scheme == name, entry(F.when(scheme == name, uri)))
+    return out
 
 
 def outbound(entry: Column) -> Column:

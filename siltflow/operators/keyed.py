@@ -29,6 +29,18 @@ def unseen(new: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return new.join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def probed(df: DataFrame, known: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """df with whether each row's key is known."""
+    there = known.select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(there, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def waiting(files: DataFrame, told: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Files (id, keys) that nothing is told of, the first `limit` of them by id."""
+    out = unseen(files, told, keys)
+    return out if limit is None else out.orderBy("id").limit(limit)
+
+
 def insert_ignore(seen: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """seen, and the first new row of each key that seen lacks."""
     return seen.unionByName(unseen(first_per_key(new, keys, order), seen, keys))
@@ -70,15 +82,53 @@ def newest_first(manifest: DataFrame) -> DataFrame:
     return manifest.orderBy(F.desc("first_seen"), F.asc("uri"))
 
 
-def numbered(df: DataFrame, by: str, order: Sequence[str], name: str = "n") -> DataFrame:
-    """1, 2 ... within each value of `by`."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order)))
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "n", buckets: int = 256) -> DataFrame:
+    """1, 2 ... within each value of `by`. Rows are dealt to ranges of the first order column, of about equal width between
+    its least and its greatest value in the group, numbered within these, and moved on by the sizes of the ranges before,
+    so a group is many tasks. Order columns are numbers or can be cast to them, the first one without nulls."""
+    by, at = list(by), F.col(order[0]).cast("double")
+    span = df.groupBy(*by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    cell = F.least(F.floor((at - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+    rows = _join_null_safe(df, span, by).withColumn("_b", F.coalesce(cell, F.lit(0))).drop("_lo", "_hi")
+    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*by).orderBy("_b")) - F.col("_n")).drop("_n")
+    rows = _join_null_safe(rows, before, [*by, "_b"])
+    return rows.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy(*by, "_b").orderBy(*order))).drop("_b", "_before")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, nulls included, with left's key columns."""
+    other = right.select(*(F.col(c).alias(f"_{i}_key") if c in keys else F.col(c) for i, c in enumerate(right.columns)))
+    on = F.lit(True)
+    for i, c in enumerate(right.columns):
+        if c in keys:
+            on &= F.col(c).eqNullSafe(F.col(f"_{i}_key"))
+    return left.join(other, on).drop(*(f"_{i}_key" for i in range(len(right.columns))))
 
 
 def collision_names(df: DataFrame, by: Sequence[str], name: str, order: Sequence[str]) -> DataFrame:
-    """entry: the name, and i_name for the i-th further row with that name."""
-    i = F.row_number().over(W.partitionBy(*by, name).orderBy(*order)) - 1
-    return df.withColumn("entry", F.when(i == 0, F.col(name)).otherwise(F.concat_ws("_", i.cast("string"), F.col(name))))
+    """entry: for rows in order, the name, or the first of 1_name, 2_name ... that no row before has as its entry.
+
+    Names can only meet if they are equal without numbers in front. Where all names of such a family are the same, the
+    i-th further row has i; families of several names, so with a name like '1_a', are gone through one by one.
+    """
+    family = F.regexp_replace(name, "^(?:[1-9][0-9]*_)+", "")
+    rows = df.withColumn("_f", family)
+    of = W.partitionBy(*by, "_f")
+    rows = rows.withColumn("_mixed", F.min(name).over(of) != F.max(name).over(of))
+    i = F.row_number().over(of.orderBy(*order)) - 1
+    same = rows.where("not _mixed").withColumn("entry", F.when(i == 0, F.col(name)).otherwise(F.concat_ws("_", i.cast("string"), F.col(name))))
+    some = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*df.columns).alias("r"))))
+
+    def add(entries, x):
+        own = x["r"][name]
+        numbers = F.sequence(F.lit(1), F.size(entries) + 1)
+        free = F.filter(numbers, lambda n: ~F.array_contains(entries, F.concat_ws("_", n.cast("string"), own)))[0]
+        return F.concat(entries, F.array(F.when(F.array_contains(entries, own), F.concat_ws("_", free.cast("string"), own)).otherwise(own)))
+
+    mixed = rows.where("_mixed").groupBy(*by, "_f").agg(some.alias("rows"))
+    mixed = mixed.select(F.explode(F.arrays_zip("rows", F.aggregate("rows", F.array().cast("array<string>"), add).alias("entry"))).alias("x"))
+    return same.select(*df.columns, "entry").unionByName(mixed.select(*(F.col(f"x.rows.r.{c}").alias(c) for c in df.columns), F.col("x.entry").alias("entry")))
 
 
 def changed(results: DataFrame, ledger: DataFrame) -> DataFrame:

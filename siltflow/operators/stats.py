@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import human_size
 
@@ -46,23 +46,34 @@ def facets(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.array_sort(F.collect_set(column)).alias("types"))
 
 
+def first_tags(tags: Column, n: int = 4) -> Column:
+    """The tags that are shown."""
+    return F.slice(tags, 1, n)
+
+
 #: Weights of the fields that a catalog search looks at.
 SEARCH = {"filename": 0.7, "tags": 0.5, "type": 0.3, "ext": 0.2}
 
 
 def search(files: DataFrame, words: str, kind: str = "ALL", order: str = "date_desc", threshold: float = 0.3) -> DataFrame:
-    """Catalog rows near to the words, of one type, sorted. A field's distance is 0 where it contains the words, else
-    the share of letters to change; the weighted least distance of the fields must be within the threshold."""
+    """Catalog rows near to the words, of one type, sorted. A field's distance is 0 where it contains the words, else the
+    least share of letters to change in any of its words, or of runs of as many words as are asked for; a field of less
+    weight adds to its distance. Rows stay whose best field is within the threshold."""
     rows, q = files, words.strip().lower()
     if kind != "ALL":
         rows = rows.where(F.col("type") == kind)
     if q:
-        def distance(name: str):
-            text = F.lower(F.array_join(name, " ") if dict(files.dtypes)[name].startswith("array") else F.col(name))
-            near = F.levenshtein(F.substring(text, 1, 255), F.lit(q)) / F.greatest(F.length(text), F.lit(len(q)))
-            return F.when(F.contains(text, F.lit(q)), 0.0).otherwise(near)
+        kinds, n = dict(files.dtypes), len(q.split())
 
-        score = F.least(*(distance(c) / w * min(SEARCH.values()) + (1 - w) * 0.01 for c, w in SEARCH.items() if c in files.columns))
+        def distance(name: str):
+            text = F.lower(F.array_join(name, " ") if kinds[name].startswith("array") else F.coalesce(F.col(name), F.lit("")))
+            parts = F.filter(F.split(text, r"(?U)[^\w]+"), lambda x: x != "")
+            runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - n, F.lit(0))), lambda i: F.array_join(F.slice(parts, i + 1, n), " "))
+            near = F.array_min(F.transform(runs, lambda x: F.levenshtein(x, F.lit(q)) / F.greatest(F.length(x), F.lit(len(q)))))
+            return F.when(F.contains(text, F.lit(q)), 0.0).otherwise(F.coalesce(near, F.lit(1.0)))
+
+        top = max(SEARCH.values())
+        score = F.least(*(distance(c) + (top - w) * 0.1 for c, w in SEARCH.items() if c in files.columns), F.lit(1.0))
         rows = rows.withColumn("score", score).where(F.col("score") <= threshold)
     keys = {"date_desc": [F.desc("last_modified")], "date_asc": [F.asc("last_modified")], "name_asc": [F.collate("filename", "UNICODE")], "size_desc": [F.desc("size")]}
     return rows.orderBy(*keys[order], F.asc("filename"))

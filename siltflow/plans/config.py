@@ -96,11 +96,17 @@ def load(path: str, env=None) -> Config:
             raise ConfigError(str(e)) from e
 
 
+def _places(s: Source) -> tuple[str | None, str]:
+    """The chat that a bot's messages must be of, or None; and what a source reads: for users, the peer."""
+    chat = s.settings.get("chat_id") if s.type == "telegram" else None
+    return None if chat is None else str(chat), str(s.settings.get("peer", s.id))
+
+
 def tables(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
-    """sources (source_id, include_formats), route_sources and route_formats; as small as the configuration."""
+    """sources (source_id, source_type, include_formats, chat_id, channel_id, pos), route_sources and route_formats; as small as the configuration."""
     make = spark.createDataFrame
     return {
-        "sources": make([(s.id, s.type, list(s.include_formats)) for s in config.sources], "source_id string, source_type string, include_formats array<string>"),
+        "sources": make([(s.id, s.type, list(s.include_formats), *_places(s), i) for i, s in enumerate(config.sources)], "source_id string, source_type string, include_formats array<string>, chat_id string, channel_id string, pos int"),
         "route_sources": make([(r.name, s) for r in config.routes for s in r.from_sources], "route string, source_id string"),
         "route_formats": make([(r.name, f) for r in config.routes for f in r.formats], "route string, format string"),
     }

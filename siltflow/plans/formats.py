@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,6 +32,19 @@ def register(f: Format) -> None:
     _formats[f.name] = f
 
 
+@contextmanager
+def registered(f: Format) -> Iterator[None]:
+    """f as a format within the block."""
+    before = _formats.get(f.name)
+    register(f)
+    try:
+        yield
+    finally:
+        _formats.pop(f.name)
+        if before:
+            register(before)
+
+
 def get(name: str) -> Format | None:
     return _formats.get(name)
 
@@ -59,17 +73,20 @@ for _f in (Format("conf_lines", conf_lines), Format("npvt", uri_lines, True), Fo
     register(_f)
 
 
+URI_FORMATS = tuple(n for n, f in _formats.items() if f.is_uri)
+
+
 def with_format(files: DataFrame) -> DataFrame:
     """files: filename, content. Adds fmt."""
     preview = utf8_ignore(F.substring("content", 1, 2048))
     return files.withColumn("fmt", decide_format(F.coalesce("filename", F.lit("")), preview))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """files: raw_hash, filename, fmt, content. Records of all formats; within a blob, the first of equal records."""
+def parse(files: DataFrame, normal: bool = True) -> DataFrame:
+    """files: raw_hash, filename, fmt, content; normal: texts are normalised. Records of all formats; within a blob, the first of equal records."""
     out = None
     bundles = [n for n in _formats if _formats[n].lines is None]
-    text = files.where(~F.col("fmt").isin(bundles)).withColumn("text", normalize(utf8_ignore(F.col("content"))))
+    text = files.where(~F.col("fmt").isin(bundles)).withColumn("text", normalize(utf8_ignore(F.col("content"))) if normal else utf8_ignore(F.col("content")))
     for f in (x for x in _formats.values() if x.lines):
         rows = text.where(F.col("fmt") == f.name).select("raw_hash", F.posexplode(f.lines(F.col("text"))).alias("pos", "line"))
         if f.is_uri:
@@ -86,10 +103,10 @@ def parse(files: DataFrame) -> DataFrame:
 
 def artifact_lines(records: DataFrame) -> DataFrame:
     """records: route, format, id, pos, line. Distinct lines in order; URIs numbered by scheme: route, format, at, line."""
-    uri = F.col("format").isin(*(n for n, f in _formats.items() if f.is_uri))
-    rows = records.withColumn("line", F.when(uri, strip_remark(F.col("line"))).otherwise(F.col("line")))
-    rows = distinct_in_order(rows, "line", ["id", "pos"], ["route", "format"])
-    rows = rows.withColumn("scheme", scheme_of(F.col("line"))).withColumn("group", F.struct("route", "format", F.when(uri, F.col("scheme"))))
-    rows = numbered(rows, "group", ["id", "pos"])
+    uri, at = F.col("format").isin(*URI_FORMATS), F.struct("id", "pos").alias("at")
+    plain = distinct_in_order(records.where(~uri), "line", ["id", "pos"], ["route", "format"])
+    bare = records.where(uri).withColumn("line", strip_remark(F.col("line")))
+    rows = distinct_in_order(bare, "line", ["id", "pos"], ["route", "format"]).withColumn("scheme", scheme_of(F.col("line")))
+    rows = numbered(rows, ["route", "format", "scheme"], ["id", "pos"])
     named = with_remark(F.col("line"), F.concat_ws("-", "scheme", F.col("n").cast("string")))
-    return rows.select("route", "format", F.struct("id", "pos").alias("at"), F.when(uri, named).otherwise(F.col("line")).alias("line"))
+    return plain.select("route", "format", at, "line").unionByName(rows.select("route", "format", at, named.alias("line")))

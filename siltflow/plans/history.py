@@ -20,7 +20,7 @@ def remember(manifest: DataFrame, records: DataFrame, now: Column) -> DataFrame:
 def listed(manifest: DataFrame) -> DataFrame:
     """pos, uri with its number as remark, first_seen: newest first, then by uri; numbers count within a scheme in that order."""
     rows = manifest.withColumns({"scheme": scheme_of(F.col("uri")), "back": -F.col("first_seen")})
-    rows = numbered(rows, "scheme", ["back", "uri"])
+    rows = numbered(rows, ["scheme"], ["back", "uri"])
     return rows.select(F.struct("back", "uri").alias("pos"), with_remark(F.col("uri"), F.concat_ws("-", "scheme", F.col("n").cast("string"))).alias("uri"), "first_seen")
 
 

@@ -45,3 +45,12 @@ def auto_delivery(users: DataFrame, files: DataFrame, formats: tuple[str, ...] =
         wanted = wanted | matches_format(F.col("name"), f)
     rows = files.where((F.col("size") > 0) & wanted)
     return users.where(~F.coalesce(F.col("muted"), F.lit(False))).crossJoin(rows.select("name", "size"))
+
+
+def deliver(plan: DataFrame, give: Callable[[dict], bool]) -> list[str]:
+    """Gives each user of the plan each file, one after another; the users that got at least one."""
+    reached: dict[str, bool] = {}
+    for row in plan.toLocalIterator():
+        if give(row.asDict()):
+            reached[row["user_id"]] = True
+    return list(reached)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import ZIP_FORMATS
 from ..functions.text import sha256, to_base64
-from ..functions.uris import decode
+from ..functions.uris import decode, is_uri_line
 from ..operators.keyed import latest_per_key
 from ..sources.files import blob_lookup
 from ..sources.sinks import bundles
@@ -15,7 +15,7 @@ from .formats import artifact_lines, names, parse, with_format
 
 def transform(pending: DataFrame, blobs: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pending files (raw_hash, source_id, filename), blobs and sources (include_formats) give records, and statuses:
-    raw_hash, fmt, status, error_msg. One file failing doesn't touch the others."""
+    raw_hash, source_id, fmt, status, error_msg. One file failing doesn't touch the others."""
     files = blob_lookup(pending.select("raw_hash", "source_id", "filename"), blobs, "raw_hash")
     files = with_format(files).join(sources.select("source_id", "include_formats"), "source_id", "left")
     allowed = F.col("include_formats").isNull() | F.array_contains("include_formats", F.col("fmt")) | F.array_contains("include_formats", "all")
@@ -26,7 +26,7 @@ def transform(pending: DataFrame, blobs: DataFrame, sources: DataFrame) -> tuple
     )
     status = F.when(F.col("content").isNull(), "failed").when(~allowed, "ignored").when(error.isNotNull(), "failed").otherwise("processed")
     judged = files.withColumns({"status": status, "error_msg": error})
-    return parse(judged.where("status = 'processed'")), judged.select("raw_hash", "fmt", "status", "error_msg")
+    return parse(judged.where("status = 'processed'")), judged.select("raw_hash", "source_id", "fmt", "status", "error_msg")
 
 
 def for_build(records: DataFrame, files: DataFrame, types: Column, sources: Column, cutoff: Column | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def derived(artifacts: DataFrame) -> DataFrame:
     """The decoded document and the base64 subscription of URI artifacts."""
     uris = artifacts.where(F.col("format").isin("npvt", "npvtsub") & (F.octet_length("data") > 0)).withColumn("text", F.decode("data", "UTF-8"))
     sub = uris.select("route", F.concat("format", F.lit(".b64sub")).alias("format"), F.concat("artifact_hash", F.lit("_b64")).alias("artifact_hash"), F.encode(to_base64(F.trim("text")), "UTF-8").alias("data"), "n")
-    entry = uris.select("route", "format", "artifact_hash", "n", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("e", decode(F.col("line"))).where("e is not null")
+    entry = uris.select("route", "format", "artifact_hash", "n", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(is_uri_line(F.col("line"))).withColumn("e", decode(F.col("line")))
     entries = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json("e").alias("j")))), lambda r: r["j"])
     doc = entry.groupBy("route", "format", "artifact_hash", "n").agg(entries.alias("j"), F.count("*").alias("total"), F.collect_list("e.protocol").alias("p"))
     kinds = F.array_distinct("p")

@@ -25,3 +25,21 @@ def files_for(outputs: DataFrame, archive: DataFrame, fmt: str, now: Column, day
     """The outputs of a format, or, where there are none, the archived ones of the last days, newest first."""
     mine = lambda df: df.where((F.col("size") > 0) & matches_format(F.col("name"), fmt))
     return mine(outputs) if mine(outputs).head(1) else recent(mine(archive), now, days)
+
+
+def latest(outputs: DataFrame, n: int = 10) -> DataFrame:
+    """The newest outputs that have something in them."""
+    return outputs.where("size > 0").select("name", "size", "modified").orderBy(F.desc("modified"), "name").limit(n)
+
+
+def info(users: DataFrame, user_id: str) -> DataFrame:
+    """What a user is told about their own settings."""
+    asked = users.where(F.col("user_id") == user_id)
+    when = F.date_format(F.timestamp_seconds("last_delivered_at"), "yyyy-MM-dd HH:mm:ss")
+    return asked.select("user_id", "username", "default_format", F.coalesce("muted", F.lit(False)).alias("muted"), F.date_format(F.timestamp_seconds("registered_at"), "yyyy-MM-dd HH:mm:ss").alias("registered"), F.coalesce(when, F.lit("never")).alias("last_received"))
+
+
+def formats_there(outputs: DataFrame, formats: tuple[str, ...]) -> DataFrame:
+    """format and the number of its non-empty outputs, for formats that have any."""
+    rows = outputs.where("size > 0").select(F.explode(F.array_compact(F.array(*(F.when(matches_format(F.col("name"), f), F.lit(f)) for f in formats)))).alias("format"))
+    return rows.groupBy("format").agg(F.count("*").alias("n"))

@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import schemas
 from ..functions import naming, text, uris
 from ..operators import keyed, messages, stats
-from ..plans import formats, publish, route
+from ..plans import config, formats, history, publish, route
+from ..sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,11 +37,15 @@ def digest(x: Column | str) -> Column:
 # --- records and files ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT lang, sha256(text) AS unique_hash, max(doc_id) AS id FROM documents
-WHERE lang IN ('en', 'de', 'fr') AND source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') AND doc_id > 10 GROUP BY ALL""")
+@query("""SELECT CASE WHEN lang = 'en' THEN 'npvt' ELSE 'conf_lines' END AS record_type, sha256(coalesce(text, '')) AS unique_hash, max(doc_id) AS id FROM documents
+WHERE lang IN ('en', 'de') AND sha256(coalesce(text, '')) IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3') AND doc_id > 10) GROUP BY ALL""")
 def route_build_latest(t):
-    d = t("documents").where(F.col("lang").isin("en", "de", "fr") & F.col("source").isin(*(f"src{i}" for i in range(8))) & (F.col("doc_id") > 10))
-    return keyed.latest_per_key(d.select("lang", digest("text").alias("unique_hash"), F.col("doc_id").alias("id")), ["lang", "unique_hash"], ["id"])
+    """The route's own build predicate: records of types, from files of sources above a cutoff, latest of each key."""
+    d, kind = t("documents"), F.when(F.col("lang") == "en", "npvt").when(F.col("lang") == "de", "conf_lines").otherwise("ehi")
+    records = d.select(F.col("doc_id").alias("id"), digest("text").alias("source_file_hash"), kind.alias("record_type"), digest("text").alias("unique_hash"), F.lit(True).alias("is_active"))
+    seen = d.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), digest("text").alias("raw_hash"))
+    rows = route.for_build(records, seen, F.col("record_type").isin("npvt", "conf_lines"), F.col("source_id").isin(*(f"src{i}" for i in range(4))), F.lit(10))
+    return rows.select("record_type", "unique_hash", "id")
 
 
 @query("""SELECT l_returnflag AS record_type, l_partkey AS unique_key, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS price,
@@ -139,31 +145,39 @@ def prune_candidates(t):
     return keyed.prunable(hashes, records)
 
 
-@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query("""SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS seen FROM orders""")
 def membership_probe(t):
-    hits = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t("orders").join(hits, "o_orderkey", "left_semi").select("o_orderkey")
+    known = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return keyed.probed(t("orders").select("o_orderkey"), known, ["o_orderkey"], "seen")
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 200")
+@query("""SELECT doc_id AS id, lang AS source_id FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents JOIN labels USING (doc_id)) ORDER BY 1 LIMIT 200""")
 def pending_scan(t):
-    return t("documents").where("lang = 'en'").orderBy("doc_id").limit(200).select("doc_id", "lang", "source")
+    files = t("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_id"), digest("text").alias("raw_hash"))
+    told = t("documents").join(t("labels").select("doc_id"), "doc_id").select(digest("text").alias("raw_hash"))
+    return keyed.waiting(files, told, ["raw_hash"], 200).select("id", "source_id")
 
 
-@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("""SELECT d.doc_id, l.text IS NOT NULL AS there, l.n FROM documents d LEFT JOIN (SELECT sha256(coalesce(text, '')) AS h, any_value(text) AS text, any_value(strlen(text)) AS n FROM documents WHERE doc_id % 3 > 0 GROUP BY 1) l ON sha256(coalesce(d.text, '')) = h""")
 def blob_lookup(t):
-    return t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "quality")
+    blobs = t("documents").where("doc_id % 3 > 0").groupBy(digest("text").alias("raw_hash")).agg(F.first(F.col("text").cast("binary")).alias("content"))
+    found = files.blob_lookup(t("documents").select("doc_id", digest("text").alias("blob_hash")), blobs)
+    return found.select("doc_id", F.col("content").isNotNull().alias("there"), F.octet_length("content").cast("bigint").alias("n"))
 
 
-@query("""WITH f AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'ovpn' WHEN doc_id % 5 = 1 THEN 'conf_lines' ELSE 'opaque_bundle' END AS fmt FROM documents)
-SELECT doc_id, fmt, CASE WHEN source IN ('src0', 'src1', 'src2') AND fmt <> 'ovpn' THEN 'ignored' ELSE 'processed' END AS status,
-CASE WHEN source IN ('src0', 'src1', 'src2') AND fmt <> 'ovpn' THEN 'Format ' || fmt || ' not allowed' END AS error_msg FROM f""")
+@query("""WITH f AS (SELECT sha256(coalesce(text, '')) AS raw_hash, source AS source_id, CASE WHEN doc_id % 5 = 0 THEN 'ovpn' WHEN doc_id % 5 = 1 THEN 'conf_lines' ELSE 'ehi' END AS fmt, doc_id FROM documents)
+SELECT doc_id, fmt, CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN source_id IN ('src0', 'src1', 'src2') AND fmt <> 'ovpn' THEN 'ignored' ELSE 'processed' END AS status,
+CASE WHEN doc_id % 11 = 0 THEN 'Raw data missing' WHEN source_id IN ('src0', 'src1', 'src2') AND fmt <> 'ovpn' THEN 'Format ' || fmt || ' not allowed' END AS error_msg FROM f""")
 def allowlist_transform_status(t):
-    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".OVPN").when(F.col("doc_id") % 5 == 1, ".conf").otherwise(".bin"))
-    d = t("documents").select("doc_id", "source", F.coalesce(naming.format_by_name(name), F.lit("opaque_bundle")).alias("fmt"))
+    """The transform's own statuses, with a name for each file and no content for some."""
+    k = F.col("doc_id")
+    name = F.concat(k.cast("string"), F.when(k % 5 == 0, ".OVPN").when(k % 5 == 1, ".conf").otherwise(".ehi"))
+    d = t("documents").select(k.cast("string").alias("raw_hash"), F.col("source").alias("source_id"), name.alias("filename"))
+    blobs = t("documents").where("doc_id % 11 > 0").select(k.cast("string").alias("raw_hash"), F.col("text").cast("binary").alias("content"))
     allowed = F.when(F.col("source").isin("src0", "src1", "src2"), F.array(F.lit("ovpn"))).otherwise(F.array(F.lit("all")))
-    ok = F.array_contains(allowed, F.col("fmt")) | F.array_contains(allowed, "all")
-    return d.select("doc_id", "fmt", F.when(ok, "processed").otherwise("ignored").alias("status"), F.when(~ok, F.concat(F.lit("Format "), "fmt", F.lit(" not allowed"))).alias("error_msg"))
+    sources = t("documents").select(F.col("source").alias("source_id"), allowed.alias("include_formats")).where("source is not null").distinct()
+    status = route.transform(d, blobs, sources)[1]
+    return status.select(F.col("raw_hash").cast("bigint").alias("doc_id"), "fmt", "status", "error_msg")
 
 
 # --- lines and URIs ------------------------------------------------------------------------------------------------
@@ -216,7 +230,7 @@ def strip_fragment_dedup(t):
 
 @query("""SELECT page_id, regexp_replace(url, '(.)#[^#]*$', '\\1', 's') || '#' || scheme || '-' || row_number() OVER (PARTITION BY scheme ORDER BY page_id) AS uri FROM (SELECT *, lower(string_split(url, '://')[1]) AS scheme FROM pages)""")
 def remark_numbering(t):
-    p = keyed.numbered(t("pages").withColumn("scheme", uris.scheme_of(F.col("url"))), "scheme", ["page_id"])
+    p = keyed.numbered(t("pages").withColumn("scheme", uris.scheme_of(F.col("url"))), ["scheme"], ["page_id"])
     return p.select("page_id", uris.with_remark(F.col("url"), F.concat_ws("-", "scheme", F.col("n").cast("string"))).alias("uri"))
 
 
@@ -301,9 +315,11 @@ def ssr_decode(t):
     return e.select("s_suppkey", "e.protocol", "e.address", "e.port", "e.ssr_protocol", "e.method", "e.obfs", "e.password", F.col("e.extra")["remarks"].alias("remarks"))
 
 
-@query("SELECT doc_id, trim(text, E' \\n\\t\\r') AS text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's')")
+@query("""SELECT doc_id, trim(text, E' \\n\\t\\r') AS text FROM documents""")
 def nfkc_normalize(t):
-    return t("documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", text.normalize(F.col("text")).alias("text"))
+    """All texts, after writing some letters in ways that NFKC undoes: ligatures, full-width and combining ones."""
+    written = F.replace(F.replace(F.replace(F.col("text"), F.lit("fi"), F.lit("\ufb01")), F.lit("\u00e9"), F.lit("e\u0301")), F.lit("W"), F.lit("\uff37"))
+    return t("documents").select("doc_id", text.normalize(written).alias("text"))
 
 
 # --- artifacts -----------------------------------------------------------------------------------------------------
@@ -370,17 +386,19 @@ def delivery_plan(t):
     return publish.auto_delivery(users, files).select("user_id", "name")
 
 
-@query("SELECT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE starts_with(n_name, r_name[1:1])) AND n_nationkey % 2 = 0")
+@query("""SELECT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE starts_with(n_name, r_name[1:1])) AND n_nationkey % 3 > 0""")
 def stale_outputs(t):
-    n = t("nation")
-    return keyed.stale(n.select(F.col("n_name").alias("name")), n.where("n_nationkey % 2 = 1").select(F.col("n_name").alias("name")), t("region").select(F.substring("r_name", 1, 1).alias("route")))
+    n = t("nation").withColumn("name", F.col("n_name"))
+    return keyed.stale(n.select("name"), n.where("n_nationkey % 3 = 0").select("name"), t("region").select(F.substring("r_name", 1, 1).alias("route")))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 4 DAY")
+@query("""SELECT o_orderkey AS name, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey::VARCHAR) AS place FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 40 DAY""")
 def archive_listing(t):
-    o = t("orders").select("o_orderkey", F.col("o_orderdate").alias("modified"))
-    now = o.agg(F.max("modified").alias("now"))
-    return o.join(F.broadcast(now)).where(F.col("modified") >= F.col("now") - F.make_interval(days=F.lit(4))).select("o_orderkey")  # one row
+    """The listing of the last days, with the place of each name in it."""
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+    now = o.agg(F.max("modified")).first()[0]
+    names = files.recent(o, F.lit(now), 40).agg(F.collect_list("name").alias("names"))  # a listing of a folder, in its order
+    return names.select(F.posexplode("names").alias("place", "name")).select(F.col("name").cast("bigint").alias("name"), (F.col("place") + 1).cast("bigint").alias("place"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'r_npvt_decoded.json' WHEN 1 THEN 'r_npvt_b64sub.txt' ELSE 'r.ovpn' END AS output, CASE p_partkey % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.txt' ELSE '.zip' END AS ext,
@@ -403,10 +421,12 @@ def catalog_totals(t):
     return stats.catalog_totals(t("documents").select(F.col("n_chars").alias("size")))
 
 
-@query("SELECT page_id FROM pages WHERE contains(lower(url), 'utm') AND page_id % 2 = 0 ORDER BY page_id DESC")
+@query("""SELECT page_id, row_number() OVER (ORDER BY page_id DESC) AS place FROM pages p WHERE page_id % 2 = 0 AND (contains(lower(url), 'refs') OR EXISTS (SELECT 1 FROM (SELECT unnest(string_split_regex(lower(url), '[^a-z0-9_]+')) AS w) WHERE w <> '' AND levenshtein(w, 'refs') / greatest(length(w), 4) <= 0.3))""")
 def catalog_search_filter_sort(t):
-    files = t("pages").select("page_id", F.col("url").alias("filename"), F.when(F.col("page_id") % 2 == 0, "TXT").otherwise("ZIP").alias("type"), F.col("page_id").alias("last_modified"))
-    return stats.search(files, "UTM", "TXT", threshold=0.05).select("page_id")
+    """A search for 'refs' finds 'ref' too; with the place of each row, newest first."""
+    rows = t("pages").select("page_id", F.col("url").alias("filename"), F.when(F.col("page_id") % 2 == 0, "TXT").otherwise("ZIP").alias("type"), F.col("page_id").alias("last_modified"))
+    found = stats.search(rows, "REFS", "TXT").agg(F.collect_list("page_id").alias("ids"))  # a page of results, in its order
+    return found.select(F.posexplode("ids").alias("place", "page_id")).select("page_id", (F.col("place") + 1).cast("bigint").alias("place"))
 
 
 @query("SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS types FROM part")
@@ -414,9 +434,10 @@ def type_facets(t):
     return stats.facets(t("part"), "p_brand").select(F.array_join("types", ",").alias("types"))
 
 
-@query("SELECT vec_id, list_transform(embedding[1:4], lambda x: round(x, 4)::VARCHAR)::VARCHAR IS NOT NULL AS ok, len(embedding[1:4])::BIGINT AS n FROM embeddings")
+@query("""SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '')[1:4], ',') AS tags FROM pages""")
 def tags_slice(t):
-    return t("embeddings").select("vec_id", F.slice("embedding", 1, 4).isNotNull().alias("ok"), F.size(F.slice("embedding", 1, 4)).cast("bigint").alias("n"))
+    parts = F.filter(F.split(F.regexp_replace("url", "^https?://", ""), "/"), lambda x: x != "")
+    return t("pages").select("page_id", F.array_join(stats.first_tags(parts), ",").alias("tags"))
 
 
 @query("SELECT conv_id, sha256(string_agg(role || ': ' || text, E'\\n' ORDER BY turn)) AS artifact_hash FROM conversations GROUP BY 1")
@@ -431,20 +452,29 @@ def distinct_channels(t):
     return messages.distinct_channels(s).select("channel_id", "source_id")
 
 
-@query("SELECT event_id, 'text' AS kind FROM events WHERE event_type <> 'click' UNION ALL SELECT event_id, 'document' FROM events WHERE event_type = 'click'")
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN event_id || '_media' ELSE event_id::VARCHAR END AS external_id, event_type <> 'click' AS is_text FROM events WHERE event_id > 100 AND event_type <> 'view'""")
 def two_pass_scan(t):
-    e = t("events")
-    return e.where("event_type <> 'click'").select("event_id", F.lit("text").alias("kind")).unionByName(e.where("event_type = 'click'").select("event_id", F.lit("document").alias("kind")))
-
-
-@query(None)
+    """Texts and documents of a user's source, each above the saved offset."""
+    kind = F.col("event_type")
+    made = {"source_id": F.lit("s"), "id": F.col("event_id"), "ts": F.lit(0.0), "text": F.when(kind != "click", F.col("props")), "data": F.when(kind == "click", F.encode("props", "UTF-8")), "video": kind == "view"}
+    m = t("events").select(*((made[f.name] if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.MESSAGES.fields))
+    one = m.select(F.lit("s").alias("source_id")).limit(1)
+    sources = one.select("source_id", F.lit(messages.USER).alias("source_type"), F.lit(None).cast("string").alias("chat_id"))
+    judged = messages.judged_items(m, sources, one.withColumn("offset", F.lit(100)), F.lit(1e9), messages.Windows(0, 0))
+    return judged.where("reason is null").select(F.col("id").alias("event_id"), "external_id", "is_text")
+
+
+@query("""WITH f AS (SELECT max(doc_id) AS id, any_value(text) AS text FROM documents GROUP BY sha256(text)), z AS (SELECT *, row_number() OVER (PARTITION BY id % 21 ORDER BY id) - 1 AS i FROM f WHERE id % 7 = 0)
+SELECT CASE WHEN i = 0 THEN '' ELSE i || '_' END || 'n' || id % 21 || '.ovpn' AS entry, strlen(text)::BIGINT AS size FROM z""")
 def route_artifacts(t):
-    """Files, records and artifacts from end to end: the bundle's and the lines' builders in one plan."""
-    d = t("documents").select(F.col("doc_id").alias("id"), digest("text").alias("raw_hash"), F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".ovpn").otherwise(".conf")).alias("filename"), F.col("text").cast("binary").alias("content"))
+    """Files, records and a route's bundle from end to end: the entries of the archive, with their sizes."""
+    k = F.col("doc_id")
+    d = t("documents").select(k.alias("id"), digest("text").alias("raw_hash"), F.when(k % 7 == 0, F.concat(F.lit("n"), (k % 21).cast("string"), F.lit(".ovpn"))).otherwise("x.conf").alias("filename"), F.col("text").cast("binary").alias("content"))
     one = keyed.latest_per_key(d, ["raw_hash"], ["id"])
-    records = formats.parse(formats.with_format(one)).join(one.select("raw_hash", "id"), "raw_hash")
+    records = formats.parse(formats.with_format(one.where("id % 7 = 0"))).join(one.select("raw_hash", "id"), "raw_hash")
     rows = records.select(F.lit("all").alias("route"), F.col("record_type").alias("format"), "id", "pos", "data")
-    return route.build(rows, one.select("raw_hash", "content")).select("route", "format", "artifact_hash", "n")
+    built = route.build(rows.withColumn("pos", F.col("id")), one.select("raw_hash", "content"))
+    return files.zip_listing(built.select(F.col("format").alias("name"), F.col("data").alias("content"))).select("entry", "size")
 
 
 @query("""WITH f AS (SELECT max(doc_id) AS id, text FROM documents GROUP BY text HAVING max(doc_id) % 7 > 0)
@@ -458,3 +488,105 @@ def route_conf_artifact(t):
     lines = formats.artifact_lines(rows)
     n = lines.groupBy("format").agg(F.count("*").alias("n"))
     return keyed.joined_lines(lines, ["format"], "line", ["at"]).join(n, "format").select("format", text.sha256(F.col("text")).alias("artifact_hash"), "n")
+
+
+# --- scalars, names and configuration -----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text || 'z' AS text FROM documents WHERE text IS NOT NULL")
+def utf8_ignore(t):
+    """Texts with bytes in them that are no UTF-8."""
+    data = F.concat(F.lit(bytes([0xFF, 0xC3])), F.encode("text", "UTF-8"), F.lit(bytes([0xE2, 0x82, 0x7A])))
+    return t("documents").where("text is not null").select("doc_id", text.utf8_ignore(data).alias("text"))
+
+
+@query("SELECT page_id, page_id % 4 IN (0, 1) AS is_uri, page_id % 4 < 3 AS has_uri FROM pages")
+def uri_line_kinds(t):
+    k = F.col("page_id") % 4
+    line = F.when(k == 0, F.concat(F.lit("vless://"), "url")).when(k == 1, "wg://x").when(k == 2, F.concat(F.lit("see TROJAN://"), "url")).otherwise("nothing")
+    return t("pages").select("page_id", uris.is_uri_line(line).alias("is_uri"), (F.size(uris.embedded_uris(line)) > 0).alias("has_uri"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, ''))[1:8] AS short FROM documents")
+def short_hash(t):
+    return t("documents").select("doc_id", text.short_md5(F.coalesce("text", F.lit(""))).alias("short"))
+
+
+@query("""SELECT user_id, '1700000000_s_' || user_id || '_' || regexp_replace(event_type || ' of ' || user_id || '!', '[^A-Za-z0-9_-]', '', 'g')[1:30] || '.dat' AS name, sha256(props) AS hash FROM events WHERE event_type = 'error'""")
+def reject_names(t):
+    e = t("events").where("event_type = 'error'").select("user_id", F.concat(F.lit("s_"), F.col("user_id").cast("string")).alias("source_id"), F.concat("event_type", F.lit(" of "), F.col("user_id").cast("string"), F.lit("!")).alias("reason"), F.encode("props", "UTF-8").alias("data"))
+    named = sinks.rejects(e, F.col("reason"), F.lit(1_700_000_000), ("user_id",))
+    return named.select("user_id", "name", F.sha2("data", 256).alias("hash"))
+
+
+@query("""SELECT p_partkey, 'raw/' || md5(p_name)[1:2] || '/' || md5(p_name) AS blob, 'dist/internal/' || p_brand || '/' || md5(p_name) || '.npvt' AS artifact, p_brand || '_1700000000.npvt' AS copy FROM part""")
+def storage_paths(t):
+    h = F.md5(F.col("p_name").cast("binary"))
+    return t("part").select("p_partkey", sinks.blob_path(h).alias("blob"), sinks.artifact_path(F.col("p_brand"), F.lit("npvt"), h).alias("artifact"), sinks.archive_name(F.col("p_brand"), F.lit(1_700_000_000), F.lit("npvt")).alias("copy"))
+
+
+@query("SELECT strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS stamp, o_orderkey FROM orders")
+def date_stamps(t):
+    c = naming.caption(F.lit("{timestamp}"), F.col("o_orderdate").cast("timestamp"), F.lit(""), F.lit(1), F.lit(""), F.lit(""))
+    return t("orders").select(c.alias("stamp"), "o_orderkey")
+
+
+@query("SELECT r_name AS route, n_name AS source_id, CASE WHEN n_nationkey % 2 = 0 THEN 'telegram' ELSE 'telegram_user' END AS source_type, CASE WHEN n_nationkey % 4 = 0 THEN 'c' || n_nationkey END AS chat_id FROM nation JOIN region ON r_regionkey = n_regionkey")
+def config_tables(t):
+    """A configuration of one route for each region and one source for each nation, with variables, validated, as tables."""
+    regions, nations = t("region").collect(), t("nation").collect()  # a configuration is read on the driver
+    of = lambda n: {"id": n["n_name"], "type": "telegram", "telegram": {"token": "${TOKEN}"} | ({"chat_id": "c${N%d}" % n["n_nationkey"]} if n["n_nationkey"] % 4 == 0 else {})} if n["n_nationkey"] % 2 == 0 else {"id": n["n_name"], "type": "telegram_user", "telegram_user": {"api_id": 7}}
+    raw = {"sources": [of(n) for n in nations], "publishing": {"routes": [{"name": r["r_name"], "from_sources": [n["n_name"] for n in nations if n["n_regionkey"] == r["r_regionkey"]], "formats": ["npvt"]} for r in regions]}}
+    c = config.tables(t("region").sparkSession, config.parse(raw, {"TOKEN": "1:a"} | {f"N{n['n_nationkey']}": str(n["n_nationkey"]) for n in nations}))
+    return c["route_sources"].join(c["sources"], "source_id").select("route", "source_id", "source_type", "chat_id")
+
+
+@query("SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'ok' ELSE 'error' END AS told FROM nation")
+def config_errors(t):
+    """Configurations with a source twice, a route without its source, or a token without a colon are refused."""
+    rows = []
+    for n in t("nation").collect():  # as above
+        k, ident = n["n_nationkey"], n["n_name"]
+        s = {"id": ident, "type": "telegram", "telegram": {"token": "1x" if k % 4 == 3 else "1:x"}}
+        raw = {"sources": [s, s] if k % 4 == 1 else [s], "publishing": {"routes": [{"name": "r", "from_sources": ["none" if k % 4 == 2 else ident], "formats": ["npvt"]}]}}
+        try:
+            config.parse(raw, {})
+            rows.append((k, "ok"))
+        except config.ConfigError:
+            rows.append((k, "error"))
+    return t("nation").sparkSession.createDataFrame(rows, "k int, told string").select(F.col("k").cast(dict(t("nation").dtypes)["n_nationkey"]).alias("k"), "told")
+
+
+@query("SELECT c_custkey, 'h' || c_nationkey || '.example.com' AS address, count(*) OVER () AS n FROM customer")
+def client_config(t):
+    """The outbounds of a client's configuration made of decoded vmess entries."""
+    body = F.concat(F.lit('{"port": "443", "id": "'), F.col("c_custkey").cast("string"), F.lit('", "add": "h'), F.col("c_nationkey").cast("string"), F.lit('.example.com"}'))
+    e = t("customer").select(uris.decode(F.concat(F.lit("vmess://"), text.to_base64(body))).alias("e"))
+    server = "settings:struct<vnext:array<struct<address:string,users:array<struct<id:string>>>>>"
+    out = history.client_config(e).select(F.from_json("config", f"struct<outbounds:array<struct<{server}>>>")["outbounds"].alias("o"))
+    one = out.select(F.size("o").cast("bigint").alias("n"), F.explode("o").alias("o")).select("n", F.col("o.settings.vnext")[0].alias("v"))
+    return one.select(F.col("v.users")[0]["id"].cast("bigint").alias("c_custkey"), "v.address", "n")
+
+
+@query("""SELECT p_partkey, name FROM (SELECT p_partkey, ['a.npvt', 'a_npvt.txt', 'A_npvt_b64sub.txt', 'a.npvt.b64sub', 'a_npvt_decoded.json', 'a.ovpn', 'a_ovpn.zip', 'a.ovpn.bak'][p_partkey % 8 + 1] AS name FROM part) WHERE name IN ('A_npvt_b64sub.txt', 'a.npvt.b64sub', 'a.ovpn', 'a_ovpn.zip')""")
+def names_of_formats(t):
+    names = F.array(*map(F.lit, ["a.npvt", "a_npvt.txt", "A_npvt_b64sub.txt", "a.npvt.b64sub", "a_npvt_decoded.json", "a.ovpn", "a_ovpn.zip", "a.ovpn.bak"]))
+    name = F.element_at(names, (F.col("p_partkey") % 8 + 1).cast("int"))
+    return t("part").select("p_partkey", name.alias("name")).where(naming.matches_format(F.col("name"), "b64sub") | naming.matches_format(F.col("name"), "ovpn"))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE CASE WHEN p_partkey % 2 = 0 THEN p_size > 22 ELSE true END")
+def empty_zip_skip(t):
+    """Artifacts as large as an empty archive aren't published, if they are archives."""
+    p = t("part").select(F.col("p_partkey").cast("string").alias("unique_id"), F.when(F.col("p_partkey") % 2 == 0, "ovpn").otherwise("npvt").alias("format"), F.lit("h").alias("artifact_hash"), F.encode(F.repeat(F.lit("x"), F.col("p_size")), "UTF-8").alias("data"), "p_partkey", "p_size")
+    ledger = t("part").sparkSession.createDataFrame([], schemas.PUBLISHED)
+    return publish.publishable(p, ledger).select("p_partkey", "p_size")
+
+
+@query("SELECT doc_id, split_part(text, E'\\n', 1) AS line FROM documents WHERE doc_id % 2 = 0 AND length(text) > 0 UNION ALL SELECT doc_id, 'custom ' || doc_id FROM documents WHERE doc_id % 2 = 1")
+def format_registry(t):
+    """A format of one's own, registered for the time of the query: its records are first lines, or made ones."""
+    own = formats.Format("first_line", lambda x: F.slice(text.split_lines(x), 1, 1))
+    d = t("documents").where("doc_id % 2 = 1 or length(text) > 0").select(F.col("doc_id").cast("string").alias("raw_hash"), F.lit("f").alias("filename"), F.lit("first_line").alias("fmt"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("custom "), F.col("doc_id").cast("string"))).cast("binary").alias("content"))
+    with formats.registered(own):
+        return formats.parse(d, normal=False).where("record_type = 'first_line'").select(F.col("raw_hash").cast("bigint").alias("doc_id"), "data.line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..streaming.ingest import new_items
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a local session that names none gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names the folder that driver and executors share")
+    return (base or tempfile.mkdtemp(prefix="siltflow-")).rstrip("/")
+
+
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Drains the stream into Parquet in the checkpoint folder that the session names, a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/siltflow-streams"
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Drains the stream into Parquet in the shared folder."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 

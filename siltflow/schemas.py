@@ -13,7 +13,7 @@ def struct(text: str, **nested: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, nested.get(t) or _SIMPLE[t]) for n, t in pairs])
 
 
-LAST_RUN = struct("timestamp double, files_ingested bigint, bytes_ingested bigint, duration_seconds double, skipped_files bigint, text_items bigint, media_items bigint")
+LAST_RUN = struct("timestamp double, files_ingested bigint, bytes_ingested bigint, duration_seconds double, skipped_files bigint, text_items bigint, media_items bigint, avg_bytes double, bytes_per_second double")
 STATS = struct("total_files bigint, last_run run", run=LAST_RUN)
 SOURCE_STATE = struct("source_id string, source_type string, state state, updated_at bigint", state=struct("offset bigint, stats stats", stats=STATS))
 SEEN_FILES = struct("id bigint, source_id string, external_id string, raw_hash string, ingested_at timestamp, file_size bigint, filename string, metadata_json string, status string, error_msg string")
@@ -21,9 +21,11 @@ DATA = struct("line string, filename string, blob_hash string, size bigint")
 RECORDS = struct("id bigint, source_file_hash string, record_type string, unique_hash string, data data, created_at timestamp, is_active boolean", data=DATA)
 PUBLISHED = struct("id bigint, unique_id string, artifact_hash string, published_at timestamp, metadata_json string")
 USERS = struct("user_id string, chat_id string, username string, registered_at double, muted boolean, last_delivered_at double, default_format string")
-MESSAGES = struct("source_id string, id bigint, ts double, chat_id string, text string, caption string, file_name string, file_size bigint, data binary, photo boolean, video boolean, animation boolean, gif boolean, sticker boolean, voice boolean, audio boolean, video_note boolean")
+MESSAGES = struct("source_id string, id bigint, ts double, chat_id string, text string, caption string, file_name string, file_ext string, file_size bigint, data binary, photo boolean, video boolean, animation boolean, gif boolean, sticker boolean, voice boolean, audio boolean, video_note boolean")
 ITEMS = struct("source_id string, external_id string, data binary, filename string, ts double, is_text boolean")
 BLOBS = struct("raw_hash string, content binary")
+SKIPS = struct("run bigint, source_id string, reason string, n bigint")
+STATUS = struct("raw_hash string, source_id string, status string, error_msg string, fmt string, run bigint")
 MANIFEST = struct("uri string, first_seen double")
 ENTRY = struct(
     "protocol string, user string, password string, address string, port bigint, tag string, params lists, method string, ssr_protocol string, "

@@ -6,6 +6,7 @@ offsets are ids, and a restart goes on from the checkpoint's offset.
 
 from __future__ import annotations
 
+import bisect
 import glob
 import json
 import os
@@ -41,16 +42,50 @@ def stepped_wait(n: int) -> float:
     return float(min(32, 2 ** (1 + n // 2)))
 
 
+def pages(fetch: Callable[[int, int], list[dict]], offset: int, size: int = 100, sleep=time.sleep) -> Iterator[dict]:
+    """Messages by ascending id above the offset, page after page until one is empty; fetch(offset, size) is tried again
+    after errors, and a connection that still fails is taken up again, at the last id, up to ten times."""
+    lost = 0
+    while True:
+        try:
+            page = with_retries(lambda: fetch(offset, size), sleep=sleep)
+        except ConnectionError:
+            if lost == 10:
+                raise
+            sleep(stepped_wait(lost))
+            lost += 1
+            continue
+        if not page:
+            return
+        for row in sorted(page, key=lambda r: r["id"]):
+            offset = max(offset, row["id"])
+            yield row
+
+
 class FolderConnector:
-    """Messages of a folder of JSON lines with ids above the offset, in order of ids; get_state() has the last one."""
+    """Messages of a folder of JSON lines with ids above the offset, in order of ids, a page at a time; get_state() has
+    the last one. What was read of a folder is shared by its connectors until its files change."""
+
+    _read: dict[str, tuple[tuple, list[dict]]] = {}
+
+    def __init__(self, folder: str, offset: int = 0, size: int = 100):
+        self.folder, self.offset, self.size = folder, offset, size
+
+    def rows(self) -> list[dict]:
+        files = sorted(glob.glob(os.path.join(self.folder, "*.json*")))
+        sign = tuple((f, os.path.getmtime(f), os.path.getsize(f)) for f in files)
+        if self._read.get(self.folder, (None,))[0] != sign:
+            self._read[self.folder] = sign, sorted((json.loads(x) for f in files for x in open(f, encoding="utf-8") if x.strip()), key=lambda r: r["id"])
+        return self._read[self.folder][1]
 
-    def __init__(self, folder: str, offset: int = 0):
-        self.folder, self.offset = folder, offset
+    def fetch(self, offset: int, size: int) -> list[dict]:
+        rows = self.rows()
+        at = bisect.bisect_right(rows, offset, key=lambda r: r["id"])
+        return rows[at : at + size]
 
     def list_new(self, state: dict) -> Iterator[dict]:
         self.offset = max(self.offset, int(state.get("offset", 0)))
-        rows = [json.loads(x) for f in sorted(glob.glob(os.path.join(self.folder, "*.json*"))) for x in open(f, encoding="utf-8") if x.strip()]
-        for row in sorted((r for r in rows if r["id"] > self.offset), key=lambda r: r["id"]):
+        for row in pages(self.fetch, self.offset, self.size):
             self.offset = row["id"]
             yield row
 
@@ -94,9 +129,11 @@ class MessageFolder(DataSource):
         return _Reader(self.options["path"])
 
 
-def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages as a stream: Spark's own JSON file source, which reads in parallel and commits files as offsets."""
-    return spark.readStream.schema(MESSAGES).json(folder)
+def stream(spark: SparkSession, folder: str, kind: str = "json", files: int | None = None) -> DataFrame:
+    """Messages as a stream: Spark's own file source, which reads in parallel and commits files as offsets. files: the
+    most of them in a batch."""
+    reader = spark.readStream.schema(MESSAGES).format(kind)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(folder)
 
 
 def stream_by_offset(spark: SparkSession, folder: str) -> DataFrame:

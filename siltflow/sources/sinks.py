@@ -9,7 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.keyed import unseen
+from ..operators.keyed import collision_names, unseen
 
 
 def write_atomic(path: str, data: bytes) -> None:
@@ -49,39 +49,35 @@ def archive_name(route: Column, epoch: Column, fmt: Column) -> Column:
 ZIP_TIME = (1980, 1, 1, 0, 0, 0)
 
 
-def bundle(rows: list[tuple[str, bytes | None]]) -> bytes:
-    """A ZIP of (name, content) in order; missing contents are left out; a taken name gets 1_, 2_ ... in front."""
-    out, used = io.BytesIO(), set()
+def bundle(entries: list[tuple[str, bytes]]) -> bytes:
+    """A ZIP of (entry, content) in order."""
+    out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, content in rows:
-            if content is None:
-                continue
-            entry, n = name, 0
-            while entry in used:
-                n += 1
-                entry = f"{n}_{name}"
-            used.add(entry)
+        for entry, content in entries:
             z.writestr(zipfile.ZipInfo(entry, ZIP_TIME), content, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
 def bundles(records: DataFrame) -> DataFrame:
-    """records: route, format, pos, filename, content. One archive for each route and format: an artifact is one file,
-    so its group is what one task holds; the bundle formats' records are bounded by a route's run."""
+    """records: route, format, pos, filename, content; missing contents are left out. One archive for each route and
+    format: an artifact is one file, so its group is what one task holds; entries are named before, on the cluster."""
+    there = records.select("route", "format", "pos", F.coalesce("filename", F.lit("file")).alias("filename"), "content").where("content is not null")
+    named = collision_names(there.drop("content"), ["route", "format"], "filename", ["pos", "filename"])
+    rows = there.join(named, ["route", "format", "pos", "filename"])
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple[str, str], pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["pos", "filename"], kind="stable")
-        return pd.DataFrame({"route": [key[0]], "format": [key[1]], "data": [bundle(list(zip(rows["filename"], rows["content"])))], "n": [int(rows["content"].notna().sum())]})
+        return pd.DataFrame({"route": [key[0]], "format": [key[1]], "data": [bundle(list(zip(rows["entry"], rows["content"])))], "n": [len(rows)]})
 
-    return records.groupBy("route", "format").applyInPandas(build, "route string, format string, data binary, n bigint")
+    return rows.groupBy("route", "format").applyInPandas(build, "route string, format string, data binary, n bigint")
 
 
-def rejects(items: DataFrame, reason: Column, now: Column) -> DataFrame:
-    """Names and contents of rejected items."""
+def rejects(items: DataFrame, reason: Column, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Names and contents of rejected items, and the columns to keep."""
     from ..functions.naming import sanitized
 
     name = F.concat_ws("_", now.cast("bigint").cast("string"), sanitized(F.col("source_id")), F.substring(sanitized(reason), 1, 30))
-    return items.select(F.concat(name, F.lit(".dat")).alias("name"), "data")
+    return items.select(*keep, F.concat(name, F.lit(".dat")).alias("name"), "data")
 
 
 def export(files: DataFrame, folder: str) -> int:

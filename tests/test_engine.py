@@ -120,12 +120,81 @@ def test_transform_build_publish(spark):
         publish.publish(plan, lambda r: False, 1, 0.0)
 
 
-def test_bundle_names_and_bytes():
-    rows = [("a.bin", b"1"), ("a.bin", b"2"), ("1_a.bin", b"3"), ("gone", None)]
-    assert zipfile.ZipFile(io.BytesIO(sinks.bundle(rows))).namelist() == ["a.bin", "1_a.bin", "1_1_a.bin"]
+def test_bundle_names_and_bytes(spark):
+    rows = [(1, "a.bin"), (2, "a.bin"), (3, "1_a.bin"), (4, "b"), (5, "b"), (6, "b"), (7, "a.bin"), (8, "1_1_a.bin"), (9, "c")]
+    named = keyed.collision_names(spark.createDataFrame(rows, "pos long, name string"), [], "name", ["pos"])
+    used, want = [], []
+    for _, name in rows:  # one after another
+        k = 0
+        while (f"{k}_{name}" if k else name) in used:
+            k += 1
+        used.append(f"{k}_{name}" if k else name)
+    assert [r["entry"] for r in named.orderBy("pos").collect()] == used and used[:3] == ["a.bin", "1_a.bin", "1_1_a.bin"]
+    rows = [("a.bin", b"1"), ("1_a.bin", b"2")]
+    assert zipfile.ZipFile(io.BytesIO(sinks.bundle(rows))).namelist() == ["a.bin", "1_a.bin"]
     assert sinks.bundle(rows) == sinks.bundle(rows) and len(sinks.bundle([])) == 22
 
 
+def test_numbering_in_ranges(spark):
+    rows = [(g, v, i) for i, (g, v) in enumerate([("a", 5), (None, 1), ("a", 5), ("a", 100), (None, 2), ("b", 7), ("a", -3)])]
+    got = keyed.numbered(spark.createDataFrame(rows, "g string, v long, i long"), ["g"], ["v", "i"], buckets=3).collect()
+    want = {i: 1 + sum(h == g and (w, j) < (v, i) for h, w, j in rows) for g, v, i in rows}
+    assert {r["i"]: r["n"] for r in got} == want
+
+
+def test_transactions(spark, tmp_path):
+    store = files.Store(spark, str(tmp_path / "s"))
+    row = lambda i: spark.createDataFrame([(f"h{i}", b"x")], schemas.BLOBS)
+    read = lambda: sorted(r[0] for r in store.read("blobs", schemas.BLOBS).collect())
+    store.append("blobs", row(1))
+    with pytest.raises(ZeroDivisionError):
+        with store.transaction("t"):
+            store.append("blobs", row(2))
+            store.append("other", row(2))
+            assert read() == ["h1", "h2"]
+            1 / 0
+    assert read() == ["h1"] and store.tagged("t") is None
+    with store.transaction("t"):
+        store.append("blobs", row(3))
+        store.append("blobs", row(4))
+    assert read() == ["h1", "h3", "h4"] and store.tagged("t") == 1 and store.folders("other") == []
+    store.compact("blobs", schemas.BLOBS, most=2)
+    assert read() == ["h1", "h3", "h4"] and len(store.folders("blobs")) == 1
+
+
+def test_pages_resume():
+    asked, waits = [], []
+
+    def fetch(offset, size):
+        asked.append(offset)
+        if len(asked) in (2, 3) or 5 <= len(asked) < 12:
+            raise ConnectionError
+        return [{"id": i} for i in range(offset + 1, min(offset + size, 5) + 1)]
+
+    assert [r["id"] for r in feeds.pages(fetch, 0, 2, waits.append)] == [1, 2, 3, 4, 5]
+    assert asked == [0, 2, 2, 2] + [4] * 8 + [5] and waits == [1, 2, 1, 2, 4, 8, 16, 32, 2]
+
+
+def test_judged_items(spark):
+    """Each reason, and where the two kinds of connectors differ."""
+    now, h = 1e6, 3600
+    rows = [
+        message(source_id="f", id=1, ts=now - 3 * h, text="late text"), message(source_id="f", id=2, ts=now - 3 * h, text="with file", data="x", file_name="n.conf"),
+        message(source_id="u", id=3, ts=now - 3 * h, text="with file", data="x"), message(source_id="f", id=4, ts=now, caption="caption", gif=True), message(source_id="u", id=5, ts=now, caption="none", gif=True, text="t"),
+        message(source_id="f", id=6, ts=now, file_name="A.APK", data="x"), message(source_id="u", id=7, ts=now, file_ext=".apk", data="x"), message(source_id="f", id=8, ts=now, file_name="big", file_size=messages.MOST_BYTES + 1),
+        message(source_id="f", id=9, ts=now, file_name="fits", file_size=messages.MOST_BYTES, data="x"), message(source_id="c", id=10, ts=now, text="other chat", chat_id="d"), message(source_id="nobody", id=11, ts=now, text="x"),
+    ]
+    m = spark.createDataFrame([tuple(r.get(f.name) if f.name != "data" or r.get("data") is None else r["data"].encode() for f in schemas.MESSAGES.fields) for r in rows], schemas.MESSAGES)
+    sources = spark.createDataFrame([("b", messages.BOT, None), ("f", messages.BOT, None), ("u", messages.USER, None), ("c", messages.BOT, "c")], "source_id string, source_type string, chat_id string")
+    got = {(r["id"], r["is_text"]): (r["reason"], r["external_id"], r["filename"]) for r in messages.judged_items(m, sources, spark.createDataFrame([("b", 9)], "source_id string, offset long"), F.lit(now)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        (5, True): "media", (1, True): "old", (2, True): None, (2, False): None, (3, True): "old", (3, False): None, (4, True): None, (6, False): "apk", (7, False): "apk", (8, False): "size", (9, False): None, (10, True): "chat",
+    } | {(5, True): "media"}
+    assert got[2, True][1:] == ("2_text", "msg_2.txt") and got[2, False][1:] == ("2", "n.conf") and got[3, False][1:] == ("3_media", "media_3") and got[3, True][1] == "3"
+    b = messages.judged_items(m.where("source_id = 'c'"), sources, spark.createDataFrame([("c", 10)], "source_id string, offset long"), F.lit(now)).collect()
+    assert [r["reason"] for r in b] == ["offset"]
+
+
 def test_blobs_listing_zip(spark, tmp_path):
     items = spark.createDataFrame([(b"x",), (b"x",), (b"y",)], "data binary")
     assert sinks.save_blobs(items, spark.createDataFrame([], schemas.BLOBS)).count() == 2
@@ -162,27 +231,44 @@ def test_migrated(spark):
 
 def test_run_once_and_again(spark, tmp_path):
     from siltflow.__main__ import main
-    from siltflow.plans import run
+    from siltflow.plans import run, users
 
     feed, data = tmp_path / "feed", tmp_path / "data"
     feed.mkdir()
-    settings = config.parse({"sources": [{"id": "s", "type": "telegram", "telegram": {"token": "1:x"}}], "publishing": {"routes": [{"name": "r", "from_sources": ["s"], "formats": ["npvt", "conf_lines", "ovpn"], "destinations": [{"chat_id": "c", "token": "t:1"}]}]}})
-    sent = []
-    go = lambda: run.once(spark, settings, str(feed), str(data), lambda r: sent.append(r["unique_id"]) or True)
+    route = {"name": "r", "from_sources": ["s", "twin"], "formats": ["npvt", "conf_lines", "ovpn"], "destinations": [{"chat_id": "c", "token": "t:1"}]}
+    settings = config.parse({"sources": [{"id": i, "type": "telegram_user", "telegram_user": {"api_id": 1, "peer": "p"}} for i in ("s", "twin")], "publishing": {"routes": [route]}})
+    sent, given, now = [], [], 1.7e9
+    store = files.Store(spark, str(data / "state"))
+    seen = [("u", "c", "n", 1.0), ("w", "c", "m", 1.0)]
+    store.replace("users", users.update(users.register(store.read("users", schemas.USERS), spark.createDataFrame(seen, "user_id string, chat_id string, username string, registered_at double")), "w", muted=True))
+
+    def go(at=now):
+        run.once(spark, settings, str(feed), str(data), lambda r: sent.append(r["unique_id"]) or True, run.Options(now=at), lambda r: given.append((r["user_id"], r["name"])) or True)
+
+    names = lambda folder: sorted(p.name for p in (data / folder).iterdir())
     many = [f"tuic://u{i}@h:{i}" for i in range(1, 40)]
-    rows = [message(id=1, text="\n".join([*many, "vless://a@h:1#x", "vless://a@h:1#y"])), message(id=2, file_name="a.conf", data="bDE="), message(id=3, file_name="b.ovpn", data="AAE=")]
+    rows = [message(id=1, ts=now, text="\n".join([*many, "vless://a@h:1#x", "vless://a@h:1#y"])), message(id=2, ts=now, file_name="a.conf", data="bDE="), message(id=3, ts=now, file_name="b.ovpn", data="AAE=")]
+    rows += [message(id=8, ts=0.0, file_name="virus.apk", data="AAE="), message(id=9, ts=0.0, file_name="c.ovpn", data="BBBB"), message(id=10, ts=now, photo=True, text="vless://no@h:1"), message(source_id="twin", id=11, ts=now, text="vless://twin@h:1")]
     (feed / "1.json").write_text("\n".join(map(json.dumps, rows)))
     go()
-    names = sorted(p.name for p in (data / "output").iterdir())
-    assert names == ["r.conf_lines", "r.npvt", "r.ovpn", "r_npvt_b64sub.txt", "r_npvt_decoded.json"]
+    assert names("output") == ["r.conf_lines", "r.npvt", "r.ovpn", "r_npvt_b64sub.txt", "r_npvt_decoded.json"] and names("history") == ["proxies.json", "proxies.txt", "proxies_b64sub.txt"]
     want = [f"{u}#tuic-{i}" for i, u in enumerate(many, 1)] + ["vless://a@h:1#vless-1"]
-    assert (data / "output" / "r.npvt").read_text().split("\n") == want and len(sent) == 5
-    go()
-    (feed / "2.json").write_text(json.dumps(message(id=4, text="trojan://b@h:2")) + "\n" + json.dumps(message(id=5, text="vless://a@h:1#z")))
-    go()
+    assert (data / "output" / "r.npvt").read_text().split("\n") == want and len(sent) == 5 and zipfile.ZipFile(data / "output" / "r.ovpn").namelist() == ["b.ovpn"]
+    assert json.loads((data / "catalog.json").read_text())["total_files"] == 5 and sorted(given) == [("u", "r.npvt"), ("u", "r_npvt_b64sub.txt")]
+    skips = {(r["source_id"], r["reason"]): r["n"] for r in store.read("skips", schemas.SKIPS).collect()}
+    assert skips == {("s", "kept"): 3, ("s", "old"): 2, ("s", "media"): 1}  # the twin reads a channel that has its source
+    state = store.read("source_state", schemas.SOURCE_STATE).collect()
+    assert [(r["source_id"], r["state"]["offset"], r["state"]["stats"]["total_files"], r["state"]["stats"]["last_run"]["text_items"]) for r in state] == [("s", 10, 3, 1)]
+    assert {r["user_id"]: r["last_delivered_at"] for r in store.read("users", schemas.USERS).collect()} == {"u": now, "w": None}
+    go(now + 5)
+    assert len(names("archive")) == 5 and len(sent) == 5  # nothing new, nothing done
+    (feed / "2.json").write_text(json.dumps(message(id=14, ts=now, text="trojan://b@h:2")) + "\n" + json.dumps(message(id=15, ts=now, text="vless://a@h:1#z")) + "\n" + json.dumps(message(id=4, ts=now, text="vless://late@h:1")))
+    go(now + 5 * 86400)
     assert sorted((data / "output" / "r.npvt").read_text().split("\n")) == ["trojan://b@h:2#trojan-1", "vless://a@h:1#vless-1"] and len(sent) == 8
-    store = files.Store(spark, str(data / "state"))
-    assert run.pending(store).count() == 0 and store.read("records", schemas.RECORDS).count() == 44 and run.removable(store).count() == 0
+    assert names("output") == ["r.npvt", "r_npvt_b64sub.txt", "r_npvt_decoded.json"]  # the others of the route are stale
+    assert run.pending(store).count() == 0 and store.read("records", schemas.RECORDS).count() == 44
+    assert store.read("manifest", schemas.MANIFEST).count() == 41 and "41 unique" in (data / "history" / "proxies.txt").read_text()
+    # texts are told and no record needs them: their records hold the lines; a bundle's record has its blob's hash
     assert main(["clean", "--data", str(data)]) == 0 and not (data / "output").exists()
     assert main(["reset", "--yes", "--data", str(data)]) == 0 and not (data / "state").exists()
 
