@@ -83,48 +83,53 @@ def near_names(row: np.ndarray, own: np.ndarray, name: np.ndarray, asked: np.nda
     return out & asked
 
 
-def canonical(data: np.ndarray, offs: np.ndarray, reading: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: row, kind, hash of the word itself; slots of several words have one token with their joint hash.
-    reading 1: with names that begin sentences; 2: without names; each of the rows only that differ by it."""
-    core = np.r_[False, CORE[data], False]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offs] = True
-    start = np.flatnonzero(core[1:-1] & (~core[:-2] | cut[:-1]))
-    end = np.flatnonzero(core[1:-1] & (~core[2:] | cut[1:])) + 1
-    low = lowered(data) if len(data) else data
-    sums = prefix(low)
-    own = mix64(spans_hash(sums, start, end))
-    row = np.searchsorted(offs, start, "right") - 1
-    digits = np.r_[0, np.cumsum(_DIGIT[data])]
-    number = digits[end] > digits[start]
-    latin1 = lambda i: (data[i] == 0xC3) & (data[np.minimum(i + 1, len(data) - 1)] >= 0x80) & (data[np.minimum(i + 1, len(data) - 1)] <= 0x9E)
-    upper = _UPPER[data[start]] | latin1(start) if len(data) else number
-    second = np.minimum(start + 1 + (data[start] >= 0xC0), np.maximum(end - 1, start)) if len(data) else start
-    shout = (second > start) & (_UPPER[data[second]] | latin1(second)) if len(data) else number
-    first = np.r_[True, row[1:] != row[:-1]] if len(row) else number
-    before = np.r_[0, end[:-1]] if len(row) else end
-    stops = np.r_[0, np.cumsum(_STOP[data])]
-    first = first | (stops[start] > stops[np.minimum(before, start)]) if len(row) else first
-    name = upper & ~number & ~shout & (end - start > 1)
-    name, begins = name & ~first, name & first
-    if reading:
-        begins = near_names(row, own, name, begins) if reading == 1 else name
-        some = np.zeros(len(offs), bool)
-        some[row[begins]] = True
-        keep = some[row]
-        start, end, own, row, number, name = start[keep], end[keep], own[keep], row[keep], number[keep], (name | begins)[keep] & (reading == 1)
-    kind = np.where(number, NUMBER, np.where(name, NAME, WORD))
-    if len(kind) > 1:
-        after = np.r_[False, number[:-1] & (row[1:] == row[:-1])]
-        at = np.minimum(np.searchsorted(_UNIT_HASHES, own), len(_UNIT_HASHES) - 1)
-        kind[after & (kind == WORD) & (_UNIT_HASHES[at] == own)] = UNIT
-        joined = np.r_[False, (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & np.isin(kind[1:], (NUMBER, NAME)) & (start[1:] - end[:-1] == 1)]
-        if joined.any():
-            last = np.r_[np.flatnonzero(~joined)[1:] - 1, len(kind) - 1]
-            keep = np.flatnonzero(~joined)
-            own = mix64(spans_hash(sums, start[keep], end[last]))
-            row, kind = row[keep], kind[keep]
-    return row, kind, own
+class Tokens:
+    """The tokens of a chunk: row, start, end, hash of the lower-cased word, and what tells numbers, names and units."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        core = np.r_[False, CORE[data], False]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offs] = True
+        self.n_rows, self.sums = len(offs) - 1, prefix(lowered(data) if len(data) else data)
+        start = self.start = np.flatnonzero(core[1:-1] & (~core[:-2] | cut[:-1]))
+        end = self.end = np.flatnonzero(core[1:-1] & (~core[2:] | cut[1:])) + 1
+        self.own = mix64(spans_hash(self.sums, start, end))
+        row = self.row = np.searchsorted(offs, start, "right") - 1
+        digits = np.r_[0, np.cumsum(_DIGIT[data])]
+        self.number = digits[end] > digits[start]
+        self.name = self.begins = np.zeros(len(row), bool)
+        if len(row):
+            latin1 = lambda i: (data[i] == 0xC3) & (data[np.minimum(i + 1, len(data) - 1)] >= 0x80) & (data[np.minimum(i + 1, len(data) - 1)] <= 0x9E)
+            upper = _UPPER[data[start]] | latin1(start)
+            second = np.minimum(start + 1 + (data[start] >= 0xC0), np.maximum(end - 1, start))
+            shout = (second > start) & (_UPPER[data[second]] | latin1(second))
+            stops = np.r_[0, np.cumsum(_STOP[data])]
+            first = np.r_[True, row[1:] != row[:-1]] | (stops[start] > stops[np.minimum(np.r_[0, end[:-1]], start)])
+            name = upper & ~self.number & ~shout & (end - start > 1)
+            self.name, self.begins = name & ~first, name & first
+
+    def reading(self, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: row, kind, hash of the word itself; slots of several words have one token with their joint hash.
+        k = 1: with names that begin sentences; 2: without names; each of the rows only that differ by it."""
+        start, end, own, row, number, name = self.start, self.end, self.own, self.row, self.number, self.name
+        if k:
+            begins = near_names(row, own, name, self.begins) if k == 1 else name
+            some = np.zeros(self.n_rows + 1, bool)
+            some[row[begins]] = True
+            keep = np.flatnonzero(some[row])
+            start, end, own, row, number, name = (x[keep] for x in (start, end, own, row, number, (name | begins) & (k == 1)))
+        kind = np.where(number, NUMBER, np.where(name, NAME, WORD))
+        if len(kind) > 1:
+            after = np.flatnonzero(number[:-1] & (row[1:] == row[:-1])) + 1
+            at = np.minimum(np.searchsorted(_UNIT_HASHES, own[after]), len(_UNIT_HASHES) - 1)
+            kind[after[(kind[after] == WORD) & (_UNIT_HASHES[at] == own[after])]] = UNIT
+            joined = np.r_[False, (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)) & (start[1:] - end[:-1] == 1)]
+            if joined.any():
+                keep = np.flatnonzero(~joined)
+                last = np.r_[keep[1:] - 1, len(kind) - 1]
+                own = mix64(spans_hash(self.sums, start[keep], end[last]))
+                row, kind = row[keep], kind[keep]
+        return row, kind, own
 
 
 def windows(row: np.ndarray, kind: np.ndarray, own: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,17 +140,19 @@ def windows(row: np.ndarray, kind: np.ndarray, own: np.ndarray, width: int, lite
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     h = np.where(kind == WORD, own, mix64(kind.astype(np.uint64)))
     size = 1 << (n + 1).bit_length()
-    total, valued = (np.r_[U(0), np.cumsum(x * powers(BASE, size)[:n])] for x in (h, own))
+    total = np.r_[U(0), np.cumsum(h * powers(BASE, size)[:n])]
     words = np.r_[0, np.cumsum(kind == WORD)]
-    i = np.arange(n - width + 1)
-    i = i[row[i] == row[i + width - 1]]
-    order = np.argsort(own, kind="stable")
-    same = own[order][1:] == own[order][:-1]
-    last = np.full(n, -1)
-    last[order[1:][same]] = order[:-1][same]
-    differ = sum(((kind[i + k] == WORD) & (last[i + k] < i)).astype(np.int64) for k in range(width))
-    few = (words[i + width] - words[i] < literal) & (differ < DISTINCT)
-    over = np.where(few, valued[i + width] - valued[i], total[i + width] - total[i])
+    i = np.flatnonzero(row[: n - width + 1] == row[width - 1 :])
+    few = words[i + width] - words[i] < literal
+    over = total[i + width] - total[i]
+    at = np.flatnonzero(few)
+    if len(at):
+        index = i[at][:, None] + np.arange(width)
+        own_words = np.sort(np.where(kind[index] == WORD, own[index], U(0)), axis=1)
+        differ = ((own_words[:, 1:] != own_words[:, :-1]) & (own_words[:, 1:] != 0)).sum(1) + (own_words[:, 0] != 0)
+        few[at] = differ < DISTINCT
+        valued = np.r_[U(0), np.cumsum(own * powers(BASE, size)[:n])]
+        over[few] = (valued[i + width] - valued[i])[few]
     return mix64(mix64(over * powers(pow(BASE, -1, 1 << 64), size)[i]) + U(width) + few.astype(np.uint64) * U(1 << 32)), i, few
 
 
@@ -166,7 +173,8 @@ def template_windows(texts: DataFrame, widths: list[tuple[int, int]], whole: boo
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo, hi, data, offs in chunks(batch.column(1)):
-                    readings = [canonical(data, offs, r) for r in range(3)]
+                    tokens = Tokens(data, offs)
+                    readings = [tokens.reading(r) for r in range(3)]
                     named = np.zeros(hi - lo, bool)
                     named[readings[2][0]] = True
                     for reading, i, (width, literal) in ((r, i, w) for r in range(3) for i, w in enumerate(widths)):
@@ -228,8 +236,9 @@ def short_lengths(items: DataFrame, width: int) -> list[int]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo, hi, data, offs in chunks(batch.column(0)):
+                    tokens = Tokens(data, offs)
                     for reading in range(3):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.bincount(canonical(data, offs, reading)[0], minlength=hi - lo))], ["n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.bincount(tokens.reading(reading)[0], minlength=hi - lo))], ["n"])
 
     return sorted(r["n"] for r in items.select("text").where("text is not null").mapInArrow(run, "n bigint").where((F.col("n") < width) & (F.col("n") >= 1)).distinct().collect())
 
@@ -241,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal:
     own = template_windows(items, widths, whole=True)
     own = settle(own.select("key", "reading", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
     hits = template_windows(docs.select(F.col("doc_id").alias("id"), "text").where("id is not null"), widths, table=key_table(own, own.count()))
-    found = hits.join(own, ["key", "reading"]).select(F.col("id").alias("doc_id"), "item_id", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "valued", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    found = settle(hits.join(own, ["key", "reading"]).select(F.col("id").alias("doc_id"), "item_id", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "valued", F.arrays_zip("item_slots", "slots").alias("pairs")))  # read by three branches
     by = ["doc_id", "item_id", "reading"]
     equal = found.where("valued").groupBy(*by).agg(F.collect_set("item_pos").alias("equal"))
     # alignments: each alone, in two bands of neighbours, and all of the document

@@ -10,7 +10,7 @@ within blocks, of which no pair within reach can miss all:
   deviations above the mean distance at that similarity, so no block of bits is long enough. Blocks are shingles
   instead: in any order of all shingles, two sets of similarity t share one of the first n - ceil(t * n) + 1 of theirs.
   Shingles that a sketch of all documents finds frequent come last in that order, so common passages make no blocks.
-  Shingles that occur in the same sets are one block. Two candidates are linked only if the exact similarity of their
+  Shingles that are firsts of the same sets make one block. Two candidates are linked only if the exact similarity of their
   shingle sets is at least the ratio.
 
 Block values of more than `most` fingerprints go to a grid: rows are dealt to stripes and every pair of stripes is a
@@ -279,11 +279,14 @@ def bit_blocks(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def shared_firsts(firsts: DataFrame) -> DataFrame:
-    """firsts: node, firsts. key, node for shingles that are firsts of two nodes or more; of those with the same nodes, one."""
+    """firsts: node, firsts; a node may have several rows. key, node for shingles that are firsts of two nodes or more; of
+    those with the same nodes, one."""
     keyed = firsts.select(F.explode("firsts").alias("v"), "node")
-    shared = keyed.groupBy("v").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
-    one = shared.groupBy("n", "who").agg(F.min("v").alias("one")).select("one")
-    return keyed.join(one, F.col("v") == F.col("one"), "left_semi").select(F.struct(F.lit(0).alias("i"), "v").alias("key"), "node")
+    shared = keyed.groupBy("v").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select(F.col("v").alias("s"))
+    blocks = settle(keyed.join(shared, F.col("v") == F.col("s"), "left_semi").distinct())
+    alike = blocks.groupBy("v").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    one = alike.groupBy("n", "who").agg(F.min("v").alias("one")).select("one")
+    return blocks.join(one, F.col("v") == F.col("one"), "left_semi").select(F.struct(F.lit(0).alias("i"), "v").alias("key"), "node")
 
 
 def block_links(nodes: DataFrame, blocks: DataFrame, width: int, radius: int, ratio: float, most: int) -> DataFrame:
@@ -339,6 +342,11 @@ def links(nodes: DataFrame, radius: int, most: int = 60_000) -> DataFrame:
     return block_links(nodes, bit_blocks(nodes, radius), 1, radius, 0.0, most)
 
 
+def few_rows(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """One column of ids, to be broadcast if there are at most `most`, some 50 MB; beyond that Spark joins it as any table."""
+    return F.broadcast(ids) if len(ids.limit(most + 1).groupBy().count().where(F.col("count") <= most).head(1)) else ids
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, digest and shingles (hashes, each once) of each node; docs: doc_id, text; nodes: node, least, digest."""
 
@@ -355,7 +363,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     asked = nodes.select("node", F.col("least").alias("a_id"), F.col("digest").alias("a_digest"))
-    texts = ids.join(asked.select("a_id").distinct(), F.col("doc_id").eqNullSafe(F.col("a_id")), "left_semi")
+    wanted = few_rows(asked.select("a_id").distinct())  # so that the texts stay where they are read
+    texts = ids.join(wanted, F.col("doc_id").eqNullSafe(F.col("a_id")), "left_semi")
     sets = texts.mapInArrow(run, "doc_id bigint, digest bigint, shingles array<bigint>").dropDuplicates(["doc_id", "digest"])
     return sets.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("digest") == F.col("a_digest"))).select("node", "shingles")
 
@@ -398,16 +407,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, ratio: float = 0.8, words: int
     """
     width = [f"f{i}" for i in range(words)]
     same = ["n", "digest"]
-    prints = Scratch(docs.sparkSession).keep(set_prints(docs, k, words, ratio), "prints")
-    named = F.struct("doc_id", *width, "firsts")
-    sets = prints.groupBy(*same).agg(F.min("doc_id").alias("least"), F.first(named).alias("p"))
-    nodes = settle(sets.select(F.xxhash64(*same).alias("node"), *same, "least", *(F.col(f"p.{w}").alias(w) for w in width), "p.firsts"))
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.keep(set_prints(docs, k, words, ratio).withColumn("node", F.xxhash64(*same)), "prints")
+    nodes = settle(prints.groupBy("node", *same).agg(F.min("doc_id").alias("least"), *(F.first(w).alias(w) for w in width)))
     # a set of n shingles and another one are similar by n / (n + 1) at most
-    apart = nodes.where((F.col("n") > 0) & (F.col("n") >= ratio * (F.col("n") + 1) - 1e-9))
-    found = components(block_links(apart, settle(shared_firsts(apart.select("node", "firsts"))), words, radius, ratio, 60_000))
-    nodes = nodes.drop("firsts")
+    apart = (F.col("n") > 0) & (F.col("n") >= ratio * (F.col("n") + 1) - 1e-9)
+    found = components(block_links(nodes.where(apart), settle(shared_firsts(prints.where(apart).select("node", "firsts"))), words, radius, ratio, 60_000))
     found = components(similar(docs, nodes, found, k, words, radius, ratio))
-    return grouped(prints.drop("firsts"), nodes, found, same).select("doc_id", *width, "component_id")
+    return grouped(prints.drop("firsts", "node"), nodes, found, same).select("doc_id", *width, "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
