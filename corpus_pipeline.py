@@ -37,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = docs.select("doc_id", "row_id").join(groups, F.col("row_id") == F.col("g_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_id"))["row_id"]
     kept = members.groupBy("component_id").agg(first.alias("kept"))
-    return docs.join(kept, F.col("row_id") == F.col("kept"), "left_semi").select(*COLUMNS)
+    gone = members.join(kept, F.col("row_id") == F.col("kept"), "left_anti").select(F.col("row_id").alias("gone"))
+    return docs.join(simhash.few_rows(gone), F.col("row_id") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS).withColumn("key", decontaminate.text_key())
     bad = decontaminate.contaminated(docs.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     bad = bad.select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("key") == F.col("bad"), "left_anti").select(*COLUMNS)
+    return docs.join(simhash.few_rows(bad), F.col("key") == F.col("bad"), "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
