@@ -29,9 +29,9 @@ from itertools import accumulate
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import fold, settle, table
+from .shared import Scratch, fold, settle, table
 
 #: Letters of other scripts that look like Latin ones, and full-width letters.
 HOMOGLYPHS = dict(zip("асеоріјѕухԁһкмтнвгαεικνορτυχѵɡıǀ", "aceopijsyxdhkmthbraeiknoptuxvgil")) | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
@@ -185,49 +185,64 @@ def fit_curve(bins: list[tuple[float, float, int, int]]) -> tuple[float, ...]:
     return tuple(float(b) for b in beta)
 
 
-def learn(rows: DataFrame, least: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """rows: text, toxic (0 or 1). Three passes over all rows; what reaches the driver is bounded by MOST_TERMS and 81 x 81 bins."""
+def lexicon(rows: DataFrame, least: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """rows: text, toxic (0 or 1). Two passes over all rows, without the curve; what reaches the driver is bounded by MOST_TERMS."""
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     lex = Lexicon(learn_terms(term_counts(rows), n1, n0, least) if n1 and n0 else {}, exceptions)
     if lex.weights:
         lex = Lexicon(lex.weights, tuple(dict.fromkeys((*exceptions, *learn_exceptions(rows, lex, n1, n0, least)))))
+    return lex
+
+
+def measure(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """rows: key, text. Returns key, x, y: the weights that each text holds, in total and normalised by its length."""
     shipped = rows.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                x, y = shipped.value.features(text.as_py())
-                seen[round(x * 2), round(y * 2), toxic] += 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([seen[k] for k in keys], pa.int64())], ["x", "y", "toxic", "n"])
-
-    bins = rows.select("text", "toxic").mapInArrow(run, "x bigint, y bigint, toxic bigint, n bigint").groupBy("x", "y").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
-    lex.curve = fit_curve(sorted((r["x"] / 2, r["y"] / 2, r["t"], r["o"]) for r in bins.collect()))
-    return lex
+            at = np.array([shipped.value.features(t.as_py()) for t in batch.column(1)], float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], ["key", "x", "y"])
 
+    return rows.select(F.col("key").cast("bigint"), "text").mapInArrow(run, "key bigint, x double, y double")
 
-def score(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(lex)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shipped.value.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
+def curve_of(rows: DataFrame) -> tuple[float, ...]:
+    """rows: x, y, toxic. The curve of a histogram of 81 x 81 bins at most."""
+    bins = rows.groupBy(*(F.rint(F.col(c) * 2).alias(c) for c in "xy")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    return fit_curve(sorted((r["x"] / 2, r["y"] / 2, r["t"], r["o"]) for r in bins.collect()))
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
+
+def learn(rows: DataFrame, least: int = 5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """rows: text, toxic (0 or 1). A lexicon and its curve, in three passes over all rows."""
+    lex = lexicon(rows, least, exceptions)
+    lex.curve = curve_of(measure(rows.select(F.col("toxic").alias("key"), "text"), lex).withColumnRenamed("key", "toxic"))
+    return lex
+
+
+def score(x: Column, y: Column, curve: tuple[float, ...]) -> Column:
+    a, b, c = curve
+    z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(a) + F.lit(b) * x + F.lit(c) * y))
+    return 1 / (1 + F.exp(-z))
 
 
 def detect(docs: DataFrame, labels: DataFrame, most_labels: int = 1_000_000, **options) -> DataFrame:
-    """docs: doc_id, text; labels: doc_id, toxic. Learns from rows outside fold 0; returns doc_id, held_out, score, predicted."""
-    docs = docs.select("doc_id", "text")
+    """docs: doc_id, text; labels: doc_id, toxic. Learns from rows outside fold 0; returns doc_id, held_out, score, predicted.
+
+    All texts are measured once, by the lexicon; the labelled rows among them give the curve, and it scores all of them.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = labels.where((fold("doc_id") != 0) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = settle(known)
     share = int(min(1.0, most_labels / max(1, known.count())) * (1 << 30))
-    drawn = known.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < share)
-    rows = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
-    out = score(docs, learn(rows, **options))
-    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    drawn = F.broadcast(known.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < share))
+    labelled = F.col("doc_id") == F.col("l_id")
+    lex = lexicon(docs.join(drawn, labelled).select("text", "toxic"), **options)
+    found = measure(docs.withColumnRenamed("doc_id", "key"), lex).withColumnRenamed("key", "doc_id")
+    found = Scratch(docs.sparkSession).keep(found, "weights")
+    curve = curve_of(found.join(drawn, labelled).select("x", "y", "toxic"))
+    out = found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), score(F.col("x"), F.col("y"), curve).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
