@@ -13,9 +13,9 @@ from ..sources.sinks import bundles
 from .formats import artifact_lines, names, parse, with_format
 
 
-def transform(pending: DataFrame, blobs: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """pending files (raw_hash, source_id, filename), blobs and sources (include_formats) give records, and statuses:
-    raw_hash, source_id, fmt, status, error_msg. One file failing doesn't touch the others."""
+def judge(pending: DataFrame, blobs: DataFrame, sources: DataFrame) -> DataFrame:
+    """pending files (raw_hash, source_id, filename) with their content of blobs, fmt, status and error_msg; sources:
+    include_formats. One file failing doesn't touch the others."""
     files = blob_lookup(pending.select("raw_hash", "source_id", "filename"), blobs, "raw_hash")
     files = with_format(files).join(sources.select("source_id", "include_formats"), "source_id", "left")
     allowed = F.col("include_formats").isNull() | F.array_contains("include_formats", F.col("fmt")) | F.array_contains("include_formats", "all")
@@ -25,7 +25,16 @@ def transform(pending: DataFrame, blobs: DataFrame, sources: DataFrame) -> tuple
         .when(~F.col("fmt").isin(names()), F.concat(F.lit("No handler for "), "fmt"))
     )
     status = F.when(F.col("content").isNull(), "failed").when(~allowed, "ignored").when(error.isNotNull(), "failed").otherwise("processed")
-    judged = files.withColumns({"status": status, "error_msg": error})
+    return files.withColumns({"status": status, "error_msg": error})
+
+
+def transform(pending: DataFrame, blobs: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of pending files as by judge(), and their statuses: raw_hash, source_id, fmt, status, error_msg."""
+    return told(judge(pending, blobs, sources))
+
+
+def told(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and statuses of what judge() returns, which is read once for each format."""
     return parse(judged.where("status = 'processed'")), judged.select("raw_hash", "source_id", "fmt", "status", "error_msg")
 
 

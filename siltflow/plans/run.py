@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,7 +24,7 @@ from ..streaming.ingest import added, record, record_sources, run as ingest, wit
 from . import config, history
 from .formats import URI_FORMATS
 from .publish import auto_delivery, deliver, delivery, publish, publishable
-from .route import build, derived, for_build, transform
+from .route import build, derived, for_build, judge, told
 
 
 @dataclass(frozen=True)
@@ -66,35 +68,41 @@ def transform_pending(store: Store, sources: DataFrame, run: int, limit: int | N
     that a source has under several names counts by the first of them in code point order."""
     blobs, n = store.read("blobs", BLOBS), 0
     while True:
-        files = pending(store, limit).groupBy("raw_hash", "source_id").agg(F.min("filename").alias("filename")).persist()
-        try:
-            if not files.head(1):
+        files = pending(store, limit).groupBy("raw_hash", "source_id").agg(F.min("filename").alias("filename"))
+        with store.kept(judge(files, blobs, sources)) as judged:
+            if not judged.select("raw_hash").head(1):
                 return n
-            records, status = transform(files, blobs, sources)
-            with store.transaction() as number:
+            records, status = told(judged)
+            with store.kept(records) as records, store.transaction() as number:
                 rows = with_ids(records, ["raw_hash", "record_type", "pos"], number, by=["raw_hash"])
                 store.append("records", rows.select("id", F.col("raw_hash").alias("source_file_hash"), "record_type", "unique_hash", "data", F.current_timestamp().alias("created_at"), F.lit(True).alias("is_active")))
                 store.append("status", status.withColumn("run", F.lit(run).cast("bigint")).select(*STATUS.fieldNames()))
-        finally:
-            files.unpersist()
+        if limit is None:
+            return 1
         n += 1
 
 
-def build_route(store: Store, route: config.Route, run: int | None) -> DataFrame:
-    """A route's artifacts, of the files that a run processed, or of all."""
+def route_rows(store: Store, route: config.Route, run: int | None) -> DataFrame:
+    """What build() takes for a route: the records of the files that a run processed, or of all."""
     files = store.read("seen_files", SEEN_FILES)
     if run is not None:
         files = files.join(store.read("status", STATUS).where(F.col("run") == run), ["raw_hash", "source_id"], "left_semi")
     rows = for_build(store.read("records", RECORDS), files, F.col("record_type").isin(*route.formats), F.col("source_id").isin(*route.from_sources))
-    built = build(rows.select(F.lit(route.name).alias("route"), F.col("record_type").alias("format"), F.col("file_id").alias("id"), F.col("id").alias("pos"), "data"), store.read("blobs", BLOBS))
-    return built.unionByName(derived(built))
+    return rows.select(F.lit(route.name).alias("route"), F.col("record_type").alias("format"), F.col("file_id").alias("id"), F.col("id").alias("pos"), "data")
+
+
+@contextmanager
+def built_routes(store: Store, routes: list[config.Route], run: int | None) -> Iterator[DataFrame]:
+    """All artifacts of the routes. Each step is written once: artifacts are read for every output that is made of them."""
+    rows = reduce(DataFrame.unionByName, (route_rows(store, r, run) for r in routes))
+    with store.kept(rows) as rows, store.kept(build(rows, store.read("blobs", BLOBS))) as plain, store.kept(plain.unionByName(derived(plain)).where(F.octet_length("data") > 0)) as built:
+        yield built
 
 
 def export_run(spark: SparkSession, built: DataFrame, routes: list[str], data: str, now: float, options: Options) -> None:
     """Writes the outputs and a dated copy of each, removes those of the routes that this run didn't make, and old copies."""
     named = built.select(output_name(F.col("route"), F.col("format")).alias("name"), archive_name(F.col("route"), F.lit(int(now)), F.col("format")).alias("copy"), "data")
-    export(named, f"{data}/output")
-    export(named.select(F.col("copy").alias("name"), "data"), f"{data}/archive")
+    export(named, f"{data}/output", f"{data}/archive")
     if options.remove_stale:
         there = spark.createDataFrame([(n,) for n in sorted(os.listdir(f"{data}/output"))] if os.path.isdir(f"{data}/output") else [], "name string")
         remove(stale(there, named, spark.createDataFrame([(r,) for r in routes], "route string")), f"{data}/output")
@@ -147,27 +155,23 @@ def once(spark: SparkSession, settings: config.Config, feed: str, data: str, sen
     """Everything that is new in the feed; the run's number. send: publishes an artifact to a destination; give: an output
     to a user. Without new files nothing is built, and the outputs stay."""
     tables, store = config.tables(spark, settings), Store(spark, f"{data}/state")
+    store.drop("_scratch")  # of a run that was broken off
     run = max(store.commits(), default=-1) + 1
     now = time.time() if options.now is None else options.now
     batch = lambda s, df, tag: ingest_batch(s, df, tag, tables["sources"], now, options.windows)
     ingest(spark, stream(spark, feed, options.feed_format, options.batch_files), store.root, f"{data}/checkpoint", timeout=options.timeout, batch=batch)
     if not transform_pending(store, tables["sources"], run, options.transform_files):
         return run
-    built = None
-    for route in settings.routes:
-        one = build_route(store, route, run if options.delta else None).where(F.octet_length("data") > 0)
-        built = one if built is None else built.unionByName(one)
-    if built is not None:
-        built = built.persist()
-        export_run(spark, built, [r.name for r in settings.routes], data, now, options)
-        to = [(r.name, d.chat_id, d.token, d.caption_template) for r in settings.routes for d in r.destinations]
-        if send and to:
-            plan = delivery(publishable(built, store.read("published", PUBLISHED)), spark.createDataFrame(to, "route string, chat_id string, token string, caption_template string"), F.timestamp_seconds(F.lit(now)))
-            with store.transaction() as n:
-                marked = publish(plan, send, n * (1 << 33), now)
-                rows = spark.createDataFrame(marked, "id long, unique_id string, artifact_hash string, published_at double")
-                store.append("published", rows.select("id", "unique_id", "artifact_hash", F.timestamp_seconds("published_at").alias("published_at"), F.lit(None).cast("string").alias("metadata_json")))
-        built.unpersist()
+    if settings.routes:
+        with built_routes(store, settings.routes, run if options.delta else None) as built:
+            export_run(spark, built, [r.name for r in settings.routes], data, now, options)
+            to = [(r.name, d.chat_id, d.token, d.caption_template) for r in settings.routes for d in r.destinations]
+            if send and to:
+                plan = delivery(publishable(built, store.read("published", PUBLISHED)), spark.createDataFrame(to, "route string, chat_id string, token string, caption_template string"), F.timestamp_seconds(F.lit(now)))
+                with store.transaction() as n:
+                    marked = publish(plan, send, n * (1 << 33), now)
+                    rows = spark.createDataFrame(marked, "id long, unique_id string, artifact_hash string, published_at double")
+                    store.append("published", rows.select("id", "unique_id", "artifact_hash", F.timestamp_seconds("published_at").alias("published_at"), F.lit(None).cast("string").alias("metadata_json")))
     remember_run(store, spark, run, data, now)
     describe(spark, data, now, options.tag)
     users = store.read("users", USERS)

@@ -65,11 +65,10 @@ def state(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
         store.replace("users", known.withColumn("muted", F.col("user_id").cast("int") % 4 == 0))
         for k, (part, now) in enumerate((("event_id < {0}", FIRST), ("event_id >= {0} * 4 div 5", SECOND))):
             rows = feed(events.where(part.format(half)))
-            rows.write.mode("overwrite").parquet(f"{root}/feed/part{k}")
             # messages are dated by the events, so their clock is moved to the run's
             shift = now - rows.agg(F.max("ts")).first()[0]
             options = runs.Options(now=now, windows=WINDOWS, feed_format="parquet", batch_files=1000, keep_days=4)
-            spark.read.parquet(f"{root}/feed/part{k}").withColumn("ts", F.col("ts") + shift).write.mode("append").parquet(f"{root}/in")
+            rows.withColumn("ts", F.col("ts") + shift).repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{root}/in")
             runs.once(spark, settings, f"{root}/in", data, lambda r: True, options, lambda r: True)
         _done[key] = data
     return Store(spark, f"{_done[key]}/state"), _done[key]

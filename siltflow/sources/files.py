@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ class Store:
             yield self.open
             return
         n = max(self.commits(), default=-1) + 1
-        for name in (x for x in self._names(self.root) if x != "_commits"):
+        for name in (x for x in self._names(self.root) if x[0] != "_"):
             for x in self._names(f"{self.root}/{name}"):
                 if _number(x) >= n:
                     self.drop(f"{name}/{x}")
@@ -83,6 +84,16 @@ class Store:
         """A new snapshot; df may read the table itself."""
         self._write(name, df, "v")
 
+    @contextmanager
+    def kept(self, df: DataFrame) -> Iterator[DataFrame]:
+        """df written once, for what reads it several times: it is neither computed nor planned again. Deleted at the end."""
+        name = f"_scratch/{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+            yield self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        finally:
+            self.drop(name)
+
     def compact(self, name: str, schema: T.StructType, most: int = 32) -> None:
         """One folder instead of more than `most`."""
         if len(self.folders(name)) > most:

@@ -80,10 +80,13 @@ def rejects(items: DataFrame, reason: Column, now: Column, keep: tuple[str, ...]
     return items.select(*keep, F.concat(name, F.lit(".dat")).alias("name"), "data")
 
 
-def export(files: DataFrame, folder: str) -> int:
-    """Writes (name, data) rows as files of a folder, one at a time; names are a run's outputs, few by nature."""
+def export(files: DataFrame, folder: str, copies: str | None = None) -> int:
+    """Writes (name, data) rows as files of a folder, one at a time; names are a run's outputs, few by nature. copies: the
+    folder for second files of the same data, named by copy."""
     n = 0
-    for row in files.select("name", "data").toLocalIterator():
+    for row in files.select("name", *(["copy"] if copies else []), "data").toLocalIterator():
         write_atomic(os.path.join(folder, row["name"]), bytes(row["data"]))
+        if copies:
+            write_atomic(os.path.join(copies, row["copy"]), bytes(row["data"]))
         n += 1
     return n

@@ -303,3 +303,26 @@ def test_users(spark):
     empty = spark.createDataFrame([], "name string, size long, modified timestamp")
     old = spark.createDataFrame([("r_1.ovpn", 5, 0)], "name string, size long, m long").select("name", "size", F.timestamp_seconds("m").alias("modified"))
     assert users.files_for(empty, old, "ovpn", F.lit("1970-01-03").cast("timestamp")).count() == 1 and users.files_for(empty, old, "ovpn", F.lit("1970-01-09").cast("timestamp")).count() == 0
+
+
+def test_artifacts_are_written_once(spark, tmp_path, monkeypatch):
+    """What is exported, published and delivered is read from what was built, and not built again for each of these."""
+    from siltflow.plans import run
+
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "1.json").write_text("\n".join(json.dumps(message(id=i, ts=1.7e9, text=f"vless://a{i}@h:1")) for i in (1, 2)))
+    settings = config.parse({"sources": [{"id": "s", "type": "telegram_user", "telegram_user": {"api_id": 1, "peer": "p"}}], "publishing": {"routes": [{"name": r, "from_sources": ["s"], "formats": ["npvt"]} for r in ("a", "b")]}})
+    plans, export_run = [], run.export_run
+    monkeypatch.setattr(run, "export_run", lambda spark, built, *more: plans.append(built._jdf.queryExecution().analyzed().toString()) or export_run(spark, built, *more))
+    run.once(spark, settings, str(tmp_path / "feed"), str(tmp_path / "data"), options=run.Options(now=1.7e9))
+    assert len(plans) == 1 and not any(x in plans[0] for x in ("Aggregate", "Join", "Union"))
+    assert (tmp_path / "data" / "output" / "b.npvt").read_text() == "vless://a1@h:1#vless-1\nvless://a2@h:1#vless-2"
+    assert not list((tmp_path / "data" / "state" / "_scratch").iterdir())
+
+
+def test_transactions_leave_scratch_alone(spark, tmp_path):
+    store = files.Store(spark, str(tmp_path))
+    kept = tmp_path / "_scratch" / "a17553388"  # reads as a number like those of transactions
+    kept.mkdir(parents=True)
+    with store.transaction():
+        assert kept.exists()
