@@ -6,8 +6,10 @@ where a window would sort the whole key in one task. Numbering needs an order an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -153,3 +155,34 @@ def joined_lines(df: DataFrame, by: Sequence[str], value: str, order: Sequence[s
     """text: the values of each group, in order. One group is one string, as an artifact is one file."""
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return df.groupBy(*by).agg(F.array_join(F.transform(rows, lambda r: r["_v"]), sep).alias("text"))
+
+
+def joined_digest(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], sep: str = "\n") -> DataFrame:
+    """artifact_hash and n: the SHA-256 of what joined_lines() gives, and the number of values (no nulls). A group is
+    sorted in one task, which spills, and goes through it as a stream: no text of a whole group is held anywhere."""
+    by, schema = list(by), df.select(*by).schema.add("artifact_hash", "string").add("n", "long")
+    end = sep.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, n, done, fields = None, None, 0, [], []
+        for batch in batches:
+            fields = [*list(batch.schema)[:-1], pa.field("artifact_hash", pa.string()), pa.field("n", pa.int64())]
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by)))))
+            for k, v in zip(keys, batch.column(len(by)).to_pylist()):
+                if digest is None or k != key:
+                    if digest is not None:
+                        done.append((*key, digest.hexdigest(), n))
+                    key, digest, n = k, hashlib.sha256(), 0
+                digest.update((end if n else b"") + v)
+                n += 1
+            if done:
+                yield rows(done, fields)
+                done = []
+        if digest is not None:
+            yield rows([(*key, digest.hexdigest(), n)], fields)
+
+    def rows(done: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip((f.name for f in fields), r)) for r in done], pa.schema(fields))
+
+    lines = df.repartition(*by).sortWithinPartitions(*by, *order).select(*by, F.encode(F.col(value), "UTF-8").alias("_v"))
+    return lines.mapInArrow(run, schema)

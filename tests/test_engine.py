@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import zipfile
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from siltflow import schemas
 from siltflow.operators import keyed, messages
 from siltflow.plans import config, formats, publish, route
+from siltflow.queries import catalog
 from siltflow.sources import files, sinks
 from siltflow.sources import messages as feeds
 from siltflow.streaming import ingest
@@ -326,3 +328,13 @@ def test_transactions_leave_scratch_alone(spark, tmp_path):
     kept.mkdir(parents=True)
     with store.transaction():
         assert kept.exists()
+
+
+def test_joined_digest_is_that_of_joined_lines(spark):
+    rows = [(k, i, c * (i + 1)) for k in ("a", "b", None) for i, c in enumerate("xyé\n")]
+    df = spark.createDataFrame(rows, "k string, i int, v string").repartition(3)
+    got = keyed.joined_digest(df, ["k"], "v", ["i"])
+    want = {k: (hashlib.sha256("\n".join(v for x, _, v in rows if x == k).encode()).hexdigest(), 4) for k in ("a", "b", None)}
+    assert {r["k"]: (r["artifact_hash"], r["n"]) for r in got.collect()} == want
+    plan = catalog.QUERIES["route_conf_artifact"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
