@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import table
+
 KINDS = ("telegram", "telegram_user")
 
 
@@ -104,7 +107,7 @@ def _places(s: Source) -> tuple[str | None, str]:
 
 def tables(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     """sources (source_id, source_type, include_formats, chat_id, channel_id, pos), route_sources and route_formats; as small as the configuration."""
-    make = spark.createDataFrame
+    make = partial(table, spark)
     return {
         "sources": make([(s.id, s.type, list(s.include_formats), *_places(s), i) for i, s in enumerate(config.sources)], "source_id string, source_type string, include_formats array<string>, chat_id string, channel_id string, pos int"),
         "route_sources": make([(r.name, s) for r in config.routes for s in r.from_sources], "route string, source_id string"),

@@ -6,18 +6,18 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.naming import output_name
-from ..functions.uris import decode
+from ..functions.uris import vmess_entry
 from ..operators.keyed import prunable, stale, upsert, waiting
 from ..operators.messages import Windows, distinct_channels, judged_items
 from ..schemas import BLOBS, MANIFEST, PUBLISHED, RECORDS, SEEN_FILES, SOURCE_STATE, STATUS, USERS
-from ..sources.files import Store, dated, expired, listing
+from ..sources.files import Store, dated, expired, listing, table
 from ..sources.messages import stream
 from ..sources.sinks import archive_name, export, write_atomic
 from ..streaming.ingest import added, record, record_sources, run as ingest, with_ids
@@ -49,10 +49,10 @@ def ingest_batch(store: Store, messages: DataFrame, tag: str, sources: DataFrame
     """Filters a batch of messages and records its items, each source's offset and what was dropped, in one transaction."""
     if (done := store.tagged(tag)) is not None:
         return added(store, done)
-    owners = sources.join(distinct_channels(sources).select("source_id"), "source_id", "left_semi")
-    with store.transaction(tag) as n:
-        offsets = store.read("source_state", SOURCE_STATE).select("source_id", F.col("state.offset").alias("offset"))
-        judged = judged_items(messages, owners, offsets, F.lit(now), windows)
+    owners = distinct_channels(sources)
+    owners = table(store.spark, owners.collect(), owners.schema)  # a row for each source
+    offsets = store.read("source_state", SOURCE_STATE).select("source_id", F.col("state.offset").alias("offset"))
+    with store.transaction(tag) as n, store.kept(judged_items(messages, owners, offsets, F.lit(now), windows)) as judged:
         record(store, judged.where("reason is null"))
         record_sources(store, judged, messages, owners, n, now)
     return added(store, n)
@@ -73,10 +73,14 @@ def transform_pending(store: Store, sources: DataFrame, run: int, limit: int | N
             if not judged.select("raw_hash").head(1):
                 return n
             records, status = told(judged)
-            with store.kept(records) as records, store.transaction() as number:
-                rows = with_ids(records, ["raw_hash", "record_type", "pos"], number, by=["raw_hash"])
-                store.append("records", rows.select("id", F.col("raw_hash").alias("source_file_hash"), "record_type", "unique_hash", "data", F.current_timestamp().alias("created_at"), F.lit(True).alias("is_active")))
-                store.append("status", status.withColumn("run", F.lit(run).cast("bigint")).select(*STATUS.fieldNames()))
+
+            def add_records(store: Store) -> None:
+                with store.kept(records) as kept:
+                    rows = with_ids(kept, ["raw_hash", "record_type", "pos"], store.open, by=["raw_hash"])
+                    store.append("records", rows.select("id", F.col("raw_hash").alias("source_file_hash"), "record_type", "unique_hash", "data", F.current_timestamp().alias("created_at"), F.lit(True).alias("is_active")))
+
+            with store.transaction():
+                store.together(add_records, lambda s: s.append("status", status.withColumn("run", F.lit(run).cast("bigint")).select(*STATUS.fieldNames())))
         if limit is None:
             return 1
         n += 1
@@ -104,8 +108,8 @@ def export_run(spark: SparkSession, built: DataFrame, routes: list[str], data: s
     named = built.select(output_name(F.col("route"), F.col("format")).alias("name"), archive_name(F.col("route"), F.lit(int(now)), F.col("format")).alias("copy"), "data")
     export(named, f"{data}/output", f"{data}/archive")
     if options.remove_stale:
-        there = spark.createDataFrame([(n,) for n in sorted(os.listdir(f"{data}/output"))] if os.path.isdir(f"{data}/output") else [], "name string")
-        remove(stale(there, named, spark.createDataFrame([(r,) for r in routes], "route string")), f"{data}/output")
+        there = table(spark, [(n,) for n in sorted(os.listdir(f"{data}/output"))] if os.path.isdir(f"{data}/output") else [], "name string")
+        remove(stale(there, named, table(spark, [(r,) for r in routes], "route string")), f"{data}/output")
     if os.path.isdir(f"{data}/archive") and os.listdir(f"{data}/archive"):
         remove(expired(dated(listing(spark, f"{data}/archive")), F.timestamp_seconds(F.lit(now)), options.keep_days), f"{data}/archive")
 
@@ -132,15 +136,19 @@ def describe(spark: SparkSession, data: str, now: float, tag: str) -> None:
     doc = history.catalog_json(history.catalog(files, tag), F.timestamp_seconds(F.lit(now))).first()["json"]
     write_atomic(f"{data}/catalog.json", doc.encode())
     lines = files.where(F.col("name").endswith(".npvt")).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
-    entries = lines.where(F.col("line").startswith("vmess://")).select(decode(F.col("line")).alias("e"))
+    entries = lines.where(F.col("line").startswith("vmess://")).select(vmess_entry(F.col("line")).alias("e"))
     write_atomic(f"{data}/client.json", history.client_config(entries).first()["config"].encode())
 
 
-def tidy(store: Store) -> None:
-    """Drops the contents of files that are all told and that no record needs, and joins small folders."""
+def tidy_blobs(store: Store) -> None:
+    """Drops the contents of files that are all told and that no record needs."""
     gone = removable(store)
     if gone.head(1):
         store.replace("blobs", store.read("blobs", BLOBS).join(gone, "raw_hash", "left_anti"))
+
+
+def tidy(store: Store) -> None:
+    """Joins small folders."""
     for name, schema in (("blobs", BLOBS), ("seen_files", SEEN_FILES), ("status", STATUS), ("records", RECORDS), ("published", PUBLISHED)):
         store.compact(name, schema)
 
@@ -162,22 +170,36 @@ def once(spark: SparkSession, settings: config.Config, feed: str, data: str, sen
     ingest(spark, stream(spark, feed, options.feed_format, options.batch_files), store.root, f"{data}/checkpoint", timeout=options.timeout, batch=batch)
     if not transform_pending(store, tables["sources"], run, options.transform_files):
         return run
-    if settings.routes:
-        with built_routes(store, settings.routes, run if options.delta else None) as built:
-            export_run(spark, built, [r.name for r in settings.routes], data, now, options)
-            to = [(r.name, d.chat_id, d.token, d.caption_template) for r in settings.routes for d in r.destinations]
-            if send and to:
-                plan = delivery(publishable(built, store.read("published", PUBLISHED)), spark.createDataFrame(to, "route string, chat_id string, token string, caption_template string"), F.timestamp_seconds(F.lit(now)))
-                with store.transaction() as n:
-                    marked = publish(plan, send, n * (1 << 33), now)
-                    rows = spark.createDataFrame(marked, "id long, unique_id string, artifact_hash string, published_at double")
-                    store.append("published", rows.select("id", "unique_id", "artifact_hash", F.timestamp_seconds("published_at").alias("published_at"), F.lit(None).cast("string").alias("metadata_json")))
-    remember_run(store, spark, run, data, now)
-    describe(spark, data, now, options.tag)
+    store.together(
+        lambda s: build_and_send(s, settings, run, data, now, send, give, options),
+        lambda s: remember_run(s, spark, run, data, now),
+        tidy_blobs,
+    )
+    tidy(store)
+    return run
+
+
+def build_and_send(store: Store, settings: config.Config, run: int, data: str, now: float, send: Callable[[dict], bool] | None, give: Callable[[dict], bool] | None, options: Options) -> None:
+    """A run's outputs; then their catalog, while they are published and given to the users."""
+    routes = settings.routes
+    with built_routes(store, routes, run if options.delta else None) if routes else nullcontext() as built:
+        if routes:
+            export_run(store.spark, built, [r.name for r in routes], data, now, options)
+        store.together(lambda s: hand_out(s, built, settings, data, now, send, give), lambda s: describe(s.spark, data, now, options.tag))
+
+
+def hand_out(store: Store, built: DataFrame | None, settings: config.Config, data: str, now: float, send: Callable[[dict], bool] | None, give: Callable[[dict], bool] | None) -> None:
+    """Publishes what changed among the artifacts, and gives the outputs to the users."""
+    spark = store.spark
+    to = [(r.name, d.chat_id, d.token, d.caption_template) for r in settings.routes for d in r.destinations]
+    if send and to:
+        plan = delivery(publishable(built, store.read("published", PUBLISHED)), table(spark, to, "route string, chat_id string, token string, caption_template string"), F.timestamp_seconds(F.lit(now)))
+        with store.transaction() as n:
+            marked = publish(plan, send, n * (1 << 33), now)
+            rows = table(spark, marked, "id long, unique_id string, artifact_hash string, published_at double")
+            store.append("published", rows.select("id", "unique_id", "artifact_hash", F.timestamp_seconds("published_at").alias("published_at"), F.lit(None).cast("string").alias("metadata_json")))
     users = store.read("users", USERS)
     if give and os.path.isdir(f"{data}/output"):
         reached = deliver(auto_delivery(users, listing(spark, f"{data}/output")), give)
-        changes = users.join(spark.createDataFrame([(u,) for u in reached], "user_id string"), "user_id", "left_semi").withColumn("last_delivered_at", F.lit(now))
+        changes = users.join(table(spark, [(u,) for u in reached], "user_id string"), "user_id", "left_semi").withColumn("last_delivered_at", F.lit(now))
         store.replace("users", upsert(users, changes, ["user_id"], ["last_delivered_at"], keep=["registered_at"]))
-    tidy(store)
-    return run

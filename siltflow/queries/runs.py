@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import messages
 from ..plans import config, run as runs, users
@@ -40,11 +40,15 @@ WINDOWS = messages.Windows(text_fresh=72, file_fresh=240)
 FIRST, SECOND = 1_800_000_000.0, 1_800_400_000.0
 
 
+def seconds() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
+
 def feed(events: DataFrame) -> DataFrame:
     kind, user, k = F.col("event_type"), F.col("user_id"), F.col("event_id")
     text = lambda *x: F.concat(*(F.lit(a) if isinstance(a, str) else a.cast("string") for a in x))
     made = {
-        "source_id": text("s", k % 5), "id": k + 1, "ts": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "chat_id": text("c", user % 3),
+        "source_id": text("s", k % 5), "id": k + 1, "ts": seconds(), "chat_id": text("c", user % 3),
         "text": F.when(kind == "click", text("vless://u", k % 200, "@h.example.com:443#x", k)).when(kind == "view", "seen").when(kind == "purchase", F.col("props")),
         "caption": F.when(kind == "signup", text("trojan://s", user % 30, "@t.example.com:8443")), "file_name": F.when(kind == "error", text("e", user % 40, F.when(user % 10 == 0, ".Apk").otherwise(".conf"))).when(kind == "purchase", text("p", user % 5, ".ovpn")),
         "file_size": F.when((kind == "error") & (k % 9 == 0), 30_000_000), "data": F.encode(F.when(kind == "error", text("line ", k % 50, "\n# c\nline ", user)).when(kind == "purchase", F.col("props")), "UTF-8"), "photo": kind == "view",
@@ -58,15 +62,18 @@ def state(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
     if key not in _done:
         root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
         data, events = f"{root}/data".removeprefix("file://").removeprefix("file:"), spark.read.parquet(f"{sf_dir}/events.parquet")
-        half, settings = events.agg(F.max("event_id")).first()[0] // 2, config.parse(SETTINGS, {"TOKEN": "1:x"})
+        settings = config.parse(SETTINGS, {"TOKEN": "1:x"})
         store = Store(spark, f"{data}/state")
         seen = spark.range(20).select(F.col("id").cast("string").alias("user_id"), F.lit("c").alias("chat_id"), F.lit("n").alias("username"), F.lit(1.0).alias("registered_at"))
-        known = users.register(store.read("users", USERS), seen)
-        store.replace("users", known.withColumn("muted", F.col("user_id").cast("int") % 4 == 0))
-        for k, (part, now) in enumerate((("event_id < {0}", FIRST), ("event_id >= {0} * 4 div 5", SECOND))):
-            rows = feed(events.where(part.format(half)))
+        known = users.register(store.read("users", USERS), seen).withColumn("muted", F.col("user_id").cast("int") % 4 == 0)
+        half: list[int] = []
+        store.together(lambda s: half.append(events.agg(F.max("event_id")).first()[0] // 2), lambda s: s.replace("users", known))
+        parts = [x.format(half[0]) for x in ("event_id < {0}", "event_id >= {0} * 4 div 5")]
+        newest = events.agg(*(F.max(F.when(F.expr(x), seconds())) for x in parts)).first()
+        for part, last, now in zip(parts, newest, (FIRST, SECOND)):
+            rows = feed(events.where(part))
             # messages are dated by the events, so their clock is moved to the run's
-            shift = now - rows.agg(F.max("ts")).first()[0]
+            shift = now - last
             options = runs.Options(now=now, windows=WINDOWS, feed_format="parquet", batch_files=1000, keep_days=4)
             rows.withColumn("ts", F.col("ts") + shift).repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{root}/in")
             runs.once(spark, settings, f"{root}/in", data, lambda r: True, options, lambda r: True)

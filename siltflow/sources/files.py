@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import os
+import threading
 import uuid
 import zipfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class Store:
     """State tables under a root, changed by transactions. A transaction writes folders, <kind><number>-<k> for each
     table that it touches: v is a whole snapshot, a adds rows to what is before it; then one file in _commits makes all
     of them count at once. What a broken transaction left is no part of any table, and is deleted by the next one.
-    Readers of older folders are undisturbed. Paths may be on any file system that Spark reads; one writer at a time."""
+    Readers of older folders are undisturbed. Paths may be on any file system that Spark reads; one writer at a time:
+    transactions of steps that run together wait for each other."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.open: int | None = None
+        self.lock = threading.Lock()
+
+    def together(self, *steps: Callable[[Store], object]) -> None:
+        """Steps that don't need each other, at the same time, each with a store of its own; within a transaction they are
+        part of it. All come to their end; then the first error is raised."""
+        context = self.spark.sparkContext._jsc.sc()
+
+        def go(step: Callable[[Store], object], properties) -> None:
+            context.setLocalProperties(properties)
+            step(copy.copy(self))
+
+        with ThreadPoolExecutor(len(steps)) as pool:
+            going = [pool.submit(go, step, context.getLocalProperties().clone()) for step in steps]
+        for x in going:
+            x.result()
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,18 +66,19 @@ class Store:
         if self.open is not None:
             yield self.open
             return
-        n = max(self.commits(), default=-1) + 1
-        for name in (x for x in self._names(self.root) if x[0] != "_"):
-            for x in self._names(f"{self.root}/{name}"):
-                if _number(x) >= n:
-                    self.drop(f"{name}/{x}")
-        self.open = n
-        try:
-            yield n
-            fs, p = self._fs(f"{self.root}/_commits/{n:08d}-{tag}")
-            fs.create(p, False).close()
-        finally:
-            self.open = None
+        with self.lock:
+            n = max(self.commits(), default=-1) + 1
+            for name in (x for x in self._names(self.root) if x[0] != "_"):
+                for x in self._names(f"{self.root}/{name}"):
+                    if _number(x) >= n:
+                        self.drop(f"{name}/{x}")
+            self.open = n
+            try:
+                yield n
+                fs, p = self._fs(f"{self.root}/_commits/{n:08d}-{tag}")
+                fs.create(p, False).close()
+            finally:
+                self.open = None
 
     def folders(self, name: str) -> list[str]:
         """The folders that make up the table: the last snapshot and what was added since."""
@@ -69,7 +90,7 @@ class Store:
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         found = self.folders(name)
         if not found:
-            return self.spark.createDataFrame([], schema)
+            return table(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{x}" for x in found))
 
     def _write(self, name: str, df: DataFrame, kind: str) -> None:
@@ -109,6 +130,15 @@ def _number(folder: str) -> int:
     return int(folder[1:9]) if folder[1:9].isdigit() else -1
 
 
+def table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows as a table that Spark knows to be small, or empty; of what createDataFrame() makes of a list, it doesn't."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not rows:
+        return spark.createDataFrame([], kind).where(F.lit(False))
+    columns = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), columns)], schema=columns), kind)
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """Files below a folder: path, name, modified, size, content; content is read only where it is used."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.keyed import first_per_key, unseen, upsert
@@ -47,13 +46,13 @@ def record(store: Store, batch: DataFrame, tag: str = "") -> DataFrame:
         return added(store, done)
     with store.transaction(tag) as n:
         first = first_per_key(batch.select(*keys, "data", "filename", "ts", "is_text"), keys, ["ts", "filename", "data"])
-        new = unseen(first, store.read("seen_files", SEEN_FILES), keys).persist(StorageLevel.DISK_ONLY)
-        store.append("blobs", save_blobs(new.where("data is not null"), store.read("blobs", BLOBS)))
-        store.append("seen_files", with_ids(new, keys, n).select(
-            "id", *keys, F.sha2(F.coalesce("data", F.lit(b"")), 256).alias("raw_hash"), F.current_timestamp().alias("ingested_at"), F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint").alias("file_size"),
-            "filename", F.to_json(F.struct("ts", "is_text")).alias("metadata_json"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_msg"),
-        ))
-        new.unpersist()
+        with store.kept(unseen(first, store.read("seen_files", SEEN_FILES), keys)) as new:
+            blobs = save_blobs(new.where("data is not null"), store.read("blobs", BLOBS))
+            files = with_ids(new, keys, n).select(
+                "id", *keys, F.sha2(F.coalesce("data", F.lit(b"")), 256).alias("raw_hash"), F.current_timestamp().alias("ingested_at"), F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint").alias("file_size"),
+                "filename", F.to_json(F.struct("ts", "is_text")).alias("metadata_json"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_msg"),
+            )
+            store.together(lambda s: s.append("blobs", blobs), lambda s: s.append("seen_files", files))
     return added(store, n)
 
 
@@ -80,9 +79,9 @@ def record_sources(store: Store, judged: DataFrame, messages: DataFrame, sources
     total = F.coalesce("state.stats.total_files", F.lit(0)) + F.coalesce("files_ingested", F.lit(0))
     state = F.struct(F.greatest("last", F.coalesce("state.offset", F.lit(0))).alias("offset"), F.struct(total.alias("total_files"), run.alias("last_run")).alias("stats"))
     changes = j.select("source_id", "source_type", state.alias("state"), F.lit(int(now)).cast("bigint").alias("updated_at"))
-    store.replace("source_state", upsert(store.read("source_state", SOURCE_STATE), changes, ["source_id"], ["updated_at"], keep=["source_type"]))
-    skips = judged.groupBy("source_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-    store.append("skips", skips.select(F.lit(n).cast("bigint").alias("run"), "source_id", "reason", "n"))
+    sums = upsert(store.read("source_state", SOURCE_STATE), changes, ["source_id"], ["updated_at"], keep=["source_type"])
+    skips = judged.groupBy("source_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")).select(F.lit(n).cast("bigint").alias("run"), "source_id", "reason", "n")
+    store.together(lambda s: s.replace("source_state", sums), lambda s: s.append("skips", skips))
 
 
 def run(spark: SparkSession, messages: DataFrame, store_path: str, checkpoint: str, then: Callable[[Store, DataFrame, int], None] | None = None, timeout: float | None = None, batch: Callable[[Store, DataFrame, str], DataFrame] | None = None) -> None:
