@@ -33,6 +33,17 @@ def normalize(text: Column) -> Column:
     return strip(F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(nfkc(text)))
 
 
+@arrow_udf(T.StringType())
+def _valid_nfkc(data: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x.decode("utf-8", "ignore")) for x in data.to_pylist()], pa.string())
+
+
+def normal_text(data: Column) -> Column:
+    """normalize(utf8_ignore(data)) by one Arrow function."""
+    plain = F.is_valid_utf8(data.cast("string")) & data.cast("string").rlike(r"^[\x00-\x7F]*$")
+    return strip(F.when(plain, data.cast("string")).otherwise(_valid_nfkc(F.when(~plain, data))))
+
+
 @arrow_udf(T.StringType())
 def _valid_parts(data: pa.Array) -> pa.Array:
     return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in data.to_pylist()], pa.string())

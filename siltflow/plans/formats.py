@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import ZIP_FORMATS, decide_format
-from ..functions.text import from_base64, kept_line, normalize, sha256, split_lines, strip, utf8_ignore
+from ..functions.text import from_base64, kept_line, normal_text, sha256, split_lines, strip, utf8_ignore
 from ..functions.uris import ANY_SCHEME, line_uris, scheme_of, strip_remark, with_remark
 from ..operators.keyed import distinct_in_order, numbered
 
@@ -86,15 +86,16 @@ def parse(files: DataFrame, normal: bool = True) -> DataFrame:
     """files: raw_hash, filename, fmt, content; normal: texts are normalised. Records of all formats; within a blob, the first of equal records."""
     out = None
     bundles = [n for n in _formats if _formats[n].lines is None]
-    text = files.where(~F.col("fmt").isin(bundles)).withColumn("text", normalize(utf8_ignore(F.col("content"))) if normal else utf8_ignore(F.col("content")))
-    for f in (x for x in _formats.values() if x.lines):
-        rows = text.where(F.col("fmt") == f.name).select("raw_hash", F.posexplode(f.lines(F.col("text"))).alias("pos", "line"))
-        if f.is_uri:
+    text = files.where(~F.col("fmt").isin(bundles)).withColumn("text", normal_text(F.col("content")) if normal else utf8_ignore(F.col("content")))
+    alike = {(f.lines, f.is_uri): [x.name for x in _formats.values() if (x.lines, x.is_uri) == (f.lines, f.is_uri)] for f in _formats.values() if f.lines}
+    for (lines, is_uri), kinds in alike.items():
+        rows = text.where(F.col("fmt").isin(kinds)).select("raw_hash", F.col("fmt").alias("record_type"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+        if is_uri:
             rows = rows.withColumn("line", strip_remark(F.col("line")))
-        rows = distinct_in_order(rows, "line", ["pos"], ["raw_hash"])
+        rows = distinct_in_order(rows, "line", ["pos"], ["raw_hash", "record_type"])
         nothing = F.lit(None)
         data = F.struct(F.col("line"), nothing.cast("string").alias("filename"), nothing.cast("string").alias("blob_hash"), nothing.cast("bigint").alias("size"))
-        rows = rows.select("raw_hash", F.lit(f.name).alias("record_type"), sha256(F.col("line")).alias("unique_hash"), F.col("pos").cast("bigint").alias("pos"), data.alias("data"))
+        rows = rows.select("raw_hash", "record_type", sha256(F.col("line")).alias("unique_hash"), F.col("pos").cast("bigint").alias("pos"), data.alias("data"))
         out = rows if out is None else out.unionByName(rows)
     data = F.struct(F.lit(None).cast("string").alias("line"), "filename", F.col("raw_hash").alias("blob_hash"), F.octet_length("content").cast("bigint").alias("size"))
     whole = files.where(F.col("fmt").isin(bundles)).select("raw_hash", F.col("fmt").alias("record_type"), F.col("raw_hash").alias("unique_hash"), F.lit(0).cast("bigint").alias("pos"), data.alias("data"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -180,16 +180,15 @@ def once(spark: SparkSession, settings: config.Config, feed: str, data: str, sen
 
 
 def build_and_send(store: Store, settings: config.Config, run: int, data: str, now: float, send: Callable[[dict], bool] | None, give: Callable[[dict], bool] | None, options: Options) -> None:
-    """A run's outputs; then their catalog, while they are published and given to the users."""
-    routes = settings.routes
-    with built_routes(store, routes, run if options.delta else None) if routes else nullcontext() as built:
-        if routes:
-            export_run(store.spark, built, [r.name for r in routes], data, now, options)
-        store.together(lambda s: hand_out(s, built, settings, data, now, send, give), lambda s: describe(s.spark, data, now, options.tag))
+    """A run's outputs, while what changed is published; then their catalog, while they are given to the users."""
+    if routes := settings.routes:
+        with built_routes(store, routes, run if options.delta else None) as built:
+            store.together(lambda s: export_run(s.spark, built, [r.name for r in routes], data, now, options), lambda s: publish_run(s, built, settings, now, send))
+    store.together(lambda s: describe(s.spark, data, now, options.tag), lambda s: give_outputs(s, data, now, give))
 
 
-def hand_out(store: Store, built: DataFrame | None, settings: config.Config, data: str, now: float, send: Callable[[dict], bool] | None, give: Callable[[dict], bool] | None) -> None:
-    """Publishes what changed among the artifacts, and gives the outputs to the users."""
+def publish_run(store: Store, built: DataFrame, settings: config.Config, now: float, send: Callable[[dict], bool] | None) -> None:
+    """Sends the artifacts that changed since they were published to their routes' destinations."""
     spark = store.spark
     to = [(r.name, d.chat_id, d.token, d.caption_template) for r in settings.routes for d in r.destinations]
     if send and to:
@@ -198,8 +197,11 @@ def hand_out(store: Store, built: DataFrame | None, settings: config.Config, dat
             marked = publish(plan, send, n * (1 << 33), now)
             rows = table(spark, marked, "id long, unique_id string, artifact_hash string, published_at double")
             store.append("published", rows.select("id", "unique_id", "artifact_hash", F.timestamp_seconds("published_at").alias("published_at"), F.lit(None).cast("string").alias("metadata_json")))
+
+
+def give_outputs(store: Store, data: str, now: float, give: Callable[[dict], bool] | None) -> None:
     users = store.read("users", USERS)
     if give and os.path.isdir(f"{data}/output"):
-        reached = deliver(auto_delivery(users, listing(spark, f"{data}/output")), give)
-        changes = users.join(table(spark, [(u,) for u in reached], "user_id string"), "user_id", "left_semi").withColumn("last_delivered_at", F.lit(now))
+        reached = deliver(auto_delivery(users, listing(store.spark, f"{data}/output")), give)
+        changes = users.join(table(store.spark, [(u,) for u in reached], "user_id string"), "user_id", "left_semi").withColumn("last_delivered_at", F.lit(now))
         store.replace("users", upsert(users, changes, ["user_id"], ["last_delivered_at"], keep=["registered_at"]))

@@ -70,13 +70,20 @@ def state(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
         store.together(lambda s: half.append(events.agg(F.max("event_id")).first()[0] // 2), lambda s: s.replace("users", known))
         parts = [x.format(half[0]) for x in ("event_id < {0}", "event_id >= {0} * 4 div 5")]
         newest = events.agg(*(F.max(F.when(F.expr(x), seconds())) for x in parts)).first()
-        for part, last, now in zip(parts, newest, (FIRST, SECOND)):
-            rows = feed(events.where(part))
+
+        def come(k: int, name: str) -> None:
             # messages are dated by the events, so their clock is moved to the run's
-            shift = now - last
+            rows = feed(events.where(parts[k])).withColumn("ts", F.col("ts") + ((FIRST, SECOND)[k] - newest[k]))
+            rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{root}/{name}")
+
+        def once(now: float) -> None:
             options = runs.Options(now=now, windows=WINDOWS, feed_format="parquet", batch_files=1000, keep_days=4)
-            rows.withColumn("ts", F.col("ts") + shift).repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{root}/in")
-            runs.once(spark, settings, f"{root}/in", data, lambda r: True, options, lambda r: True)
+            runs.once(spark, settings, f"{root}/in*", data, lambda r: True, options, lambda r: True)
+
+        come(0, "in0")
+        store.together(lambda s: once(FIRST), lambda s: come(1, "later"))
+        store.rename(f"{root}/later", f"{root}/in1")
+        once(SECOND)
         _done[key] = data
     return Store(spark, f"{_done[key]}/state"), _done[key]
 

@@ -52,6 +52,11 @@ class Store:
         fs, p = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def rename(self, path: str, to: str) -> None:
+        fs, p = self._fs(path)
+        if not fs.rename(p, self._fs(to)[1]):
+            raise OSError(f"{path} can't be renamed")
+
     def commits(self) -> dict[int, str]:
         """Numbers and tags of the transactions that count."""
         return {int(x[:8]): x[9:] for x in self._names(f"{self.root}/_commits") if x[:8].isdigit()}

@@ -394,3 +394,30 @@ def test_messages_are_judged_once(spark, tmp_path, monkeypatch):
     assert new.count() == 2 and not any(x in plans[0] for x in ("Union", "Join")) and store.read("blobs", schemas.BLOBS).count() == 2
     assert [(r["state"]["offset"], r["state"]["stats"]["total_files"]) for r in store.read("source_state", schemas.SOURCE_STATE).collect()] == [(2, 2)]
     assert not list((tmp_path / "state" / "_scratch").iterdir())
+
+
+def test_failed_send_loses_nothing_else(spark, tmp_path):
+    """Publishing goes on beside the other steps: where it fails, the list of URIs and the outputs are there all the same."""
+    from siltflow.plans import run
+
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "1.json").write_text(json.dumps(message(id=1, ts=1.7e9, text="vless://a@h:1")))
+    route = {"name": "r", "from_sources": ["s"], "formats": ["npvt"], "destinations": [{"chat_id": "c", "token": "t:1"}]}
+    settings = config.parse({"sources": [{"id": "s", "type": "telegram_user", "telegram_user": {"api_id": 1, "peer": "p"}}], "publishing": {"routes": [route]}})
+    with pytest.raises(RuntimeError, match="not published"):
+        run.once(spark, settings, str(tmp_path / "feed"), str(tmp_path / "data"), lambda r: False, run.Options(now=1.7e9))
+    store = files.Store(spark, str(tmp_path / "data" / "state"))
+    assert store.read("manifest", schemas.MANIFEST).collect() == [("vless://a@h:1", 1.7e9)] and store.folders("published") == []
+    assert (tmp_path / "data" / "output" / "r.npvt").read_text() == "vless://a@h:1#vless-1" and (tmp_path / "data" / "history" / "proxies.txt").exists()
+
+
+def test_parse_reads_alike_formats_together(spark):
+    from siltflow.functions import text
+
+    odd = [b"a", "ﬁ Ａ\n".encode(), b"\xff\xfe x", "café  ".encode() + b"\xc3", b"", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "d binary").select(text.normal_text(F.col("d")).alias("a"), text.normalize(text.utf8_ignore(F.col("d"))).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and rows[1]["a"] == "fi A"
+    blobs = [("h1", "x.txt", "npvt", b"vless://a@h:1#x\nvless://a@h:1#y"), ("h1", "x.npvtsub", "npvtsub", b"vless://a@h:1#x\nvless://a@h:1#y"), ("h2", "a.conf", "conf_lines", b"l\n# c\nl")]
+    got = formats.parse(spark.createDataFrame(blobs, "raw_hash string, filename string, fmt string, content binary"))
+    assert sorted((r["raw_hash"], r["record_type"], r["data"]["line"]) for r in got.collect()) == [("h1", "npvt", "vless://a@h:1"), ("h1", "npvtsub", "vless://a@h:1"), ("h2", "conf_lines", "l")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
